@@ -85,7 +85,8 @@ def load_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_digests_json(spark: SparkSession, file: str) -> tuple[DataFrame, dict[str, str]]:
-    """Read a JSON digest file with two-space indent, split over tasks like any text.
+    """Read a JSON digest file with two-space indent, or a folder with its parts, split
+    over tasks like any text.  Returns the rows (hash, path) and the metadata.
 
     One line holds one key or one path, so a path belongs to the last key above it:
     looked up inside the block of the file that holds the line, and, for the lines
@@ -93,7 +94,7 @@ def load_digests_json(spark: SparkSession, file: str) -> tuple[DataFrame, dict[s
     """
     lines = spark.read.text(file).select(
         "value",
-        F.col("_metadata.file_block_start").alias("block"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
     key = F.regexp_extract("value", r'^    "([0-9a-f]+)": \[', 1)
@@ -113,9 +114,9 @@ def load_digests_json(spark: SparkSession, file: str) -> tuple[DataFrame, dict[s
         .filter("item is not null")
         .select(F.coalesce("above", "carried").alias("hash"), text.alias("path"))
     )
+    fact = r'^    "(algorithm|generated|total_files)": "?([^"]*?)"?,?$'
     meta = lines.select(
-        F.regexp_extract("value", r'^    "(algorithm|generated|total_files)": "?([^"]*?)"?,?$', 1).alias("k"),
-        F.regexp_extract("value", r'^    "(algorithm|generated|total_files)": "?([^"]*?)"?,?$', 2).alias("v"),
+        F.regexp_extract("value", fact, 1).alias("k"), F.regexp_extract("value", fact, 2).alias("v")
     )
     found = meta.filter("k <> ''").limit(3).collect()
     return rows, {r["k"]: r["v"] for r in found}
