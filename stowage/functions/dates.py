@@ -1,7 +1,8 @@
 """Dates found in tags, as zone-free timestamps.
 
-Parsing goes through the session zone, so sessions run in UTC (``stowage.session``).
-One-letter field patterns take one or two digits, as the tag writers do.
+Tags name no zone (a closing 'Z' is read as a letter), so no zone enters the parsing.  A
+value must have one of the shapes below in full; the JVM's own cast, which takes one or
+two digits per field and gives null for days that do not exist, does the rest.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 from stowage.functions.names import clean
 
 # Date formats seen in photo tags and in container tags.
-EXIF_FORMATS = ("yyyy:M:d H:m:s", "yyyy-M-d H:m:s")
-CONTAINER_FORMATS = (
-    "yyyy-M-d'T'H:m:s[.SSSSSS]'Z'",
-    "yyyy-M-d H:m:s",
-    "yyyy:M:d H:m:s",
-    "yyyy-M-d",
+#   Y:m:d H:M:S   Y-m-d H:M:S                                      (both)
+#   Y-m-dTH:M:S.fZ   Y-m-dTH:M:SZ   Y-m-d                          (containers)
+_DAY = r"([0-9]{1,2})"
+_TIME = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+_YEAR = r"(?!0000)([0-9]{4})"
+EXIF_SHAPE = rf"\A{_YEAR}([:-]){_DAY}\2{_DAY}\s+({_TIME})\z"
+CONTAINER_SHAPE = (
+    rf"\A{_YEAR}(?:-{_DAY}-{_DAY}(?:T({_TIME}(?:\.[0-9]{{1,6}})?)Z|\s+({_TIME}))?"
+    rf"|:{_DAY}:{_DAY}\s+({_TIME}))\z"
 )
 
 # Photo tags that hold a date; container fields in order of trust.
@@ -34,19 +38,19 @@ CONTAINER_DATE_FIELDS = (
 )
 
 
-def _first_parse(text: Column, formats: Sequence[str]) -> Column:
-    single_spaced = F.regexp_replace(text, r"\s+", " ")
-    tries = [F.try_to_timestamp(single_spaced, F.lit(f)) for f in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+def _cast(text: Column, shape: str, standard: str) -> Column:
+    iso = F.regexp_replace(text, shape, standard)
+    return F.when(text.rlike(shape), iso.try_cast("timestamp_ntz"))
 
 
 def parse_exif(value: Column) -> Column:
-    return _first_parse(clean(value), EXIF_FORMATS)
+    return _cast(clean(value), EXIF_SHAPE, "$1-$3-$4 $5")
 
 
 def parse_container(value: Column) -> Column:
-    """All-zero dates are no dates: they fail to parse and give null."""
-    return _first_parse(F.btrim(value, F.lit(" \t\n\r\x0b\x0c")), CONTAINER_FORMATS)
+    """All-zero dates are no dates and give null."""
+    text = F.btrim(value, F.lit(" \t\n\r\x0b\x0c"))
+    return _cast(text, CONTAINER_SHAPE, "$1-$2$6-$3$7 $4$5$8")
 
 
 def container_keys(fields: Sequence[str] = CONTAINER_DATE_FIELDS) -> list[str]:
@@ -57,7 +61,9 @@ def container_keys(fields: Sequence[str] = CONTAINER_DATE_FIELDS) -> list[str]:
 
 def container_date(tags: Column) -> Column:
     """First spelling whose value parses, from a MAP<STRING, STRING>."""
-    return F.coalesce(*[parse_container(F.try_element_at(tags, F.lit(k))) for k in container_keys()])
+    keys = F.array(*map(F.lit, container_keys()))
+    parsed = F.transform(keys, lambda key: parse_container(F.try_element_at(tags, key)))
+    return F.get(F.array_compact(parsed), F.lit(0))
 
 
 def file_date(mtime: Column) -> Column:

@@ -12,9 +12,6 @@ UNKNOWN = "Unknown"
 FORBIDDEN = '<>:"/\\|?*'
 MAX_NAME = 200
 
-# A suffix starts at the last dot, unless that dot is the first or last character.
-_SUFFIX = r"(?s)\A.+(\.[^.]+)\z"
-
 
 def _nonempty(text: Column) -> Column:
     return F.when(text != "", text)
@@ -30,8 +27,14 @@ def parent_of(path: Column) -> Column:
 
 
 def suffix_of(name: Column) -> Column:
-    """Suffix with its dot and its case, '' if there is none."""
-    return F.regexp_extract(name, _SUFFIX, 1)
+    """Suffix with its dot and its case, '' if there is none.
+
+    It starts at the last dot, unless that dot is the first or the last character.
+    """
+    tail = F.substring_index(name, ".", -1)
+    before = F.length(name) - F.length(tail)
+    found = F.right(name, F.length(tail) + 1)
+    return F.when((before > 1) & (tail != ""), found).when(name.isNotNull(), "")
 
 
 def stem_of(name: Column) -> Column:
@@ -71,7 +74,7 @@ def sanitize(text: Column) -> Column:
     """A name that any file system takes; the strip comes before the cut."""
     swapped = F.translate(text, FORBIDDEN, "_" * len(FORBIDDEN))
     cut = F.left(F.btrim(swapped, F.lit(". ")), F.lit(MAX_NAME))
-    return F.coalesce(_nonempty(cut), F.lit(UNKNOWN))
+    return F.regexp_replace(cut, r"\A\z", UNKNOWN)  # only if empty; evaluates ``cut`` once
 
 
 def under(root: str, *parts: Column) -> Column:

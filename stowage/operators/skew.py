@@ -39,18 +39,20 @@ def attach(
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
     keys = list(keys)
-    groups = save(groups, "groups")
+    values = [c for c in groups.columns if c not in keys]
+    # The salt is read from the table: as a literal it would be folded out of the join key.
+    groups = save(groups.withColumn("_salt", F.lit(0)), "groups")
     total, largest = groups.agg(F.sum(count), F.max(count)).first()
     if largest is None or largest <= group_rows:
-        return rows.join(groups, keys, how)
+        return rows.join(groups.drop("_salt"), keys, how)
 
     floor = max(group_rows, total // HOT_GROUPS)
-    values = [c for c in groups.columns if c not in keys]
     hot = groups.filter(F.col(count) > floor).select(*keys, F.struct(*values).alias("_hot"))
     cold = groups.filter(F.col(count) <= floor).select(
-        *keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt")
+        *keys, F.struct(*values).alias("_cold"), "_salt"
     )
-    spread = 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 16)).cast("int")
+    hashable = [name for name, kind in rows.dtypes if "map<" not in kind]
+    spread = 1 + F.pmod(F.xxhash64(*hashable), F.lit(1 << 16)).cast("int")
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(0)
     )

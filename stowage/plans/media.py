@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import dates, names
 from stowage.operators import collisions, filters, tagging
+from stowage.operators.scratch import save
 from stowage.plans.common import as_plan
 from stowage.sources import tags as tag_source
 
@@ -16,14 +17,15 @@ def _settle(
 ) -> DataFrame:
     """Plan from rows with path, size, action, reason, directory and wanted name."""
     kept = ["path", "size", "action", "reason", "directory", "wanted"]
-    moves = rows.filter("action = 'move'").select(*kept)
+    rows = save(rows.select(*kept), "targets")  # tags are joined and parsed once
+    moves = rows.filter("action = 'move'")
     if existing is not None:
         existing = existing.select(F.col("dir").alias("directory"), F.col("name").alias("wanted"))
     settled = collisions.resolve(
         moves, "directory", "wanted", ["path"], "chained", existing, group_rows=group_rows
     )
     target = names.under(output, F.col("directory"), F.col("final_name"))
-    stay = rows.filter("action <> 'move'").select(*kept)
+    stay = rows.filter("action <> 'move'")
     return as_plan(settled, target, F.col("reason"), F.col("directory")).unionByName(
         as_plan(stay, reason=F.col("reason"))
     )

@@ -8,8 +8,8 @@ from pyspark.sql import SparkSession
 def session(app: str = "stowage", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings this package expects.
 
-    Dates in tags carry no zone, so they are parsed in UTC; AQE is left on because the
-    operators rely on it to size shuffles and to split what skew remains in joins.
+    File times are shown in UTC.  AQE is left on because the operators rely on it to size
+    shuffles and to split what skew remains in joins.
     """
     builder = (
         SparkSession.builder.appName(app)
