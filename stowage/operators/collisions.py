@@ -123,7 +123,9 @@ def _taken_indices(numbered: DataFrame, style: str, group_rows: int | None) -> D
     further = (
         numbered.filter("place > 1").groupBy("dir", "name").agg(F.count("*").alias("claims"))
     )
-    occupied = _occupied(numbered.filter("place = 1").select("dir", "name"), style).distinct()
+    if further.isEmpty():
+        return None
+    occupied = _occupied(numbered.filter("place = 1").select("dir", "name"), style)
     occupied = save(occupied, "indices")
     if occupied.isEmpty():
         return None

@@ -105,24 +105,31 @@ def number_rows(
 ) -> DataFrame:
     """Number rows from 1 inside each group of ``keys`` (all rows if empty).
 
-    Pass narrow rows: they are written once (unless ``saved``) and read for the check.
+    Groups that one task can sort go through a window; the rows of larger ones are placed
+    in a total order.  Pass narrow rows: they are written once (unless ``saved``).
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
     keys, order = list(keys), list(order)
     rows = rows if saved else save(rows)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn(out, F.row_number().over(window).cast("bigint"))
-
-    indexed = global_index(rows, [*[F.col(k) for k in keys], *order], out)
+    total = rows.count()
+    window = Window.partitionBy(*keys).orderBy(*order)
+    number = F.row_number().over(window).cast("bigint")
+    if total <= group_rows:
+        return rows.withColumn(out, number)
     if not keys:
-        return indexed.withColumn(out, F.col(out) + 1)
-    indexed = save(indexed, "indexed")
-    starts = indexed.groupBy(*keys).agg(F.min(out).alias("_start"), F.count("*").alias("_n"))
-    return (
-        attach(indexed, starts, keys, "_n", group_rows=group_rows)
-        .withColumn(out, F.col(out) - F.col("_start") + 1)
-        .select(*rows.columns, out)
+        return global_index(rows, order, out).withColumn(out, F.col(out) + 1)
+
+    floor = max(group_rows, total // HOT_GROUPS)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = save(sizes.filter(F.col("_n") > floor).select(*keys), "hot")  # fewer than HOT_GROUPS
+    if hot.isEmpty():
+        return rows.withColumn(out, number)
+    columns = [*rows.columns, out]
+    hot = F.broadcast(hot)
+    small = rows.join(hot, keys, "left_anti").withColumn(out, number)
+    placed = global_index(
+        rows.join(hot, keys, "left_semi"), [*[F.col(k) for k in keys], *order], "_index"
     )
+    starts = F.broadcast(placed.groupBy(*keys).agg(F.min("_index").alias("_start")))
+    large = placed.join(starts, keys).withColumn(out, F.col("_index") - F.col("_start") + 1)
+    return small.select(*columns).unionByName(large.select(*columns))
