@@ -209,7 +209,7 @@ def space_gate(spark, folder):
 
 @query(
     "required_bytes",
-    f"""WITH {p.DOCS} SELECT lang AS ext, CAST(sum(size) AS BIGINT) AS total, sum(size) * 1.1::DOUBLE AS required
+    f"""WITH {p.DOCS} SELECT lang AS ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS total, sum(size) * 1.1::DOUBLE AS required
     FROM docs GROUP BY 1""",
 )
 def required_bytes(spark, folder):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.operators.scratch import save
-from stowage.operators.skew import number_rows
+from stowage.operators.skew import attach, number_rows
 
 
 def chunk(
@@ -60,15 +60,18 @@ def cap_moves(
 
 
 def required_bytes(rows: DataFrame, copy: bool = False) -> DataFrame:
-    """(ext, total, required): copies need a tenth more than they hold, moves a tenth."""
+    """(ext, files, total, required): copies need a tenth more than they hold, moves a tenth."""
     total = F.coalesce(F.sum("size"), F.lit(0)).alias("total")
     factor = 1.1 if copy else 0.1
-    return rows.groupBy("ext").agg(total).withColumn("required", F.col("total") * F.lit(factor))
+    sums = rows.groupBy("ext").agg(F.count("*").alias("files"), total)
+    return sums.withColumn("required", F.col("total") * F.lit(factor))
 
 
-def space_gate(rows: DataFrame, free_bytes: int, copy: bool = False) -> DataFrame:
+def space_gate(
+    rows: DataFrame, free_bytes: int, copy: bool = False, group_rows: int | None = None
+) -> DataFrame:
     """Add ``fits``: an extension whose files need more than is free is left out whole."""
     need = required_bytes(rows, copy).select(
-        "ext", (F.col("required") <= F.lit(float(free_bytes))).alias("fits")
+        "ext", "files", (F.col("required") <= F.lit(float(free_bytes))).alias("fits")
     )
-    return rows.join(F.broadcast(need), "ext")  # one row per extension asked for
+    return attach(rows, need, ["ext"], "files", group_rows=group_rows).drop("files")

@@ -141,7 +141,7 @@ def _taken_indices(numbered: DataFrame, style: str, group_rows: int | None) -> D
 def _merge_indices(numbered: DataFrame, indices: DataFrame, group_rows: int | None) -> DataFrame:
     """Places to indices: one line per base for its further claims and its taken indices."""
     keys = ["dir", "name"]
-    ranked = number_rows(indices, keys, [F.col("index")], "i", group_rows, saved=True)
+    ranked = number_rows(indices, keys, [F.col("index")], "i", group_rows)
     marks = ranked.select(*keys, (F.col("index") - F.col("i")).alias("at"), F.lit(0).alias("kind"))
     per_base = numbered.groupBy(*keys).agg(F.count("*").alias("_n"))
     bases = indices.groupBy(*keys).agg(F.lit(True).alias("busy")).join(per_base, keys)

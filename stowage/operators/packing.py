@@ -152,12 +152,9 @@ def pack(
     placed = save(rows.filter("size > 0").withColumn("_class", _class_of(limit)), "sized")
     keys = [*group, "_class"]
     table = _folded(_edges(placed, group), group, limit)
-    numbered = number_rows(
-        placed, keys, [F.desc("size"), F.col(path)], "_pos", group_rows=group_rows, saved=True
-    )
-    return _place(attach(numbered, table, keys, "class_n", group_rows=group_rows)).select(
-        *rows.columns, "batch"
-    )
+    numbered = number_rows(placed, keys, [F.desc("size"), F.col(path)], "_pos", group_rows)
+    known = attach(numbered, table, keys, "class_n", "inner", group_rows, total=placed.count())
+    return _place(known).select(*rows.columns, "batch")
 
 
 def _place(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_MARK = "_stowage_saved"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,9 +29,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/stowage-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/stowage-{app}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def save(df: DataFrame, label: str = "rows") -> DataFrame:
@@ -38,4 +42,17 @@ def save(df: DataFrame, label: str = "rows") -> DataFrame:
     spark = df.sparkSession
     folder = new_folder(spark, label)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    setattr(table, _MARK, True)
+    return table
+
+
+def is_saved(df: DataFrame) -> bool:
+    """Whether ``df`` is a table written by ``save``: reading it again costs little."""
+    return getattr(df, _MARK, False)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables this application has saved.  Results not yet written are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.operators.scratch import save
+from stowage.operators.scratch import is_saved, save
 
 #: Rows of one group that a single task may sort or join.
 GROUP_ROWS = 1_000_000
@@ -30,23 +30,30 @@ def attach(
     count: str,
     how: str = "inner",
     group_rows: int | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` with ``groups`` (one row per key, its row count in ``count``).
 
     Keys shared by more than ``group_rows`` rows are served from a broadcast of those
     groups alone and their rows are salted, so no task receives a whole hot group.
     ``how`` is 'inner' or 'left'.  Key columns hold no nulls on the ``groups`` side.
+    ``total`` is the number of rows, if known: a small input has no large group.
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
     keys = list(keys)
+    if total is None and is_saved(rows):
+        total = rows.count()
+    if total is not None and total <= group_rows:
+        return rows.join(groups, keys, how)
+
     values = [c for c in groups.columns if c not in keys]
     # The salt is read from the table: as a literal it would be folded out of the join key.
     groups = save(groups.withColumn("_salt", F.lit(0)), "groups")
-    total, largest = groups.agg(F.sum(count), F.max(count)).first()
+    members, largest = groups.agg(F.sum(count), F.max(count)).first()
     if largest is None or largest <= group_rows:
         return rows.join(groups.drop("_salt"), keys, how)
 
-    floor = max(group_rows, total // HOT_GROUPS)
+    floor = max(group_rows, members // HOT_GROUPS)
     hot = groups.filter(F.col(count) > floor).select(*keys, F.struct(*values).alias("_hot"))
     cold = groups.filter(F.col(count) <= floor).select(
         *keys, F.struct(*values).alias("_cold"), "_salt"
@@ -101,16 +108,15 @@ def number_rows(
     order: Sequence[Column],
     out: str,
     group_rows: int | None = None,
-    saved: bool = False,
 ) -> DataFrame:
     """Number rows from 1 inside each group of ``keys`` (all rows if empty).
 
     Groups that one task can sort go through a window; the rows of larger ones are placed
-    in a total order.  Pass narrow rows: they are written once (unless ``saved``).
+    in a total order.  Pass narrow rows: they are saved, unless they are a saved table.
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
     keys, order = list(keys), list(order)
-    rows = rows if saved else save(rows)
+    rows = rows if is_saved(rows) else save(rows)
     total = rows.count()
     window = Window.partitionBy(*keys).orderBy(*order)
     number = F.row_number().over(window).cast("bigint")

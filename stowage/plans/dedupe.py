@@ -41,7 +41,7 @@ def dedupe_files(
     plan = dedupe(hashed, strategy)
     if every_digest:
         return plan
-    alone = chosen.join(chosen.groupBy("size").count().filter("count = 1").select("size"), "size")
+    alone = chosen.groupBy("size").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n = 1")
     return plan.unionByName(as_plan(alone.withColumn("action", F.lit("keep"))))
 
 

@@ -36,11 +36,12 @@ def organize_by_extension(
     rows = save(wanted.withColumn("directory", names.extension_dir(F.col("ext"))), "wanted")
     held = _held(existing, extensions, hashed) if existing is not None else None
 
-    rows = batching.space_gate(rows, free_bytes, copy) if free_bytes is not None else rows.withColumn(
-        "fits", F.lit(True)
-    )
-    blocked = rows.filter("not fits").withColumn("action", F.lit("skip_space"))
-    rows = batching.chunk(rows.filter("fits"), batch_size, group_rows=group_rows)
+    blocked = rows.limit(0)
+    if free_bytes is not None:
+        gated = save(batching.space_gate(rows, free_bytes, copy, group_rows), "gated")
+        blocked, rows = gated.filter("not fits").drop("fits"), gated.filter("fits").drop("fits")
+    blocked = blocked.withColumn("action", F.lit("skip_space"))
+    rows = batching.chunk(rows, batch_size, group_rows=group_rows)
     if skip_duplicates:
         before = held if held is not None else rows.limit(0)
         rows = duplicates.mark_incoming(

@@ -143,15 +143,17 @@ def tag_dump(files: DataFrame, tags: DataFrame) -> DataFrame:
     def lines(rows: DataFrame, place: Column, line: Column) -> DataFrame:
         return rows.select("name", "path", place.cast("int").alias("place"), line.alias("line"))
 
-    tagged = files.join(tags.select("path").distinct(), "path", "left_semi")
-    untagged = files.join(tags.select("path").distinct(), "path", "left_anti")
+    counts = tags.groupBy("path").agg(F.count("*").alias("n"))
+    files = save(files.join(counts, "path", "left"), "files")
+    readable = files.filter(good)
+    tagged = attach(tags, readable.filter("n > 0").select("path", "name", "n"), ["path"], "n")
     shown = F.concat(F.col("tag"), F.lit(": "), F.col("value"))
     failed = F.concat(F.lit("Error reading EXIF from "), "path", F.lit(": "), "tag_error")
     return (
-        lines(files.filter(good), F.lit(-2), F.lit("=" * 10))
-        .unionByName(lines(files.filter(good), F.lit(-1), F.col("name")))
-        .unionByName(lines(tagged.filter(good).join(tags, "path"), F.col("pos"), shown))
-        .unionByName(lines(untagged.filter(good), F.lit(0), F.lit("No EXIF data found.")))
+        lines(readable, F.lit(-2), F.lit("=" * 10))
+        .unionByName(lines(readable, F.lit(-1), F.col("name")))
+        .unionByName(lines(tagged, F.col("pos"), shown))
+        .unionByName(lines(readable.filter("n is null"), F.lit(0), F.lit("No EXIF data found.")))
         .unionByName(lines(files.filter(~good), F.lit(0), failed))
     )
 

@@ -62,3 +62,14 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "k string, p string")
     assert skew.number_rows(df, ["k"], [F.col("p")], "rn").count() == 0
     assert skew.attach(df, df.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n").count() == 0
+
+
+def test_saved_tables_and_their_release(spark, tmp_path):
+    from stowage.operators import scratch
+
+    _, df = hot_rows(spark)
+    table = scratch.save(df)
+    assert scratch.is_saved(table) and not scratch.is_saved(table.filter("i > 1"))
+    assert table.count() == 900 and table.schema.names == df.schema.names
+    folder = table.inputFiles()[0]
+    assert folder.startswith("file://" + spark.conf.get("spark.checkpoint.dir"))
