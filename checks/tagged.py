@@ -84,13 +84,9 @@ def camera_tree(spark, folder):
         CASE WHEN NOT failed THEN strftime(found, {_SQL_TEXT}) END AS taken FROM videos""",
 )
 def container_date(spark, folder):
-    probe = F.col("probe")
-    taken = dates.container_date(tag_source.probe_tags(probe))
-    return p.videos(spark, folder).select(
-        F.col("size").alias("key"),
-        tag_source.probe_failed(probe).alias("failed"),
-        F.date_format(taken, _TEXT).alias("taken"),
-    )
+    rows = tag_source.read_probe(p.videos(spark, folder), "probe")
+    taken = F.date_format(dates.container_date(F.col("tags")), _TEXT)
+    return rows.select(F.col("size").alias("key"), "failed", taken.alias("taken"))
 
 
 @query(

@@ -88,7 +88,7 @@ def dated_name(name: Column, taken: Column) -> Column:
 
 
 def dated_dir(taken: Column) -> Column:
-    return F.concat_ws("/", F.date_format(taken, "yyyy"), F.date_format(taken, "MM-MMMM"))
+    return F.date_format(taken, "yyyy/MM-MMMM")
 
 
 def make_dir(make: Column, raw: bool = False) -> Column:

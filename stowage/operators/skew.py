@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.operators.scratch import is_saved, save
@@ -20,6 +20,7 @@ GROUP_ROWS = 1_000_000
 #: than this many groups can ever be hot, and their values can always be broadcast.
 HOT_GROUPS = 1_000
 
+_MAX_TASKS = 100_000
 _LOCAL_BITS = 33  # layout of monotonically_increasing_id: partition, then row in it
 
 
@@ -72,16 +73,21 @@ def attach(
     return joined.select(*keys, *others, *[F.col("_value")[v].alias(v) for v in values])
 
 
-def global_index(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+def _tasks(spark: SparkSession, total: int) -> int:
+    """As many as the session uses, or more for tasks of at most GROUP_ROWS rows."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, min(total // GROUP_ROWS + 1, _MAX_TASKS))
+
+
+def global_index(rows: DataFrame, order: Sequence[Column], out: str, total: int) -> DataFrame:
     """Position of every row in the total order, from 0, without a single-task sort.
 
-    Rows are range-partitioned and sorted, written with their place in the partition,
-    and shifted by the sizes of the partitions before theirs (one number per partition).
+    ``rows`` are ``total`` at most.  They are range-partitioned and sorted, written with their
+    place in the partition, and shifted by the sizes of the partitions before theirs (one
+    number per partition).
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = save(
-        rows.repartitionByRange(parts, *order)
+        rows.repartitionByRange(_tasks(rows.sparkSession, total), *order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id()),
         "sorted",
@@ -123,7 +129,7 @@ def number_rows(
     if total <= group_rows:
         return rows.withColumn(out, number)
     if not keys:
-        return global_index(rows, order, out).withColumn(out, F.col(out) + 1)
+        return global_index(rows, order, out, total).withColumn(out, F.col(out) + 1)
 
     floor = max(group_rows, total // HOT_GROUPS)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -134,7 +140,7 @@ def number_rows(
     hot = F.broadcast(hot)
     small = rows.join(hot, keys, "left_anti").withColumn(out, number)
     placed = global_index(
-        rows.join(hot, keys, "left_semi"), [*[F.col(k) for k in keys], *order], "_index"
+        rows.join(hot, keys, "left_semi"), [*[F.col(k) for k in keys], *order], "_index", total
     )
     starts = F.broadcast(placed.groupBy(*keys).agg(F.min("_index").alias("_start")))
     large = placed.join(starts, keys).withColumn(out, F.col("_index") - F.col("_start") + 1)

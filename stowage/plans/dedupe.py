@@ -36,7 +36,7 @@ def dedupe_files(
     that share their size with another one are hashed, unless every digest is wanted."""
     chosen = filters.exclude_globs(filters.include_globs(manifest, include), exclude)
     chosen = save(chosen.select("path", "size", "mtime"), "chosen")
-    to_hash = chosen if every_digest else digests.same_size_only(chosen)
+    to_hash = chosen if every_digest else save(digests.same_size_only(chosen), "same_size")
     hashed = save(digests.hash_files(to_hash, algorithm), "digests")
     plan = dedupe(hashed, strategy)
     if every_digest:

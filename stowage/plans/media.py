@@ -83,9 +83,7 @@ def video_targets(manifest: DataFrame, probe: str = "probe") -> DataFrame:
 
     ``probe`` is a column with a container probe's JSON.
     """
-    rows = filters.media(manifest, "video")
-    failed = tag_source.probe_failed(F.col(probe))
-    rows = rows.withColumn("_failed", failed).withColumn("_tags", tag_source.probe_tags(F.col(probe)))
+    rows = tag_source.read_probe(filters.media(manifest, "video"), probe, "_tags", "_failed")
     rows = rows.withColumn("_found", dates.container_date(F.col("_tags")))
     taken = F.coalesce("_found", dates.file_date(F.col("mtime")))
     action = F.when(F.col("_failed") | taken.isNull(), "error").otherwise("move")

@@ -118,8 +118,10 @@ def load_digests_json(spark: SparkSession, file: str) -> tuple[DataFrame, dict[s
     meta = lines.select(
         F.regexp_extract("value", fact, 1).alias("k"), F.regexp_extract("value", fact, 2).alias("v")
     )
-    found = meta.filter("k <> ''").limit(3).collect()
-    return rows, {r["k"]: r["v"] for r in found}
+    found = {r["k"]: r["v"] for r in meta.filter("k <> ''").limit(3).collect()}
+    if not found:
+        raise ValueError(f"{file}: no JSON digest file with one key or path per line")
+    return rows, found
 
 
 def _blank_to_null(text: Column) -> Column:

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 _PROBE = "format struct<tags:map<string,string>>, _corrupt_record string"
 
 
-def probe_tags(probe: Column) -> Column:
-    """MAP of container tags from a probe's JSON; empty if there are none."""
-    none = F.create_map().cast("map<string,string>")
-    return F.coalesce(_parsed(probe)["format"]["tags"], none)
-
+def read_probe(df: DataFrame, probe: str, tags: str = "tags", failed: str = "failed") -> DataFrame:
+    """Add the container tags of a probe's JSON and whether the probe failed.
 
-def probe_failed(probe: Column) -> Column:
-    """True for no output and for output that is no JSON object: an error, not 'no date'."""
+    No output and output that is no JSON object are failures; an object without tags is
+    not, its tags are an empty map.  Every document is parsed once.
+    """
+    parsed = F.from_json(F.col(probe), _PROBE, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    none = F.create_map().cast("map<string,string>")
     is_object = F.coalesce(probe, F.lit("")).rlike(r"\A\s*\{")
-    return ~is_object | _parsed(probe)["_corrupt_record"].isNotNull()
-
-
-def _parsed(probe: Column) -> Column:
-    return F.from_json(probe, _PROBE, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return (
+        df.withColumn("_probe", parsed)
+        .withColumn(tags, F.coalesce("_probe.format.tags", none))
+        .withColumn(failed, ~is_object | F.col("_probe._corrupt_record").isNotNull())
+        .drop("_probe")
+    )
 
 
 def first_of_list(values: Column) -> Column:

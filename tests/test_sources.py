@@ -192,3 +192,9 @@ def test_json_database_split_over_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert found == sorted((h, p) for h, paths in many.items() for p in paths)
+
+
+def test_json_database_in_another_layout(spark, tmp_path):
+    (tmp_path / "db.json").write_text('{"metadata": {"algorithm": "md5"}, "hashes": {}}')
+    with pytest.raises(ValueError):
+        digests.load_digests_json(spark, str(tmp_path / "db.json"))
