@@ -150,10 +150,13 @@ def music_tree(spark, folder):
     f"""WITH {p.MUSIC}, wanted AS (SELECT size, 'disc/' || stem || suffix AS path,
         'out/' || {_sanitized('artist')} || '/' || {_sanitized('album')} || '/' AS directory,
         {_MUSIC_NAME} AS name FROM music),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY directory, name ORDER BY path) - 1 AS i FROM wanted)
-    SELECT path, size, 'move' AS action, directory || left(name, length(name) - 4)
-        || CASE WHEN i = 0 THEN '' ELSE '_' || array_to_string(range(1, i + 1), '_') END || '.mp3' AS target
-    FROM ranked""",
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY directory, name ORDER BY path) - 1 AS i FROM wanted),
+    final AS (SELECT *, left(name, length(name) - 4)
+        || CASE WHEN i = 0 THEN '' ELSE '_' || array_to_string(range(1, i + 1), '_') END || '.mp3' AS final_name
+        FROM ranked)
+    SELECT path, size, CASE WHEN octet_length(encode(final_name)) > 255 THEN 'error' ELSE 'move' END AS action,
+        CASE WHEN octet_length(encode(final_name)) <= 255 THEN directory || final_name END AS target
+    FROM final""",
 )
 def music_plan(spark, folder):
     plan = media.organize_music(p.music(spark, folder), "out")

@@ -47,10 +47,18 @@ def _ending(index: Column, style: str) -> Column:
     raise ValueError(f"style is one of {', '.join(STYLES)}")
 
 
-def indexed_name(name: Column, index: Column, style: str) -> Column:
-    """The name with its index, from 1; index 0 is the name itself."""
-    renamed = F.concat(stem_of(name), _ending(index, style), suffix_of(name))
-    return F.when(index > 0, renamed).otherwise(name)
+def indexed_name(name: Column, index: Column, style: str, longest: int | None = None) -> Column:
+    """The name with its index, from 1; index 0 is the name itself.
+
+    Null if it has more than ``longest`` bytes.
+    """
+    if longest is not None and style == "chained":  # a chain is longer than its last index
+        ending = _ending(F.least(index, F.lit(longest).cast("bigint")), style)
+    else:
+        ending = _ending(index, style)
+    renamed = F.concat(stem_of(name), ending, suffix_of(name))
+    final = F.when(index > 0, renamed).otherwise(name)
+    return final if longest is None else F.when(F.octet_length(final) <= longest, final)
 
 
 def _occupied(taken: DataFrame, style: str) -> DataFrame:
@@ -65,12 +73,14 @@ def _occupied(taken: DataFrame, style: str) -> DataFrame:
         .select("dir", stem.alias("stem"), suffix.alias("suffix"))
         .withColumn("digits", digits)
         .filter("digits <> ''")
-        .withColumn("index", F.col("digits").cast("bigint"))
+        .withColumn("index", F.col("digits").try_cast("bigint"))
         .filter("index > 0")
     )
-    if style == "chained":
-        parsed = parsed.filter(2 * F.col("index") <= F.length("stem"))
-    ending = _ending(F.col("index"), style)
+    index = F.col("index")
+    if style == "chained":  # a chain is longer than its last index; never build a longer one
+        parsed = parsed.filter(index <= F.length("stem"))
+        index = F.least(index, F.length("stem").cast("bigint"))
+    ending = _ending(index, style)
     base = F.left("stem", F.length("stem") - F.length(ending))
     return (
         parsed.filter(F.col("stem").endswith(ending))
@@ -88,11 +98,13 @@ def resolve(
     existing: DataFrame | None = None,
     out: str = "final_name",
     group_rows: int | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """Add ``out``, a name no other claim and no entry of ``existing`` has.
 
     ``existing`` holds the same directory and name columns.  ``order`` makes claims of one
-    name unique; pass narrow rows, they are written once.
+    name unique; pass narrow rows, they are written once.  With ``longest``, names of more
+    bytes than that are null.
     """
     if style not in STYLES:
         raise ValueError(f"style is one of {', '.join(STYLES)}")
@@ -114,7 +126,7 @@ def resolve(
         index = numbered.withColumn("index", F.col("place") - 1)
     else:
         index = _merge_indices(numbered, indices, group_rows)
-    final = indexed_name(F.col("name"), F.col("index"), style)
+    final = indexed_name(F.col("name"), F.col("index"), style, longest)
     return index.filter("turn = 1").select("claim.*", final.alias(out))
 
 

@@ -71,7 +71,7 @@ class _Fold:
 
 
 def _class_of(limit: int):
-    return F.expr(f"{int(limit)}L div size")
+    return F.expr(f"{int(limit)}L div nullif(size, 0L)")
 
 
 def _edges(rows: DataFrame, group: Sequence[str]) -> DataFrame:

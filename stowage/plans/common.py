@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.functions import names
 from stowage.schema import PLAN_COLUMNS
 
 ACTIONS = (
@@ -33,6 +34,28 @@ def as_plan(
     ).select(*PLAN_COLUMNS)
 
 
+def moves_plan(
+    settled: DataFrame,
+    output: str,
+    reason: Column | None = None,
+    group_key: Column | None = None,
+    action: str = "move",
+) -> DataFrame:
+    """Plan for rows with path, size, directory and ``final_name``.
+
+    No file system takes a name without ``final_name`` (it is too long): an error.
+    """
+    fits = F.col("final_name").isNotNull()
+    target = names.under(output, F.col("directory"), F.col("final_name"))
+    reason = F.lit(None).cast("string") if reason is None else reason
+    return as_plan(
+        settled.withColumn("action", F.when(fits, action).otherwise("error")),
+        F.when(fits, target),
+        F.when(fits, reason).otherwise("name too long"),
+        group_key,
+    )
+
+
 def outcome(plan: DataFrame) -> DataFrame:
     """One row of counters.  A removed copy also counts as skipped, as it was not moved."""
     moved = F.col("action").isin("move", "copy")
@@ -54,6 +77,5 @@ def outcome_by_group(plan: DataFrame) -> DataFrame:
 
 def target_directories(plan: DataFrame) -> DataFrame:
     """Directories the plan needs."""
-    from stowage.functions.names import parent_of
-
-    return plan.filter("target is not null").select(parent_of(F.col("target")).alias("directory")).distinct()
+    placed = plan.filter("target is not null")
+    return placed.select(names.parent_of(F.col("target")).alias("directory")).distinct()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from stowage.functions import names
 from stowage.operators import batching, collisions, duplicates, filters
 from stowage.operators.scratch import save
-from stowage.plans.common import as_plan
+from stowage.plans.common import as_plan, moves_plan
+from stowage.schema import NAME_BYTES
 
 
 def organize_by_extension(
@@ -63,14 +64,13 @@ def organize_by_extension(
         "plain",
         existing=held,
         group_rows=group_rows,
-    ).withColumn("action", F.lit("copy" if copy else "move"))
-    target = names.under(output, F.col("directory"), F.col("final_name"))
+        longest=NAME_BYTES,
+    )
+    done = moves_plan(moved, output, group_key=F.col("ext"), action="copy" if copy else "move")
     stay = rows.filter("action <> 'move'").select("path", "action", "size", "ext").unionByName(
         blocked.select("path", "action", "size", "ext")
     )
-    return as_plan(moved, target, group_key=F.col("ext")).unionByName(
-        as_plan(stay, group_key=F.col("ext"))
-    )
+    return done.unionByName(as_plan(stay, group_key=F.col("ext")))
 
 
 def _held(existing: DataFrame, extensions: list[str], hashed: list[str]) -> DataFrame:

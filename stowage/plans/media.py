@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from stowage.functions import dates, names
 from stowage.operators import collisions, filters, tagging
 from stowage.operators.scratch import save
-from stowage.plans.common import as_plan
+from stowage.plans.common import as_plan, moves_plan
+from stowage.schema import NAME_BYTES
 from stowage.sources import tags as tag_source
 
 
@@ -22,13 +23,18 @@ def _settle(
     if existing is not None:
         existing = existing.select(F.col("dir").alias("directory"), F.col("name").alias("wanted"))
     settled = collisions.resolve(
-        moves, "directory", "wanted", ["path"], "chained", existing, group_rows=group_rows
+        moves,
+        "directory",
+        "wanted",
+        ["path"],
+        "chained",
+        existing,
+        group_rows=group_rows,
+        longest=NAME_BYTES,
     )
-    target = names.under(output, F.col("directory"), F.col("final_name"))
     stay = rows.filter("action <> 'move'")
-    return as_plan(settled, target, F.col("reason"), F.col("directory")).unionByName(
-        as_plan(stay, reason=F.col("reason"))
-    )
+    done = moves_plan(settled, output, F.col("reason"), F.col("directory"))
+    return done.unionByName(as_plan(stay, reason=F.col("reason")))
 
 
 def _error_flag(manifest: DataFrame) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stowage.functions import names, sizes
 from stowage.operators import collisions, filters, packing
-from stowage.plans.common import as_plan
+from stowage.plans.common import moves_plan
+from stowage.schema import NAME_BYTES
 
 
 def _held(existing: DataFrame | None) -> DataFrame | None:
@@ -30,10 +31,16 @@ def split_into_batches(
         "smaller", -F.col("size")
     )
     settled = collisions.resolve(
-        placed, "directory", "name", ["smaller", "path"], "padded", _held(existing), group_rows=group_rows
+        placed,
+        "directory",
+        "name",
+        ["smaller", "path"],
+        "padded",
+        _held(existing),
+        group_rows=group_rows,
+        longest=NAME_BYTES,
     )
-    target = names.under(output, F.col("directory"), F.col("final_name"))
-    return as_plan(settled.withColumn("action", F.lit("move")), target, group_key=F.col("directory"))
+    return moves_plan(settled, output, group_key=F.col("directory"))
 
 
 def flatten_batches(
@@ -44,11 +51,10 @@ def flatten_batches(
 ) -> DataFrame:
     """Plan that moves files of direct subdirectories into ``output``."""
     nested = filters.at_depth(manifest, 2).select("path", "name", "size")
-    claims = nested.withColumn("directory", F.lit(""))
+    claims = nested.withColumn("directory", F.lit("."))
     if existing is not None:
-        existing = filters.at_depth(existing, 1).select(F.lit("").alias("directory"), "name")
+        existing = filters.at_depth(existing, 1).select(F.lit(".").alias("directory"), "name")
     settled = collisions.resolve(
-        claims, "directory", "name", ["path"], "padded", existing, group_rows=group_rows
+        claims, "directory", "name", ["path"], "padded", existing, group_rows=group_rows, longest=NAME_BYTES
     )
-    target = names.under(output, F.col("final_name"))
-    return as_plan(settled.withColumn("action", F.lit("move")), target)
+    return moves_plan(settled.withColumn("directory", F.lit(None).cast("string")), output)

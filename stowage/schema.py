@@ -28,6 +28,9 @@ TAGS = T.StructType(
     ]
 )
 
+#: Bytes a file system takes in one name.
+NAME_BYTES = 255
+
 #: Columns of every plan, in this order.
 PLAN_COLUMNS = ["path", "action", "target", "reason", "size", "group_key"]
 

@@ -107,7 +107,7 @@ def load_digests_json(spark: SparkSession, file: str) -> tuple[DataFrame, dict[s
         .agg(F.max_by("key", F.when(F.col("key").isNotNull(), F.col("at"))).alias("tail"))
         .select("block", F.last("tail", ignorenulls=True).over(earlier).alias("carried"))
     )
-    text = F.element_at(F.from_json(F.concat(F.lit("["), "item", F.lit("]")), "array<string>"), 1)
+    text = F.get(F.from_json(F.concat(F.lit("["), "item", F.lit("]")), "array<string>"), F.lit(0))
     rows = (
         parsed.withColumn("above", F.last("key", ignorenulls=True).over(inside))
         .join(F.broadcast(carried), "block")  # one row per block of the file

@@ -112,3 +112,13 @@ def test_unknown_style(spark):
     df = spark.createDataFrame([("x", "a", 1)], "d string, n string, o long")
     with pytest.raises(ValueError):
         collisions.resolve(df, "d", "n", ["o"], "roman")
+
+
+def test_names_that_no_file_system_takes(spark):
+    claims = [("x", "a.jpg", i) for i in range(120)] + [("x", "b_999999999999999999.jpg", 120)]
+    found = resolved(spark, claims, [], "chained", longest=255)
+    whole = resolved(spark, claims, [], "chained")
+    assert found == {o: n if len(n) <= 255 else None for o, n in whole.items()}
+    assert 80 < sum(n is not None for n in found.values()) < 100
+    plain = resolved(spark, [("x", "a.jpg", i) for i in range(300)], [], "plain", longest=255)
+    assert plain[299] == "a_299.jpg"

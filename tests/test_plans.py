@@ -166,6 +166,13 @@ def test_photos(spark):
     assert raw["no.png"][1] == "/out/2022/03-March/20220304_050607_no.png"
 
 
+def test_names_too_long_are_errors(spark):
+    long = "é" * 150 + ".jpg"  # 150 characters, 300 bytes
+    exif = tags(spark, [(long, 0, "DateTime", "2023:12:25 14:30:22")])
+    plan = media.organize_photos(manifest(spark, [(long, 1)]), exif, "/out").first()
+    assert (plan.action, plan.target, plan.reason) == ("error", None, "name too long")
+
+
 def test_existing_photo_keeps_its_name(spark):
     held = manifest(spark, [("2023/12-December/20231225_143022_vac.jpg", 1)])
     exif = tags(spark, [("vac.jpg", 0, "DateTime", "2023:12:25 14:30:22")])
