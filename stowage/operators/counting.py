@@ -29,12 +29,16 @@ def type_paths(df: DataFrame, path: str = "rel_path") -> DataFrame:
 
 
 def type_examples(df: DataFrame, limit: int = 10, path: str = "rel_path") -> DataFrame:
-    """First paths of every extension, with the number of further ones in ``more``.
+    """First paths of every extension, with the number of further ones in ``more``."""
+    return first_paths(type_paths(df, path), limit)
+
+
+def first_paths(paths: DataFrame, limit: int) -> DataFrame:
+    """``type_examples`` for rows (ext, path).
 
     The rank filter is applied inside each task before the shuffle, so a task sends at
     most ``limit`` rows per extension.
     """
-    paths = type_paths(df, path)
     counts = paths.groupBy("ext").agg(F.count("*").alias("n"))
     first = Window.partitionBy("ext").orderBy("path")
     top = paths.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit)

@@ -100,13 +100,15 @@ def numbered_sets(sets: DataFrame, group_rows: int | None = None) -> DataFrame:
     return number_rows(sets, [], [F.col("hash")], "set_no", group_rows)
 
 
-def against_digests(digests: DataFrame, known: DataFrame) -> DataFrame:
+def against_digests(
+    digests: DataFrame, known: DataFrame, group_rows: int | None = None
+) -> DataFrame:
     """Flag files whose digest a saved table holds, as ``known``."""
     per_hash = digests.filter("hash is not null").groupBy("hash").agg(F.count("*").alias("_n"))
     seen = known.select("hash").distinct().withColumn("known", F.lit(True))
-    flags = per_hash.join(seen, "hash")
+    flags = per_hash.join(seen, "hash", "left")
     return (
-        attach(digests, flags, ["hash"], "_n", "left")
+        attach(digests, flags, ["hash"], "_n", "left", group_rows)
         .withColumn("known", F.coalesce("known", F.lit(False)))
         .drop("_n")
     )

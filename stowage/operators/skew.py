@@ -8,6 +8,8 @@ plain join or window, larger ones take a path that spreads a single group over t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,8 @@ def attach(
 
     Keys shared by more than ``group_rows`` rows are served from a broadcast of those
     groups alone and their rows are salted, so no task receives a whole hot group.
-    ``how`` is 'inner' or 'left'.  Key columns hold no nulls on the ``groups`` side.
+    Rows without a key, which match nothing, are salted as well.  ``how`` is 'inner' or
+    'left'; for 'left', ``groups`` holds every key that many rows share.
     ``total`` is the number of rows, if known: a small input has no large group.
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
@@ -48,21 +51,25 @@ def attach(
         return rows.join(groups, keys, how)
 
     values = [c for c in groups.columns if c not in keys]
+    hashable = [name for name, kind in rows.dtypes if "map<" not in kind]
+    spread = 1 + F.pmod(F.xxhash64(*hashable), F.lit(1 << 16)).cast("int")
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     # The salt is read from the table: as a literal it would be folded out of the join key.
     groups = save(groups.withColumn("_salt", F.lit(0)), "groups")
     members, largest = groups.agg(F.sum(count), F.max(count)).first()
     if largest is None or largest <= group_rows:
-        return rows.join(groups.drop("_salt"), keys, how)
+        if how == "inner":
+            return rows.join(groups.drop("_salt"), keys)
+        salted = rows.withColumn("_salt", F.when(no_key, spread).otherwise(0))
+        return salted.join(groups, [*keys, "_salt"], how).drop("_salt")
 
     floor = max(group_rows, members // HOT_GROUPS)
     hot = groups.filter(F.col(count) > floor).select(*keys, F.struct(*values).alias("_hot"))
     cold = groups.filter(F.col(count) <= floor).select(
         *keys, F.struct(*values).alias("_cold"), "_salt"
     )
-    hashable = [name for name, kind in rows.dtypes if "map<" not in kind]
-    spread = 1 + F.pmod(F.xxhash64(*hashable), F.lit(1 << 16)).cast("int")
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(0)
+        "_salt", F.when(F.col("_hot").isNotNull() | no_key, spread).otherwise(0)
     )
     joined = salted.join(cold, [*keys, "_salt"], "left").withColumn(
         "_value", F.coalesce("_hot", "_cold")

@@ -45,9 +45,8 @@ def type_report(df: DataFrame, details: bool = False, limit: int = 10, path: str
         ],
         shape,
     )
-    shown = F.rpad(names.display_label(F.col("ext")), 15, " ")
-    long_name = F.length(names.display_label(F.col("ext"))) > 15
-    shown = F.when(long_name, names.display_label(F.col("ext"))).otherwise(shown)
+    shown = names.display_label(F.col("ext"))
+    shown = F.rpad(shown, F.greatest(F.length(shown), F.lit(15)), F.lit(" "))
     share = sizes.percent(F.col("n"), F.lit(total))
     text = F.concat(shown, F.format_string(" : %6d files (%5.1f%%)", "n", share))
 
@@ -64,19 +63,12 @@ def type_report(df: DataFrame, details: bool = False, limit: int = 10, path: str
     report = header.unionByName(counts.select(*body(0, F.lit(0), text)))
     if not details:
         return report
-    examples = counting.type_examples(
-        paths.withColumnRenamed("path", "rel_path").withColumn("name", F.col("rel_path")), limit
-    ).join(counts, "ext")
-    more = counts.filter(F.col("n") > limit)
+    examples = counting.first_paths(paths, limit).join(counts, "ext")
+    example = F.concat(F.lit("    └── "), "path")
+    rest = F.format_string("    └── ... and %d more", F.col("n") - limit)
     return (
-        report.unionByName(
-            examples.select(*body(1, F.col("rank"), F.concat(F.lit("    └── "), "path")))
-        )
-        .unionByName(
-            more.select(
-                *body(2, F.lit(0), F.concat(F.lit("    └── ... and "), (F.col("n") - limit).cast("string"), F.lit(" more")))
-            )
-        )
+        report.unionByName(examples.select(*body(1, F.col("rank"), example)))
+        .unionByName(counts.filter(F.col("n") > limit).select(*body(2, F.lit(0), rest)))
         .unionByName(counts.select(*body(3, F.lit(0), F.lit(""))))
     )
 

@@ -88,9 +88,12 @@ def test_contents(spark):
     assert rows[1].reason == "copy of a"
 
 
-def test_against_saved_digests(spark):
+@pytest.mark.parametrize("group_rows", [None, 1])
+def test_against_saved_digests(spark, group_rows):
     flagged = duplicates.against_digests(
-        digests(spark, [("a", "h"), ("b", "x"), ("c", None)]), digests(spark, [("old", "h"), ("old2", "h")])
+        digests(spark, [("a", "h"), ("b", "x"), ("c", None)]),
+        digests(spark, [("old", "h"), ("old2", "h")]),
+        group_rows,
     )
     assert {r.path: r.known for r in flagged.collect()} == {"a": True, "b": False, "c": False}
 

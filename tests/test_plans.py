@@ -275,7 +275,7 @@ def lines(report, folder):
 
 
 def test_type_report(spark, tmp_path):
-    rows = manifest(spark, [(f"d/f{i:02d}.txt", 1) for i in range(12)] + [("README", 1), ("b.pdf", 1), ("c.pdf", 1)])
+    rows = manifest(spark, [(f"d/f{i:02d}.txt", 1) for i in range(12)] + [("v1.2/README", 1), ("b.pdf", 1), ("c.pdf", 1)])
     text = lines(reports.type_report(rows, details=True), tmp_path / "r")
     assert text[:4] == [
         "File Type Count Summary (Total: 15 files)", "=" * 50,
@@ -284,7 +284,7 @@ def test_type_report(spark, tmp_path):
     assert text[13:15] == ["    └── ... and 2 more", ""]
     assert text[15:] == [
         "pdf             :      2 files ( 13.3%)", "    └── b.pdf", "    └── c.pdf", "",
-        "(no extension)  :      1 files (  6.7%)", "    └── README", "",
+        "(no extension)  :      1 files (  6.7%)", "    └── v1.2/README", "",
     ]
     assert len(lines(reports.type_report(rows), tmp_path / "s")) == 5
     empty = lines(reports.type_report(rows.limit(0)), tmp_path / "e")

@@ -58,6 +58,24 @@ def test_hot_groups_are_spread(spark):
     assert len(per_task) == 4 and max(r[1] for r in per_task) < 500
 
 
+@pytest.mark.parametrize("limit", [10, 5000])
+def test_rows_without_a_key_are_spread(spark, limit):
+    """They match nothing, but a third of all rows may be of that kind."""
+    _, df = hot_rows(spark, 3000)
+    df = df.withColumn("k", F.nullif("k", F.lit("hot")))
+    groups = df.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = skew.attach(df, groups, ["k"], "n", "left", limit)
+        assert joined.count() == 3000 and joined.filter("n is null").count() == 1000
+        per_task = joined.filter("n is null").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(per_task) == 4 and max(r[1] for r in per_task) < 500
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k string, p string")
     assert skew.number_rows(df, ["k"], [F.col("p")], "rn").count() == 0
@@ -73,3 +91,7 @@ def test_saved_tables_and_their_release(spark, tmp_path):
     assert table.count() == 900 and table.schema.names == df.schema.names
     folder = table.inputFiles()[0]
     assert folder.startswith("file://" + spark.conf.get("spark.checkpoint.dir"))
+    scratch.release(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        table.collect()
+    assert scratch.save(df).count() == 900
