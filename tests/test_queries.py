@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from checks.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "orders part events documents pages".split()
@@ -26,7 +27,7 @@ def rows(frame, columns):
     return sorted(map(repr, plain.where(plain.notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, database, name):
     found = contract.queries()[name](spark, DATA).toPandas()
     expected = database.execute(contract.oracle_sql()[name]).df()
