@@ -161,7 +161,8 @@ def plan(
     grid = np.minimum(np.ceil(np.arange(window + 1) / step).astype(int), steps)
     open_: dict[tuple[int, ...], int] = {}
 
-    # repeats of combinations of steps; a step is served by its own lengths, longest first
+    # repeats of combinations of steps; a step is served by its own lengths, longest first, the
+    # last step of a combination by the longest that still fits
     counts = np.bincount(grid, weights=left, minlength=steps + 1)[1:]
     combos = [c for c in _combinations(steps, depth) if all(counts[p - 1] for p in c)]
     if combos:
@@ -174,13 +175,18 @@ def plan(
         for j in np.argsort(-repeats, kind="stable"):
             want = int(repeats[j])
             while want:
-                lengths, used = [], {}
-                for part in combos[j]:
-                    length = next((l for l in by_step[part] if left[l] > used.get(l, 0)), None)
+                lengths, used, room = [], {}, window
+                for at, part in enumerate(combos[j]):
+                    if at + 1 < len(combos[j]):
+                        length = next((l for l in by_step[part] if left[l] > used.get(l, 0)), None)
+                    else:  # the last one closes the window as well as any length can
+                        fits = np.flatnonzero(left[: room + 1])[::-1]
+                        length = next((int(l) for l in fits if left[l] > used.get(int(l), 0)), None)
                     if length is None:
                         break
                     lengths.append(length)
                     used[length] = used.get(length, 0) + 1
+                    room -= length
                 else:
                     n = min(want, *(int(left[l]) // k for l, k in used.items()))
                     for l, k in used.items():
