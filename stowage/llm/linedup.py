@@ -8,7 +8,9 @@ sets, and the later line of a pair goes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import pick, unpack_rows, whole_rows
@@ -21,17 +23,21 @@ COUNTERS = 1 << 18
 #: Words of 64 bits in the bit vector of documents that a later pass needs.
 BITS = 1 << 16
 
+#: Lines of a word that every other line of it is compared with before all the rest.
+FIRST = 16
+
 _NO_ID = (1 << 63) - 1
-_SPACE = r"[\x20\x09-\x0D]+"
 _HASH_BITS = 57
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, h, pos, words): the lines of every text with their distinct hashed words."""
-    words = F.split(F.lower("line"), _SPACE)
-    lines = docs.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hashed = F.transform(F.array_remove(F.array_distinct(words), ""), lambda w: F.xxhash64(w))
-    return lines.select("doc", "h", "pos", hashed.alias("words"))
+    """(doc, h, pos, words): the lines with words of every text, as lists of words."""
+    text = F.col("text")
+    for space in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    lines = docs.select("doc", "h", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    words = F.array_remove(F.split(F.lower("line"), " "), "")
+    return lines.filter(F.trim("line") != "").select("doc", "h", "pos", words.alias("words"))
 
 
 def _dense(spark: SparkSession, rows: DataFrame, size: int, kind: str) -> DataFrame:
@@ -46,20 +52,20 @@ def _dense(spark: SparkSession, rows: DataFrame, size: int, kind: str) -> DataFr
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All lines with words, and those to remove, of (doc, h, text)."""
     spark = docs.sparkSession
-    lines = _lines(docs).filter("size(words) > 0")
-
     # how frequent words are, by hashed counters, as one array of fixed size
-    word = lines.select(F.explode("words").alias("word"))
-    counted = word.groupBy(F.pmod("word", F.lit(COUNTERS)).alias("at")).count()
+    word = F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("word")
+    place = F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("at")
+    counted = docs.select(word).groupBy(place).count()
     rank = F.least(F.floor(F.log2(F.col("count").cast("double")) * 2), F.lit(63)).alias("value")
     ranks = save(_dense(spark, counted.select("at", rank), COUNTERS, "int"), "ranks")
     ranks.createOrReplaceTempView("_stowage_ranks")
 
-    # ordered by rarity, then by hash; a word keeps 57 bits of its hash and its rank
-    spread = lines.withColumn("ranks", F.expr("(select first(all) from _stowage_ranks)"))
+    # distinct words ordered by rarity, then by hash: a word keeps its rank and 57 bits of its hash
+    spread = _lines(docs).withColumn("ranks", F.expr("(select first(all) from _stowage_ranks)"))
     ordered = F.expr(
-        f"array_sort(transform(words, w -> (element_at(ranks, cast(pmod(w, {COUNTERS}) as int) + 1)"
-        f" * {1 << _HASH_BITS}L) | shiftrightunsigned(w, {64 - _HASH_BITS})))"
+        "sort_array(array_distinct(transform(words, w ->"
+        f" (element_at(ranks, cast(pmod(xxhash64(w), {COUNTERS}) as int) + 1) * {1 << _HASH_BITS}L)"
+        f" | shiftrightunsigned(xxhash64(w), {64 - _HASH_BITS}))))"
     )
     spread = spread.withColumn("words", ordered).drop("ranks").withColumn("n", F.size("words"))
     bits = F.aggregate("words", F.lit(0).cast("long"), lambda held, w: held.bitwiseOR(_bit(w)))
@@ -74,62 +80,90 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
             F.xxhash64(F.lit(1), "words").alias("id2"),
             F.slice("words", F.lit(1), kept).alias("prefix"),
             bits.alias("bits"),
-        ).withColumn("rid", F.monotonically_increasing_id()),
+        ),
         "lines",
     )
 
-    # one line for each set of words
+    # one line for each set of words, numbered in the order of lines
     firsts = known.groupBy("id1", "id2").agg(F.min(F.struct("doc", "h", "pos")).alias("f"))
     firsts = firsts.select("id1", "id2", "f.*")
-    keys = ["id1", "id2", "doc", "h", "pos"]
+    order = ["doc", "h", "pos"]
+    firsts = firsts.repartitionByRange(*order).sortWithinPartitions(*order)
+    firsts = save(firsts.withColumn("oid", F.monotonically_increasing_id()), "firsts")
+    keys = ["id1", "id2", *order]
     classes = known.join(firsts, keys)
-    at = F.posexplode("prefix").alias("i", "word")
-    post = classes.select("rid", "n", "bits", at)
-    left, right = (
-        post.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("rid", "n", "bits", "i")])
-        for side in ("a", "b")
-    )
-    shortest, longest = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    rest = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
+    shape = (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("shape")
+    post = classes.select("oid", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    post = post.select("word", "oid", "bits", shape)
+    ranked = post.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("oid")))
+
+    # every line meets the first lines of its words; what they don't settle meets the others
+    near = _meet(ranked.filter(F.col("rank") <= FIRST), ranked, percent)
+    gone = save(_verified(docs, near, firsts, percent), "gone")
+    deep = ranked.filter(F.col("rank") > FIRST)
+    rest = _meet(deep, deep.join(gone, "oid", "left_anti"), percent)
+    similar = gone.union(_verified(docs, rest, firsts, percent)).distinct()
+    similar = firsts.join(similar, "oid").select(*order)
+
+    # later copies of a class, and first lines that are like an earlier one
+    copies = known.select(*keys).join(firsts, keys, "left_anti").select(*order)
+    return known.select(*order, "n"), save(copies.union(similar).distinct(), "removed")
+
+
+def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a before b, that share a word and pass the filters."""
+    sides = []
+    for side, rows in (("a", left), ("b", right)):
+        length = F.shiftright("shape", 32)
+        behind = length - F.col("shape").bitwiseAND(F.lit((1 << 32) - 1))
+        sides.append(
+            rows.select(
+                "word",
+                F.col("oid").alias(side),
+                F.col("bits").alias(f"{side}_bits"),
+                length.alias(f"{side}_n"),
+                behind.alias(f"{side}_rest"),
+            )
+        )
     both = F.col("a_n") + F.col("b_n")
     differ = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
-    # overlap o reaches the threshold if (100 + percent) * o >= percent * (a_n + b_n)
-    needed = both * percent
-    met = left.join(
-        right,
-        (left["word"] == right["word"])
-        & (F.col("a_rid") < F.col("b_rid"))
-        & (shortest * 100 >= longest * percent)
-        & (rest * (100 + percent) >= needed)
-        & ((both - differ) * (100 + percent) >= needed * 2),
+    # an overlap o reaches the threshold if (100 + percent) * o >= percent * (a_n + b_n)
+    met = (
+        sides[0]
+        .join(sides[1], "word")
+        .filter(
+            (F.col("a") < F.col("b"))
+            & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+            & (F.least("a_rest", "b_rest") * (100 + percent) >= both * percent)
+            & ((both - differ) * (100 + percent) >= both * percent * 2)
+        )
     )
-    pairs = save(met.select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct(), "pairs")
+    return save(met.select("a", "b").distinct(), "pairs")
+
 
-    # whole word sets of the lines in pairs, read again from their documents
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    wanted = save(known.select("rid", "doc", "h", "pos").join(wanted, "rid"), "wanted")
+def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """(oid): the later lines of the pairs whose whole word sets reach the threshold."""
+    spark = docs.sparkSession
+    wanted = pairs.select(F.col("a").alias("oid")).union(pairs.select("b")).distinct()
+    wanted = save(firsts.join(wanted, "oid").select("oid", "doc", "h", "pos"), "wanted")
+    # a bit for every document that is needed keeps most others out of the join
     place = F.pmod(F.xxhash64("doc"), F.lit(BITS * 64))
     marks = wanted.select(F.floor(place / 64).cast("long").alias("at"), F.pmod(place, F.lit(64)).alias("bit"))
     marks = marks.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("value"))
-    marked = save(_dense(spark, marks, BITS, "long"), "marks")
-    marked.createOrReplaceTempView("_stowage_marks")
+    name = f"_stowage_marks_{uuid.uuid4().hex[:8]}"
+    save(_dense(spark, marks, BITS, "long"), "marks").createOrReplaceTempView(name)
     held = F.expr(
-        f"shiftrightunsigned(element_at((select first(all) from _stowage_marks),"
+        f"shiftrightunsigned(element_at((select first(all) from {name}),"
         f" cast(pmod(xxhash64(doc), {BITS * 64}) div 64 as int) + 1), cast(pmod(xxhash64(doc), 64) as int)) & 1 = 1"
     )
-    again = _lines(docs.filter(held)).join(wanted, ["doc", "h", "pos"]).select("rid", "words")
-    order = wanted.select("rid", F.struct("doc", "h", "pos").alias("at"))
-    full = save(again.dropDuplicates(["rid"]).join(order, "rid"), "sets")
+    lines = _lines(docs.filter(held)).withColumn("words", F.array_distinct("words"))
+    full = lines.join(wanted, ["doc", "h", "pos"]).select("oid", "words")
+    full = save(full.dropDuplicates(["oid"]), "sets")
     for side in ("a", "b"):
-        pairs = pairs.join(full.toDF(side, f"{side}_words", f"{side}_at"), side)
+        pairs = pairs.join(full.toDF(side, f"{side}_words"), side)
     overlap = F.size(F.array_intersect("a_words", "b_words"))
     same = overlap * (100 + percent) >= (F.size("a_words") + F.size("b_words")) * percent
-    later = F.when(F.col("a_at") < F.col("b_at"), F.col("b_at")).otherwise(F.col("a_at"))
-    similar = pairs.filter(same).select(later.alias("l")).select("l.*").distinct()
-
-    # later copies of a class, and first lines that are like an earlier one
-    copies = known.select(*keys).join(firsts, keys, "left_anti").select("doc", "h", "pos")
-    return known.select("doc", "h", "pos", "n"), save(copies.union(similar).distinct(), "removed")
+    return pairs.filter(same).select(F.col("b").alias("oid")).distinct()
 
 
 def _bit(word: Column) -> Column:
