@@ -80,12 +80,17 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+#: Rows that one call of a function under ``by_batch`` gets.
+BATCH_ROWS = 1000
+
+
 def by_batch(function: Callable, *constants) -> Callable:
     """For mapInArrow: ``function`` makes one record batch of one record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield function(batch, *constants)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                yield function(batch.slice(start, BATCH_ROWS), *constants)
 
     return run
 

@@ -7,8 +7,8 @@ survives is verified on the full shingle sets.
 
 A bucket may hold very many classes, so pairs are never listed bucket by bucket.  First every
 class is compared with one centre of each of its buckets.  Buckets that still hold more than one
-component are then compared in cells of bounded size, of which only the likeliest pairs for
-every two components leave; this repeats with more pairs until no cell holds any back, so that
+component are then compared in cells of bounded size, of which only the likeliest pairs of
+every component leave; this repeats with more pairs until no cell holds any back, so that
 every candidate pair is verified, dropped by its posterior, or connected already.
 """
 
@@ -34,7 +34,7 @@ MISS = 1e-6
 #: Rows of a bucket that meet in one cell come from two chunks of this many.
 CELL = 1024
 
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 300_000
 _BLOCK = 30_000
 _SEED = 20240613
 
@@ -212,10 +212,10 @@ def _cell(sig, comp, chunk, band: int, threshold: float, miss: float, rows: int)
 
 
 def _cell_pairs(batches, threshold: float, miss: float, most: int, rows: int):
-    """The likeliest pairs between components of every cell.
+    """The ``most`` likeliest pairs of every component of every cell.
 
     Rows are sorted by cell.  A pair is looked at only in the first band in which it meets.
-    ``held`` tells that a cell had more pairs for two components than it gave.
+    ``held`` tells that a cell had more pairs than it gave.
     """
     for table, bounds in groups(batches, ["bucket", "_i", "_j"]):
         bands, own, rids = (table[c].to_numpy() for c in ("band", "_own", "rid"))
@@ -227,13 +227,13 @@ def _cell_pairs(batches, threshold: float, miss: float, most: int, rows: int):
             part = slice(start, end)
             chunk = own[part] if across[start] else None
             found = _cell(sigs[part], comps[part], chunk, int(bands[start]), threshold, miss, rows)
-            given: dict[tuple[int, int], int] = {}
+            given: dict[int, int] = {}
             over = False
             for _, x, y in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
                 x, y = x + start, y + start
-                between = (min(comps[x], comps[y]), max(comps[x], comps[y]))
-                given[between] = given.get(between, 0) + 1
-                if given[between] <= most:
+                one, two = given.get(comps[x], 0), given.get(comps[y], 0)
+                if one < most or two < most:
+                    given[comps[x]], given[comps[y]] = one + 1, two + 1
                     a.append(rids[x])
                     b.append(rids[y])
                     held.append(False)
@@ -361,7 +361,7 @@ def near_duplicates(
     names = comps.groupBy("comp").agg(F.min("id").alias("component"))
     comps = attach(comps, names, "comp", ["set_id"]).select("set_id", "component")
     out = attach(known.drop("sig"), comps, "set_id", ["rid"])
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         F.col("doc_id").alias(key),
         "n_shingles",
