@@ -41,7 +41,8 @@ def dedupe_files(
     plan = dedupe(hashed, strategy)
     if every_digest:
         return plan
-    alone = chosen.groupBy("size").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n = 1")
+    sized = chosen.filter("size is not null")
+    alone = sized.groupBy("size").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n = 1")
     return plan.unionByName(as_plan(alone.withColumn("action", F.lit("keep"))))
 
 

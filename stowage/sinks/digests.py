@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def save_digests_json(hashed: DataFrame, folder: str, algorithm: str, generated:
         F.when(F.col("hash") == F.lit(final), "    ]").otherwise("    ],").alias("line"),
     )
     head = [
-        "{", '  "metadata": {', f'    "algorithm": "{algorithm}",', f'    "generated": "{generated}",',
+        "{", '  "metadata": {', f'    "algorithm": {json.dumps(algorithm)},', f'    "generated": {json.dumps(generated)},',
         f'    "total_files": {total}', "  },", '  "hashes": {',
     ]
     frame = [(0, "", i, "", text) for i, text in enumerate(head)]

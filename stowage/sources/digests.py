@@ -71,9 +71,12 @@ def hash_files(manifest: DataFrame, algorithm: str = "sha256") -> DataFrame:
 
 
 def same_size_only(manifest: DataFrame, size: str = "size", group_rows: int | None = None) -> DataFrame:
-    """Files whose size occurs more than once: no other file can have a copy."""
+    """Files whose size is unknown or occurs more than once: no other file can have a copy."""
+    unknown = manifest.filter(F.col(size).isNull())
+    manifest = manifest.filter(F.col(size).isNotNull())
     sizes = manifest.groupBy(size).agg(F.count("*").alias("_n")).filter("_n > 1")
-    return attach(manifest, sizes, [size], "_n", group_rows=group_rows).select(*manifest.columns)
+    shared = attach(manifest, sizes, [size], "_n", group_rows=group_rows)
+    return shared.select(*manifest.columns).unionByName(unknown)
 
 
 # -- digest tables -------------------------------------------------------------------
@@ -118,7 +121,8 @@ def load_digests_json(spark: SparkSession, file: str) -> tuple[DataFrame, dict[s
     meta = lines.select(
         F.regexp_extract("value", fact, 1).alias("k"), F.regexp_extract("value", fact, 2).alias("v")
     )
-    found = {r["k"]: r["v"] for r in meta.filter("k <> ''").limit(3).collect()}
+    # three keys at most, whatever the number of files
+    found = {r["k"]: r["v"] for r in meta.filter("k <> ''").groupBy("k").agg(F.min("v").alias("v")).collect()}
     if not found:
         raise ValueError(f"{file}: no JSON digest file with one key or path per line")
     return rows, found

@@ -87,9 +87,9 @@ def _check_roots(roots: Sequence[str]) -> None:
 
     for root in roots:
         if not os.path.exists(root):
-            raise FileNotFoundError(f"Directory not found: {root}")
+            raise FileNotFoundError(f"there is no folder {root}")
         if not os.path.isdir(root):
-            raise NotADirectoryError(f"Path is not a directory: {root}")
+            raise NotADirectoryError(f"{root} is a file, not a folder")
 
 
 def scan_entries(

@@ -198,3 +198,28 @@ def test_json_database_in_another_layout(spark, tmp_path):
     (tmp_path / "db.json").write_text('{"metadata": {"algorithm": "md5"}, "hashes": {}}')
     with pytest.raises(ValueError):
         digests.load_digests_json(spark, str(tmp_path / "db.json"))
+
+
+def test_files_of_unknown_size_are_planned(spark, tmp_path):
+    from stowage.plans.dedupe import dedupe_files
+
+    for name in "abc":
+        (tmp_path / name).write_text("same")
+    (tmp_path / "d").write_text("else")
+    rows = [(str(tmp_path / n), None, None) for n in "abcd"]
+    manifest = spark.createDataFrame(rows, "path string, size long, mtime timestamp")
+    plan = dedupe_files(manifest)
+    assert sorted(r.action for r in plan.collect()) == ["keep", "keep", "remove", "remove"]
+
+
+def test_bracket_in_glob_class(spark):
+    from stowage.functions.globs import matches_any
+
+    names = spark.createDataFrame([("x1",), ("[2",), ("]3",), ("a4",)], "n string")
+
+    def found(pattern):
+        return [r.n for r in names.filter(matches_any(names.n, [pattern])).collect()]
+
+    assert found("[x[]*") == ["x1", "[2"]
+    assert found("[a-z[]?") == ["x1", "[2", "a4"]
+    assert found("[]]*") == ["]3"] and found("[!]x[]*") == ["a4"]
