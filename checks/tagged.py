@@ -56,12 +56,14 @@ def photo_plan(spark, folder):
 @query(
     "photo_outcome",
     f"""WITH {p.PHOTOS} SELECT count(*) AS processed, count(coalesce(make, '' || taken)) AS moved,
-        count(*) FILTER (make IS NULL AND taken IS NULL) AS skipped FROM photos""",
+        count(*) FILTER (make IS NULL AND taken IS NULL) AS skipped, CAST(0 AS BIGINT) AS errors,
+        CAST(0 AS BIGINT) AS skipped_space, CAST(0 AS BIGINT) AS duplicates_skipped,
+        CAST(0 AS BIGINT) AS duplicates_removed FROM photos""",
 )
 def photo_outcome(spark, folder):
     manifest, tags = p.photos(spark, folder)
-    counted = common.outcome(common.as_plan(media.photo_targets(manifest, tags)))
-    return counted.select("processed", "moved", "skipped")
+    targets = media.photo_targets(manifest, tags)
+    return common.outcome(common.as_plan(targets, reason=F.col("reason")))
 
 
 @query(

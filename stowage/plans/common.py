@@ -56,16 +56,24 @@ def moves_plan(
     )
 
 
+#: Reason of a skipped photo that is no copy of anything.
+UNDATED = "no date and no make"
+
+
 def outcome(plan: DataFrame) -> DataFrame:
-    """One row of counters.  A removed copy also counts as skipped, as it was not moved."""
+    """One row of counters.  A removed copy also counts as skipped, as it was not moved; a
+    photo without a date is skipped, but no duplicate."""
     moved = F.col("action").isin("move", "copy")
+    duplicate = F.col("action").isin("skip", "remove")
+    if "reason" in plan.columns:
+        duplicate = duplicate & ~F.col("reason").eqNullSafe(UNDATED)
     return plan.agg(
         F.count("*").alias("processed"),
         F.count_if(moved).alias("moved"),
         F.count_if(F.col("action") == "skip").alias("skipped"),
         F.count_if(F.col("action") == "error").alias("errors"),
         F.count_if(F.col("action") == "skip_space").alias("skipped_space"),
-        F.count_if(F.col("action").isin("skip", "remove")).alias("duplicates_skipped"),
+        F.count_if(duplicate).alias("duplicates_skipped"),
         F.count_if(F.col("action") == "remove").alias("duplicates_removed"),
     )
 

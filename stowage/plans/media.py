@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stowage.functions import dates, names
 from stowage.operators import collisions, filters, tagging
 from stowage.operators.scratch import save
-from stowage.plans.common import as_plan, moves_plan
+from stowage.plans.common import UNDATED, as_plan, moves_plan
 from stowage.schema import NAME_BYTES
 from stowage.sources import tags as tag_source
 
@@ -63,7 +63,7 @@ def photo_targets(
     action = F.when(failed, "error").when(taken.isNull() & make.isNull(), "skip").otherwise("move")
     reason = F.when(failed, "unreadable tags").when(taken.isNotNull(), "date").when(
         make.isNotNull(), "make"
-    ).otherwise("no date and no make")
+    ).otherwise(UNDATED)
     directory = F.when(taken.isNotNull(), names.dated_dir(taken)).otherwise(names.make_dir(make, raw_make))
     wanted = F.when(taken.isNotNull(), names.dated_name(F.col("name"), taken)).otherwise(F.col("name"))
     return rows.select(
