@@ -9,8 +9,12 @@ only look up their place, so nothing that grows with the data reaches the driver
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,42 +34,72 @@ STEPS = 32
 #: Lengths that one combination has at most.
 DEPTH = 6
 _ITERATIONS = 400
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
+#: Pre-tokens of printable lower-case ASCII words in tokenizers of word ends.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: A tokenizer that cuts these otherwise gets every word whole.
+_SAMPLES = ["It's", "WE'LL've", "a1b22", "x--y", "(don't)", "$5.00,", "'", "''s", "~!@#%^&*", "end.", "THE"]
 
 
 # --- tokens ----------------------------------------------------------------------------------
 
 
+class _Recent(dict):
+    """Remembered values of ``make``: of the last ``size`` new keys, and of the ``size`` before them."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        self._make, self._size, self._old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(self) >= self._size:
+            self._old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class _Encoder:
     """Ids of a tokenizers file, word by word.
 
     The tokenizer's pre-tokens never span white space, so words between spaces are encoded
-    apart and remembered.  Texts that contain the string of a special token go through
-    the tokenizer whole.
+    apart and remembered.  Words of ASCII characters need no normalization but lower case; their
+    pre-tokens go to the model one by one, and are remembered as well.  Texts that contain the
+    string of a special token go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        # a task has one core; the library would start a thread for each core of the machine
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tool = Tokenizer.from_file(path)
+        self._model = self._tool.model
         self._special = [t.content for t in self._tool.get_added_tokens_decoder().values()]
-        self._words: dict[str, bytes] = {}
+        self._words = _Recent(self._word, _CACHE_WORDS)
+        self._parts = _Recent(self._part, _CACHE_WORDS)
+        self._plain = all(self._raw([t])[0] == self._ascii(t) for t in _SAMPLES)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self._tool.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _part(self, part: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(part)]).tobytes()
+
+    def _ascii(self, word: str) -> bytes:
+        return b"".join(map(self._parts.__getitem__, _PARTS.findall(word.lower())))
+
+    def _word(self, word: str) -> bytes:
+        plain = self._plain and word.isascii() and word.isprintable()
+        return self._ascii(word) if plain else self._raw([word])[0]
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if any(s in text for s in self._special):
             return self._raw([text])[0]
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self._words
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > _CACHE_WORDS:
-                known.clear()
-                missing = list(set(words))
-            known.update(zip(missing, self._raw(missing), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self._words.__getitem__, words))
 
 
 _encoders: dict[str, _Encoder] = {}

@@ -137,6 +137,19 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, TEXTS).limit(0), TOKENIZER).count() == 0
 
 
+def test_words_are_encoded_as_by_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 50)
+    tool, encoder = Tokenizer.from_file(TOKENIZER), packing._Encoder(TOKENIZER)
+    rng = np.random.default_rng(5)
+    letters = list("abXYZ019'’ sStTrReEvVmMlLdD.,!?-_\"\\\0\x0b\x0c\x1c\x1f\x7f\t\n\r \x85 éßΣσςİ한😀")
+    for length in rng.integers(0, 16, 3000):
+        text = "".join(rng.choice(letters, length))
+        ids = tool.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, "<u4").tobytes(), text
+
+
 def test_plan_uses_up_the_histogram():
     rng = np.random.default_rng(3)
     lengths = np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, 4096)
