@@ -27,7 +27,7 @@ def _keep_rank(strategy: str) -> Column:
     if strategy == "first_alphabetical":
         return F.lower("path")
     if strategy != "shortest_path":
-        warnings.warn(f"no way to choose the kept file is called {strategy!r}; the shortest path is kept", stacklevel=3)
+        warnings.warn(f"no way to choose the kept file is called {strategy!r}; shortest_path decides", stacklevel=3)
     return F.length("path")
 
 

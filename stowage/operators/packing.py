@@ -153,7 +153,7 @@ def pack(
     keys = [*group, "_class"]
     table = _folded(_edges(placed, group), group, limit)
     numbered = number_rows(placed, keys, [F.desc("size"), F.col(path)], "_pos", group_rows)
-    known = attach(numbered, table, keys, "class_n", "inner", group_rows, total=placed.count())
+    known = attach(numbered, table, keys, "class_n", "inner", group_rows)
     return _place(known).select(*rows.columns, "batch")
 
 

@@ -1,8 +1,9 @@
 """Joining and numbering that stay parallel when one key holds a third of the rows.
 
 ``attach`` gives every row the values of its group; ``number_rows`` numbers rows inside
-their group.  Both look at the group sizes first: groups that one task can hold take the
-plain join or window, larger ones take a path that spreads a single group over tasks.
+their group.  Both follow one plan at every size: a join deals a key into as many parts as
+the largest group needs, numbers come from a range-partitioned total order in which a group
+may lie in any number of tasks.
 """
 
 from __future__ import annotations
@@ -18,11 +19,7 @@ from stowage.operators.scratch import is_saved, save
 
 #: Rows of one group that a single task may sort or join.
 GROUP_ROWS = 1_000_000
-#: A group is spread only if it also holds more than this share of all rows, so fewer
-#: than this many groups can ever be hot, and their values can always be broadcast.
-HOT_GROUPS = 1_000
 
-_MAX_TASKS = 100_000
 _LOCAL_BITS = 33  # layout of monotonically_increasing_id: partition, then row in it
 
 
@@ -33,86 +30,49 @@ def attach(
     count: str,
     how: str = "inner",
     group_rows: int | None = None,
-    total: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` with ``groups`` (one row per key, its row count in ``count``).
 
-    Keys shared by more than ``group_rows`` rows are served from a broadcast of those
-    groups alone and their rows are salted, so no task receives a whole hot group.
-    Rows without a key, which match nothing, are salted as well.  ``how`` is 'inner' or
-    'left'; for 'left', ``groups`` holds every key that many rows share.
-    ``total`` is the number of rows, if known: a small input has no large group.
+    The rows of a key are dealt into parts of at most about ``group_rows`` rows; the parts
+    (one row each) get the values of their group first, then every row joins its part.  Nothing
+    is broadcast.  With one part a key this is the plain join.  Rows without a key, which
+    match nothing, are spread as well.  ``how`` is 'inner' or 'left'; for 'left',
+    ``groups`` holds every key that many rows share.
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
     keys = list(keys)
-    if total is None and is_saved(rows):
-        total = rows.count()
-    if total is not None and total <= group_rows:
-        return rows.join(groups, keys, how)
-
-    values = [c for c in groups.columns if c not in keys]
-    hashable = [name for name, kind in rows.dtypes if "map<" not in kind]
-    spread = 1 + F.pmod(F.xxhash64(*hashable), F.lit(1 << 16)).cast("int")
-    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     # The salt is read from the table: as a literal it would be folded out of the join key.
     groups = save(groups.withColumn("_salt", F.lit(0)), "groups")
-    members, largest = groups.agg(F.sum(count), F.max(count)).first()
-    if largest is None or largest <= group_rows:
-        if how == "inner":
-            return rows.join(groups.drop("_salt"), keys)
-        salted = rows.withColumn("_salt", F.when(no_key, spread).otherwise(0))
-        return salted.join(groups, [*keys, "_salt"], how).drop("_salt")
-
-    floor = max(group_rows, members // HOT_GROUPS)
-    hot = groups.filter(F.col(count) > floor).select(*keys, F.struct(*values).alias("_hot"))
-    cold = groups.filter(F.col(count) <= floor).select(
-        *keys, F.struct(*values).alias("_cold"), "_salt"
-    )
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull() | no_key, spread).otherwise(0)
-    )
-    joined = salted.join(cold, [*keys, "_salt"], "left").withColumn(
-        "_value", F.coalesce("_hot", "_cold")
-    )
-    if how == "inner":
-        joined = joined.filter(F.col("_value").isNotNull())
-    others = [c for c in rows.columns if c not in keys]
-    return joined.select(*keys, *others, *[F.col("_value")[v].alias(v) for v in values])
+    largest = groups.agg(F.max(count)).first()[0] or 0
+    parts = max(1, -(-2 * largest // group_rows) if largest > group_rows else 1)
+    if parts > 1 and not is_saved(rows):
+        rows = save(rows)
 
-
-def _tasks(spark: SparkSession, total: int) -> int:
-    """As many as the session uses, or more for tasks of at most GROUP_ROWS rows."""
+    hashable = [name for name, kind in rows.dtypes if "map<" not in kind]
+    spread = F.xxhash64(*hashable)
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    if parts == 1 and how == "inner":
+        return rows.join(groups.drop("_salt"), keys)
+    salt = F.when(no_key, -1 - F.pmod(spread, F.lit(1 << 16)))
+    salted = rows.withColumn("_salt", salt.otherwise(F.pmod(spread, F.lit(parts))))
+    if parts > 1:
+        dealt = salted.filter(~no_key).select(*keys, "_salt").distinct()
+        groups = dealt.join(groups.drop("_salt"), keys)
+    return salted.join(groups, [*keys, "_salt"], how).drop("_salt")
+
+
+def _tasks(spark: SparkSession, total: int, task_rows: int) -> int:
+    """As many as the session uses, or more for tasks of at most ``task_rows`` rows."""
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(usual, min(total // GROUP_ROWS + 1, _MAX_TASKS))
-
+    return max(usual, total // task_rows + 1)
 
-def global_index(rows: DataFrame, order: Sequence[Column], out: str, total: int) -> DataFrame:
-    """Position of every row in the total order, from 0, without a single-task sort.
 
-    ``rows`` are ``total`` at most.  They are range-partitioned and sorted, written with their
-    place in the partition, and shifted by the sizes of the partitions before theirs (one
-    number per partition).
-    """
-    placed = save(
-        rows.repartitionByRange(_tasks(rows.sparkSession, total), *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id()),
-        "sorted",
-    )
-    block = F.shiftright("_at", _LOCAL_BITS)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        placed.groupBy(block.alias("_block"))
-        .agg(F.count("*").alias("_n"))
-        .select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    )
-    local = F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    return (
-        placed.withColumn("_block", block)
-        .join(F.broadcast(blocks), "_block")  # one row per shuffle partition
-        .withColumn(out, F.col("_base") + local)
-        .drop("_at", "_block", "_base")
-    )
+def _placed(rows: DataFrame, order: Sequence[Column], task_rows: int) -> DataFrame:
+    """Rows in their total order: ``_block`` (the task) and ``_at`` (ascending in it)."""
+    tasks = _tasks(rows.sparkSession, rows.count(), task_rows)
+    placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    placed = save(placed.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    return placed.withColumn("_block", F.shiftright("_at", _LOCAL_BITS))
 
 
 def number_rows(
@@ -124,31 +84,33 @@ def number_rows(
 ) -> DataFrame:
     """Number rows from 1 inside each group of ``keys`` (all rows if empty).
 
-    Groups that one task can sort go through a window; the rows of larger ones are placed
-    in a total order.  Pass narrow rows: they are saved, unless they are a saved table.
+    Rows are range-partitioned by keys and order, sorted, and written with their place.  A group
+    that lies in several tasks is numbered in each of them; the first group of a task then
+    adds its rows in earlier tasks, from a table of at most two rows a task.  Pass narrow
+    rows: they are saved, unless they are a saved table.
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
-    keys, order = list(keys), list(order)
     rows = rows if is_saved(rows) else save(rows)
-    total = rows.count()
-    window = Window.partitionBy(*keys).orderBy(*order)
-    number = F.row_number().over(window).cast("bigint")
-    if total <= group_rows:
-        return rows.withColumn(out, number)
-    if not keys:
-        return global_index(rows, order, out, total).withColumn(out, F.col(out) + 1)
-
-    floor = max(group_rows, total // HOT_GROUPS)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = save(sizes.filter(F.col("_n") > floor).select(*keys), "hot")  # fewer than HOT_GROUPS
-    if hot.isEmpty():
-        return rows.withColumn(out, number)
     columns = [*rows.columns, out]
-    hot = F.broadcast(hot)
-    small = rows.join(hot, keys, "left_anti").withColumn(out, number)
-    placed = global_index(
-        rows.join(hot, keys, "left_semi"), [*[F.col(k) for k in keys], *order], "_index", total
+    placed = _placed(rows, [*[F.col(k) for k in keys], *order], group_rows)
+    placed = placed.withColumn("_key", F.struct(*keys) if keys else F.lit(0))
+
+    # rows of the first and the last group of every task, and what lies before them
+    ends = placed.groupBy("_block").agg(
+        F.min_by("_key", "_at").alias("_first"), F.max_by("_key", "_at").alias("_last")
+    )
+    ends = F.broadcast(save(ends, "ends"))  # one row per task
+    pieces = placed.join(ends, "_block").filter("_key <=> _first or _key <=> _last")
+    pieces = pieces.groupBy("_block", "_key").agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_from")
     )
-    starts = F.broadcast(placed.groupBy(*keys).agg(F.min("_index").alias("_start")))
-    large = placed.join(starts, keys).withColumn(out, F.col("_index") - F.col("_start") + 1)
-    return small.select(*columns).unionByName(large.select(*columns))
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    local = F.col("_from").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    bases = pieces.filter(local == 0).select("_block", "_base")
+
+    inside = F.row_number().over(Window.partitionBy("_block", "_key").orderBy("_at")).cast("bigint")
+    numbered = placed.withColumn("_row", inside).join(F.broadcast(bases), "_block")
+    first = F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)) == F.col("_row") - 1
+    number = F.col("_row") + F.when(first, F.col("_base")).otherwise(0)
+    return numbered.withColumn(out, number).select(*columns)

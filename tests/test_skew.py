@@ -43,6 +43,14 @@ def test_attach_keeps_every_row(spark, limit, how):
     assert {(r.k, r.p, r.i, r.m) for r in found} == expected and len(found) == len(expected)
 
 
+def test_numbers_of_groups_over_many_tasks(spark):
+    """Groups without a key, of one row and of many tasks, with few rows a task."""
+    rows = [("a", i) for i in range(120)] + [("b", 0)] + [(None, i) for i in range(60)] + [("c", i) for i in range(35)]
+    df = spark.createDataFrame(rows, "k string, p long")
+    found = skew.number_rows(df, ["k"], [F.col("p")], "rn", 8).collect()
+    assert len(found) == len(rows) and all(r.rn == r.p + 1 for r in found)
+
+
 def test_hot_groups_are_spread(spark):
     """No task of the final join receives a whole hot group."""
     _, df = hot_rows(spark, 3000)
