@@ -18,9 +18,9 @@ from stowage.operators.scratch import save
 
 #: Percent of shared words from which the later of two lines goes.
 PERCENT = 90
-#: Words are counted in this many hashed buckets; it only decides on the order of words.
+#: Words are counted in this many hashed buckets (a power of two); it only decides on the order of words.
 COUNTERS = 1 << 18
-#: Words of 64 bits in the bit vector of documents that a later pass needs.
+#: Words of 64 bits in the bit vector of lines that a later pass needs.
 BITS = 1 << 16
 
 #: Lines of a word that every other line of it is compared with before all the rest.
@@ -31,13 +31,16 @@ _HASH_BITS = 57
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, h, pos, words): the lines with words of every text, as lists of words."""
+    """(doc, h, pos, line): every line of every text, with spaces for other white space."""
     text = F.col("text")
     for space in "\t\x0b\x0c\r":
         text = F.replace(text, F.lit(space), F.lit(" "))
-    lines = docs.select("doc", "h", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    words = F.array_remove(F.split(F.lower("line"), " "), "")
-    return lines.filter(F.trim("line") != "").select("doc", "h", "pos", words.alias("words"))
+    return docs.select("doc", "h", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+
+
+def _words() -> Column:
+    """The words of ``line``, lower-cased; none of a blank line."""
+    return F.array_remove(F.split(F.lower("line"), " "), "")
 
 
 def _dense(spark: SparkSession, rows: DataFrame, size: int, kind: str) -> DataFrame:
@@ -49,8 +52,8 @@ def _dense(spark: SparkSession, rows: DataFrame, size: int, kind: str) -> DataFr
     return filled.agg(pairs.getField("value").alias("all"))
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All lines with words, and those to remove, of (doc, h, text)."""
+def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All lines (doc, h, pos, n) of (doc, h, text), and those with words that stay (doc, h, pos)."""
     spark = docs.sparkSession
     # how frequent words are, by hashed counters, as one array of fixed size
     word = F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("word")
@@ -61,20 +64,22 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     ranks.createOrReplaceTempView("_stowage_ranks")
 
     # distinct words ordered by rarity, then by hash: a word keeps its rank and 57 bits of its hash
-    spread = _lines(docs).withColumn("ranks", F.expr("(select first(all) from _stowage_ranks)"))
+    # (coalesce tells Spark that no value is null, so that it sorts plain longs)
+    hashes = F.array_distinct(F.transform(_words(), lambda w: F.xxhash64(w)))
+    spread = _lines(docs).withColumn("hashes", hashes)
+    spread = spread.withColumn("ranks", F.expr("(select first(all) from _stowage_ranks)"))
     ordered = F.expr(
-        "sort_array(array_distinct(transform(words, w ->"
-        f" (element_at(ranks, cast(pmod(xxhash64(w), {COUNTERS}) as int) + 1) * {1 << _HASH_BITS}L)"
-        f" | shiftrightunsigned(xxhash64(w), {64 - _HASH_BITS}))))"
+        "sort_array(array_distinct(transform(hashes, x ->"
+        f" coalesce(get(ranks, cast(x & {COUNTERS - 1} as int)) * {1 << _HASH_BITS}L, 0L)"
+        f" | shiftrightunsigned(x, {64 - _HASH_BITS}))))"
     )
-    spread = spread.withColumn("words", ordered).drop("ranks").withColumn("n", F.size("words"))
+    spread = spread.withColumn("words", ordered).withColumn("n", F.size("words"))
     bits = F.aggregate("words", F.lit(0).cast("long"), lambda held, w: held.bitwiseOR(_bit(w)))
     kept = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
+    order = ["doc", "h", "pos"]
     known = save(
         spread.select(
-            "doc",
-            "h",
-            "pos",
+            *order,
             "n",
             F.xxhash64("words").alias("id1"),
             F.xxhash64(F.lit(1), "words").alias("id2"),
@@ -85,44 +90,41 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     )
 
     # one line for each set of words, numbered in the order of lines
-    firsts = known.groupBy("id1", "id2").agg(F.min(F.struct("doc", "h", "pos")).alias("f"))
-    firsts = firsts.select("id1", "id2", "f.*")
-    order = ["doc", "h", "pos"]
+    first = F.min(F.struct(*order, "n", "bits", "prefix")).alias("f")
+    firsts = known.filter("n > 0").groupBy("id1", "id2").agg(first).select("f.*")
     firsts = firsts.repartitionByRange(*order).sortWithinPartitions(*order)
     firsts = save(firsts.withColumn("oid", F.monotonically_increasing_id()), "firsts")
-    keys = ["id1", "id2", *order]
-    classes = known.join(firsts, keys)
-    shape = (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("shape")
-    post = classes.select("oid", "n", "bits", F.posexplode("prefix").alias("i", "word"))
-    post = post.select("word", "oid", "bits", shape)
+    post = firsts.select("oid", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    post = post.select("word", "oid", "bits", "n", (F.col("n") - F.col("i")).alias("behind")).dropna()
     ranked = post.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("oid")))
 
-    # every line meets the first lines of its words; what they don't settle meets the others
-    near = _meet(ranked.filter(F.col("rank") <= FIRST), ranked, percent)
+    # every line meets the first lines of its words; what they don't settle meets the others.  One
+    # job makes the pairs and sets the others aside, and all its parts start from the same ranked
+    # postings (``least`` and ``rank >= 1`` see to that), so that these are shuffled once.
+    early = F.least("rank", F.lit(FIRST + 1)) <= FIRST
+    near = _meet(ranked.filter(early), ranked.filter("rank >= 1"), percent)
+    deep = ranked.filter(~early).drop("rank")
+    met = save(near.unionByName(deep, allowMissingColumns=True), "met")
+    near = save(met.filter("a is not null").select("a", "b").distinct(), "pairs")
+    deep = met.filter("oid is not null").select("word", "oid", "bits", "n", "behind")
     gone = save(_verified(docs, near, firsts, percent), "gone")
-    deep = ranked.filter(F.col("rank") > FIRST)
     rest = _meet(deep, deep.join(gone, "oid", "left_anti"), percent)
-    similar = gone.union(_verified(docs, rest, firsts, percent)).distinct()
-    similar = firsts.join(similar, "oid").select(*order)
-
-    # later copies of a class, and first lines that are like an earlier one
-    copies = known.select(*keys).join(firsts, keys, "left_anti").select(*order)
-    return known.select(*order, "n"), save(copies.union(similar).distinct(), "removed")
+    rest = _verified(docs, save(rest.distinct(), "pairs"), firsts, percent)
+    similar = save(gone.union(rest), "similar")
+    return known.select(*order, "n"), firsts.join(similar, "oid", "left_anti").select(*order)
 
 
 def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a before b, that share a word and pass the filters."""
     sides = []
     for side, rows in (("a", left), ("b", right)):
-        length = F.shiftright("shape", 32)
-        behind = length - F.col("shape").bitwiseAND(F.lit((1 << 32) - 1))
         sides.append(
             rows.select(
                 "word",
                 F.col("oid").alias(side),
                 F.col("bits").alias(f"{side}_bits"),
-                length.alias(f"{side}_n"),
-                behind.alias(f"{side}_rest"),
+                F.col("n").cast("long").alias(f"{side}_n"),
+                F.col("behind").cast("long").alias(f"{side}_rest"),
             )
         )
     both = F.col("a_n") + F.col("b_n")
@@ -138,7 +140,7 @@ def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
             & ((both - differ) * (100 + percent) >= both * percent * 2)
         )
     )
-    return save(met.select("a", "b").distinct(), "pairs")
+    return met.select("a", "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
@@ -146,19 +148,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, percent: int
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("oid")).union(pairs.select("b")).distinct()
     wanted = save(firsts.join(wanted, "oid").select("oid", "doc", "h", "pos"), "wanted")
-    # a bit for every document that is needed keeps most others out of the join
-    place = F.pmod(F.xxhash64("doc"), F.lit(BITS * 64))
+    # a bit for every line that is needed keeps most others out of the join
+    keys = ["doc", "h", "pos"]
+    place = F.pmod(F.xxhash64("doc", "pos"), F.lit(BITS * 64))
     marks = wanted.select(F.floor(place / 64).cast("long").alias("at"), F.pmod(place, F.lit(64)).alias("bit"))
     marks = marks.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("value"))
     name = f"_stowage_marks_{uuid.uuid4().hex[:8]}"
     save(_dense(spark, marks, BITS, "long"), "marks").createOrReplaceTempView(name)
     held = F.expr(
         f"shiftrightunsigned(element_at((select first(all) from {name}),"
-        f" cast(pmod(xxhash64(doc), {BITS * 64}) div 64 as int) + 1), cast(pmod(xxhash64(doc), 64) as int)) & 1 = 1"
+        f" cast(pmod(xxhash64(doc, pos), {BITS * 64}) div 64 as int) + 1),"
+        " cast(pmod(xxhash64(doc, pos), 64) as int)) & 1 = 1"
     )
-    lines = _lines(docs.filter(held)).withColumn("words", F.array_distinct("words"))
-    full = lines.join(wanted, ["doc", "h", "pos"]).select("oid", "words")
-    full = save(full.dropDuplicates(["oid"]), "sets")
+    lines = _lines(docs).filter(held).select(*keys, F.array_distinct(_words()).alias("words"))
+    full = lines.join(wanted, keys).dropDuplicates(keys)
+    full = save(full.select("oid", "words"), "sets")
     for side in ("a", "b"):
         pairs = pairs.join(full.toDF(side, f"{side}_words"), side)
     overlap = F.size(F.array_intersect("a_words", "b_words"))
@@ -167,7 +171,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, percent: int
 
 
 def _bit(word: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(word, F.lit(64)).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -194,18 +198,13 @@ def line_decisions(
     earlier.  Texts and lines may have any length; an empty table gives no rows; other columns
     are not looked at.
     """
-    docs = _identified(docs, key, text)
-    known, removed = removed_lines(docs, percent)
-    every = docs.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    keys = ["doc", "h", "pos"]
-    words = known.distinct().select(*keys, F.col("n").alias("n_words"))
-    found = every.drop("line").join(words, keys, "left")
-    found = found.join(removed.withColumn("_gone", F.lit(True)), keys, "left")
+    known, kept = kept_lines(_identified(docs, key, text), percent)
+    found = known.join(kept.withColumn("_kept", F.lit(True)), ["doc", "h", "pos"], "left")
     return found.select(
         F.when(F.col("doc") != _NO_ID, F.col("doc")).alias(key),
         F.col("pos").alias("line_no"),
-        F.coalesce("n_words", F.lit(0)).alias("n_words"),
-        F.col("_gone").isNull().alias("kept"),
+        F.col("n").alias("n_words"),
+        ((F.col("n") == 0) | F.col("_kept").isNotNull()).alias("kept"),
     )
 
 
@@ -218,7 +217,8 @@ def dedup_lines(
     empty texts.
     """
     identified = _identified(docs, key, text)
-    _, removed = removed_lines(identified, percent)
+    known, kept = kept_lines(identified, percent)
+    removed = known.filter("n > 0").join(kept, ["doc", "h", "pos"], "left_anti").drop("n").distinct()
     gone = removed.groupBy("doc", "h").agg(F.collect_list("pos").alias("_gone"))
     rows = whole_rows(docs, key, text)
     rows = rows.select(
