@@ -232,3 +232,12 @@ def test_pipeline(spark, tmp_path):
     assert None in ids and not ids & {50, 51, 52, 53} and 0 in ids
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == ids
+
+
+def test_pipeline_drops_lines_edited_in_a_few_words(spark):
+    line = [f"w{i}" for i in range(40)]
+    edited = ["x0", "x1", "x2", "x3", *line[4:]]  # 36 of 44 words, 0.82
+    other = [*(f"y{i}" for i in range(8)), *line[8:]]  # 32 of 48 words, 0.67
+    rows = [(1, " ".join(line)), (2, " ".join(edited) + "\nits own"), (3, " ".join(other))]
+    found = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id: r.text for r in found.collect()} == {1: rows[0][1], 2: "its own", 3: rows[2][1]}
