@@ -18,6 +18,8 @@ PROFILE = 400
 #: Documents of each language that its profile is learned from at most, those with the
 #: smallest hash of their id.
 LEARN_DOCS = 2000
+#: Learning texts of like length from which their lowest score says something.
+FLOOR_DOCS = 100
 
 _SPACE = 32
 _SLICE = 1 << 20
@@ -118,6 +120,11 @@ def learn(
     Learned from at most ``learn_docs`` whole texts a language, chosen by a hash of doc_id.
     Only the profiles come to the driver: ``profile`` numbers a language.
     """
+    return profiles_of(learning_texts(docs, learn_docs), profile, longest)
+
+
+def learning_texts(docs: DataFrame, learn_docs: int = LEARN_DOCS) -> DataFrame:
+    """(lang, text): what ``learn`` learns from."""
     docs = pick(docs, "doc_id", "text", "lang")
     usable = docs.filter(
         F.col("doc_id").isNotNull()
@@ -133,7 +140,13 @@ def learn(
         .filter(F.col("_rank") <= learn_docs)
         .drop("_rank")
     )
-    sample = usable.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    return usable.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+
+
+def profiles_of(
+    sample: DataFrame, profile: int = PROFILE, longest: int = LONGEST
+) -> dict[str, list[int]]:
+    """Profile of every language in ``sample`` (lang, text)."""
     counts = sample.mapInArrow(by_batch(_count_batch, longest), "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -144,6 +157,41 @@ def learn(
     return found
 
 
+def length_class(text: Column) -> Column:
+    """Texts of a class are at most twice as long as one another."""
+    return F.floor(F.log2(F.greatest(F.length(text), F.lit(1)).cast("double"))).cast("int")
+
+
+def least_scores(sample: DataFrame, profiles: dict[str, list[int]]) -> dict[int | None, float]:
+    """The score from which a text counts as one of a learned language, by class of its length.
+
+    It is a tenth below the lowest score of all learning texts, or a fifth below the lowest of those of the
+    class and its two neighbours if that is higher and they are at least ``FLOOR_DOCS``; None stands for the
+    classes that have no value of their own.
+    A learning text below half of the median of its group has no say (noise that bears the name of
+    a language).  Fewer than ``FLOOR_DOCS`` learning texts in all give half of their median.
+    """
+    found = identify(sample.select("text"), profiles).toDF("text", "lang_pred", "score")
+    scored = found.filter("lang_pred <> 'und'").select(length_class(F.col("text")).alias("c"), "score")
+    # at most LEARN_DOCS numbers a language
+    rows = scored.toPandas()
+    scores, classes = rows["score"].to_numpy(np.float64), rows["c"].to_numpy()
+    if not len(scores):
+        return {None: 0.0}
+    if len(scores) < FLOOR_DOCS:
+        return {None: float(np.median(scores)) / 2}
+
+    def lowest(group: np.ndarray) -> float:
+        return float(group[group >= np.median(group) / 2].min())
+
+    out: dict[int | None, float] = {None: 0.9 * lowest(scores)}
+    for c in range(int(classes.max()) + 2):
+        near = scores[np.abs(classes - c) <= 1]
+        if len(near) >= FLOOR_DOCS:
+            out[c] = max(out[None], 0.8 * lowest(near))
+    return out
+
+
 class _Profiles:
     """Profiles as sorted arrays for lookups."""
 

@@ -241,3 +241,21 @@ def test_pipeline_drops_lines_edited_in_a_few_words(spark):
     rows = [(1, " ".join(line)), (2, " ".join(edited) + "\nits own"), (3, " ".join(other))]
     found = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r.doc_id: r.text for r in found.collect()} == {1: rows[0][1], 2: "its own", 3: rows[2][1]}
+
+
+def test_pipeline_rejects_noise_and_languages_not_learned(spark):
+    random = np.random.default_rng(7)
+    english = "the and of to in that was with this from they have been there which would their house people were".split()
+    german = "der die und nicht in dem haus mit den kindern ist auch eine werden wurde sich noch nach bei aus".split()
+    rows = [(i, " ".join(random.choice(german if i % 2 else english, 60)), "de" if i % 2 else "en") for i in range(300)]
+    letters = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60)]
+    rows += [(1000, " ".join(letters), None), (1001, base64.b64encode(random.bytes(300)).decode(), None)]
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem"
+    rows += [(1002, f"{polish} i sumieniem i powinni postępować wobec innych w duchu braterstwa", None)]
+    rows += [(1003, "asdf jkl; sdfkj lksjdf kjsdf lkjsd fkjlsd flkjs dfkj sdlfkj skdjf lskdjf lksdjf lksjdf", None)]
+    rows += [(1004, "все люди рождаются свободными и равными в своем достоинстве и правах", None)]
+    # noise that bears the name of a language does not lower the floor
+    noisy = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows += [(noisy, " ".join(letters[::-1]), "en")]
+    found = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r.doc_id for r in found.collect()) == list(range(300))
