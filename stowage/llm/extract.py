@@ -3,7 +3,9 @@
 The standard library's parser turns a page into lines, one for each block of text.  A line's
 ratio is its characters outside links to its tags.  Ratios are smoothed by a Gaussian; lines
 above a threshold taken from their spread are content, and a content region is every line that has
-the container of such a line.  Elements that are boilerplate by their name or label give no lines.
+the container of such a line.  Elements that are boilerplate by their name give no lines.  Those with the
+label of boilerplate, and forms, are decided with the whole page at hand: what holds the article is
+no boilerplate, what else is dense in text may not be (see ``_open_labels``).
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ _BLOCK = frozenset(
 )
 #: Never part of the article.
 _DROP = frozenset(
-    "applet aside audio button canvas datalist dialog embed fieldset footer form head iframe input math menu nav"
+    "applet aside audio button canvas datalist dialog embed footer head iframe input menu nav"
     " noscript object optgroup option script select style svg template textarea title video".split()
 )
 _ROOT = frozenset(["article", "main"])
@@ -43,6 +45,14 @@ _LABELS = frozenset(
     " pager skip search login signup complementary contentinfo".split()
 )
 _HEADS = frozenset(["header", "banner", "masthead"])
+#: Labels of text by others than the author, which is as dense as an article: only what holds the article opens them.
+_OTHERS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent"
+    " gdpr comment comments commentlist respond disqus reply replies newsletter subscribe popup modal".split()
+)
+#: Words that make a label say what is in or not in an element (has-sidebar, no-ads), not what it is.
+_ABOUT = frozenset("has have no not with without".split())
+_FORMS = frozenset(["form", "fieldset"])
 _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MARKED = re.compile(r"<!\[[^>]*>?")
@@ -63,20 +73,27 @@ _RADIUS = 2
 class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []  # text, characters, tags, container
-        self._stack: list[tuple[str, bool, int, bool]] = []  # name, dropped, container, in article
+        # text, characters outside links, tags, container, labelled element, article
+        self.lines: list[tuple[str, int, int, int, int, int]] = []
+        #: Labelled elements and forms: (the one around it, whether by others, article); 0 is the page.
+        self.labels: list[tuple[int, bool, int]] = [(0, False, 0)]
+        #: Labelled element around every article.
+        self.articles: dict[int, int] = {}
+        # name, dropped, container, article, labelled element
+        self._stack: list[tuple[str, bool, int, int, int]] = []
         self._text: list[str] = []
         self._plain = 0
         self._tags = 0
         self._links = 0
-        self._made = 0
+        #: Container around every container.
+        self.parents: list[int] = [0]
 
     def _end_line(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                holder = self._stack[-1][2] if self._stack else 0
-                self.lines.append((text, self._plain, max(1, self._tags), holder))
+                _, _, holder, article, label = self._stack[-1] if self._stack else ("", False, 0, 0, 0)
+                self.lines.append((text, self._plain, max(1, self._tags), holder, label, article))
             self._text.clear()
             self._plain = self._tags = 0
 
@@ -99,13 +116,22 @@ class _Lines(HTMLParser):
             return
         if tag in _VOID:
             return
-        holder = self._stack[-1][2] if self._stack else 0
-        inside = self._stack[-1][3] if self._stack else False
-        dropped = self._dropped() or self._is_boilerplate(tag, attrs, inside)
-        if tag in _ROOT or (tag in _HOLDER and not inside):
-            self._made += 1
-            holder = self._made
-        self._stack.append((tag, dropped, holder, inside or tag in _ROOT))
+        _, dropped, holder, article, label = self._stack[-1] if self._stack else ("", False, 0, 0, 0)
+        dropped = dropped or self._is_boilerplate(tag, attrs, article > 0)
+        if not dropped:
+            others = self._label(tag, attrs, article > 0)
+            if others is not None:
+                if tag not in _BLOCK:
+                    self._end_line()  # so that no line is in and out of it
+                self.labels.append((label, others, article))
+                label = len(self.labels) - 1
+        if tag in _ROOT or (tag in _HOLDER and not article):
+            self.parents.append(holder)
+            holder = len(self.parents) - 1
+        if tag in _ROOT and not article and not dropped:
+            article = holder
+            self.articles[article] = label
+        self._stack.append((tag, dropped, holder, article, label))
         if tag == "a":
             self._links += 1
 
@@ -116,18 +142,27 @@ class _Lines(HTMLParser):
             return False
         if tag == "header" and not inside:
             return True
+        return any(
+            name == "hidden"
+            or (name == "aria-hidden" and value == "true")
+            or (name == "style" and value and _HIDDEN.search(value))
+            for name, value in attrs
+        )
+
+    def _label(self, tag, attrs, inside) -> bool | None:
+        """None without a label of boilerplate, else whether it is one of ``_OTHERS``."""
+        if tag in _ROOT or tag in ("body", "html"):
+            return None
+        words: set[str] = set()
         for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if not value:
-                continue
-            if name in ("class", "id", "role"):
-                words = set(_WORD.findall(value.lower()))
-                if words & (_LABELS - _HEADS if inside else _LABELS | _HEADS):
-                    return True
-            elif name == "style" and _HIDDEN.search(value):
-                return True
-        return False
+            if value and name in ("class", "id", "role"):
+                for token in value.lower().split():
+                    found = set(_WORD.findall(token))
+                    if not found & _ABOUT:
+                        words |= found
+        if words & (_LABELS - _HEADS if inside else _LABELS | _HEADS):
+            return bool(words & _OTHERS)
+        return False if tag in _FORMS else None
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -140,6 +175,8 @@ class _Lines(HTMLParser):
         self._tags += 1
         for at in range(len(self._stack) - 1, -1, -1):
             if self._stack[at][0] == tag:
+                if at and self._stack[at][4] != self._stack[at - 1][4]:
+                    self._end_line()
                 self._links -= sum(s[0] == "a" for s in self._stack[at:])
                 del self._stack[at:]
                 break
@@ -165,6 +202,57 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel)[_RADIUS:-_RADIUS] / weights
 
 
+def _open_labels(parser: _Lines) -> set[int]:
+    """Labelled elements whose lines count like those of unlabelled ones.
+
+    First all around the article, which is the one with the most characters outside links (an unlabelled one
+    counts four times, those under the label of others come last).  Then, from the outside in, those by the author that are as dense as
+    content and no list of links: all in an article, and on a page without one those that hold at
+    least as many characters as all that is open so far.
+    """
+    lines, labels = parser.lines, parser.labels
+    own = np.zeros((len(labels), 3))  # characters outside links, characters, tags
+    held: dict[int, int] = {}
+    for text, plain, tags, _, label, article in lines:
+        own[label] += plain, len(text), tags
+        if article and label == parser.articles[article]:
+            held[article] = held.get(article, 0) + plain
+
+    def around(label: int) -> list[int]:
+        found = []
+        while label:
+            found.append(label)
+            label = labels[label][0]
+        return found
+
+    opened = {0}
+    if held:
+        main = max(
+            held,
+            key=lambda a: (
+                not any(labels[i][1] for i in around(parser.articles[a])),
+                held[a] if parser.articles[a] else 4 * held[a],
+                -a,
+            ),
+        )
+        opened.update(around(parser.articles[main]))
+    ratios = np.array([plain / tags for _, plain, tags, _, label, _ in lines if label in opened], np.float64)
+    if len(ratios) < 2:
+        ratios = np.array([plain / tags for _, plain, tags, *_ in lines], np.float64)
+    threshold = float(ratios.std())
+    for label in range(1, len(labels)):
+        parent, others, article = labels[label]
+        plain, characters, tags = own[label]
+        if label in opened or parent not in opened or others:
+            continue
+        if not held and not plain:
+            opened.add(label)  # a wrapper without text of its own
+        elif plain and plain / tags >= threshold and 2 * plain >= characters:
+            if article or (not held and plain >= sum(own[i][0] for i in opened)):
+                opened.add(label)
+    return opened
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by one space; empty if there is none."""
     if not html:
@@ -174,10 +262,11 @@ def main_text(html: str | None) -> str:
     for start in range(0, len(html), _CHUNK):
         parser.feed(html[start : start + _CHUNK])
     parser.finish()
-    lines = parser.lines
+    opened = _open_labels(parser)
+    lines = [line for line in parser.lines if line[4] in opened]
     if not lines:
         return ""
-    ratios = np.array([plain / tags for _, plain, tags, _ in lines], np.float64)
+    ratios = np.array([plain / tags for _, plain, tags, *_ in lines], np.float64)
     smooth = _smooth(ratios)
     threshold = min(float(ratios.std()), float(smooth.max()))
     content = (smooth >= threshold) & (ratios > 0)
@@ -185,8 +274,19 @@ def main_text(html: str | None) -> str:
         return ""
     # a smoothed line only counts as a seed if it is itself at least half as dense
     content &= ratios >= min(threshold / 2, float(ratios.max()))
-    holders = {lines[i][3] for i in np.flatnonzero(content)}
-    return " ".join(text for text, _, _, holder in lines if holder in holders)
+    seeds = [int(i) for i in np.flatnonzero(content)]
+    holders = {lines[i][3] for i in seeds}
+    if not parser.articles:
+        # a container of several such containers is a region from the first to the last of them
+        spans: dict[int, tuple[int, int]] = {}
+        for i in seeds:
+            around = parser.parents[lines[i][3]]
+            spans[around] = spans.get(around, (i, i))[0], i
+        for around, (start, end) in spans.items():
+            for text, plain, _, holder, *_ in lines[start:end]:
+                if around and parser.parents[holder] == around and 2 * plain >= len(text):
+                    holders.add(holder)
+    return " ".join(text for text, _, _, holder, *_ in lines if holder in holders)
 
 
 def _extract_batch(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -259,3 +259,28 @@ def test_pipeline_rejects_noise_and_languages_not_learned(spark):
     rows += [(noisy, " ".join(letters[::-1]), "en")]
     found = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
     assert sorted(r.doc_id for r in found.collect()) == list(range(300))
+
+
+STORY = "".join(f"<p>{'words of the story ' * 12}{i}</p>" for i in range(3))
+TOLD = " ".join("words of the story " * 12 + str(i) for i in range(3))
+MENU = "<div class=menu><a href=a>Home</a> <a href=b>More</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div class="container has-sidebar">{MENU}<article>{STORY}</article></div>', TOLD),
+        (f'<form id="aspnetForm"><div id="page" class="no-sidebar">{MENU}<main>{STORY}</main></div></form>', TOLD),
+        (f'<div class="page-with-ads"><article>{STORY}</article><div class="ad">Buy this now.</div></div>', TOLD),
+        (f'<article><p>Head.</p><div class="social-history">{STORY}</div></article>', f"Head. {TOLD}"),
+        (f'<article>{STORY}<div class="related"><a href=a>Other</a> <a href=b>Third</a></div></article>', TOLD),
+        (f'<article>{STORY}<p>It is <math><mi>x</mi></math> here.</p></article>', f"{TOLD} It is x here."),
+        (f'<div class="no-sidebar">{MENU}<div>{STORY}</div></div>', TOLD),
+        (f'<form id="aspnetForm">{MENU}{STORY}</form>', TOLD),
+        (f'<div class="no-ads"><article>{STORY}</article></div><div class="comments"><article>{STORY}more</article></div>', TOLD),
+        (f'<div class="has-sidebar"><main>{STORY}</main><div class="related"><article>Short teaser.</article></div></div>', TOLD),
+        (f"<div><div>{STORY}</div><div>Yes.</div>{MENU}<div>{STORY}</div></div>", f"{TOLD} Yes. {TOLD}"),
+    ],
+)
+def test_main_text_in_labelled_elements(page, text):
+    assert extract.main_text(f"<body>{page}<footer>(c) me</footer></body>") == text
