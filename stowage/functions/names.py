@@ -13,6 +13,32 @@ FORBIDDEN = '<>:"/\\|?*'
 MAX_NAME = 200
 
 
+def path_decoder():
+    """From the path of a manifest to the one the file system knows, for use in workers.
+
+    A byte of a name that is not UTF-8 stands in a manifest as a NUL, which no name holds, and two hex
+    digits.  Built as a closure so that it travels to executors without the package.
+    """
+
+    def decode(path):
+        import re
+
+        return re.sub("\x00([0-9A-F]{2})", lambda m: chr(0xDC00 + int(m[1], 16)), path) if path else path
+
+    return decode
+
+
+def path_encoder():
+    """The inverse of ``path_decoder``."""
+
+    def encode(path):
+        import re
+
+        return re.sub("[\udc80-\udcff]", lambda m: f"\x00{ord(m[0]) - 0xDC00:02X}", path)
+
+    return encode
+
+
 def _nonempty(text: Column) -> Column:
     return F.when(text != "", text)
 

@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.functions.names import path_decoder
 from stowage.operators.scratch import save
 
 STATUS = "path string, action string, target string, size long, status string, error string"
 
 
 def _worker():
+    decode = path_decoder()
+
     def place(source, target, keep_source):
         import os
         import shutil
@@ -46,6 +49,8 @@ def _worker():
             return "done"
         if action not in ("move", "copy"):
             return "nothing_to_do"
+        if os.path.isdir(path) and not os.path.islink(path):
+            raise IsADirectoryError(f"no file: {path}")
         if os.path.lexists(target):
             same = os.path.getsize(target) == size
             if same and (action == "copy" or not os.path.lexists(path)):
@@ -61,9 +66,9 @@ def _worker():
             rows = []
             for row in batch.itertuples(index=False):
                 try:
-                    status, error = act(row.path, row.action, row.target, row.size), None
-                except OSError as problem:
-                    status, error = "failed", str(problem)
+                    status, error = act(decode(row.path), row.action, decode(row.target), row.size), None
+                except (OSError, ValueError) as problem:
+                    status, error = "failed", str(problem).encode("utf-8", "backslashreplace").decode()
                 rows.append((row.path, row.action, row.target, row.size, status, error))
             yield pd.DataFrame(rows, columns=["path", "action", "target", "size", "status", "error"])
 
@@ -87,13 +92,14 @@ def apply_plan(plan: DataFrame) -> DataFrame:
 
 def make_directories(directories: DataFrame) -> int:
     """Create every directory of the single-column input; returns how many there are."""
+    decode = path_decoder()
 
     def make(batches):
         import os
 
         for batch in batches:
             for path in batch["directory"]:
-                os.makedirs(path, exist_ok=True)
+                os.makedirs(decode(path), exist_ok=True)
             yield batch
 
     only = directories.select("directory").distinct()
@@ -103,6 +109,7 @@ def make_directories(directories: DataFrame) -> int:
 def remove_directories(directories: DataFrame) -> DataFrame:
     """Remove directories (``path``) that are empty, deepest first, one job per level."""
     _check_session(directories)
+    decode = path_decoder()
 
     def remove(batches):
         import os
@@ -113,7 +120,7 @@ def remove_directories(directories: DataFrame) -> DataFrame:
             rows = []
             for path in batch["path"]:
                 try:
-                    os.rmdir(path)
+                    os.rmdir(decode(path))
                     rows.append((path, "done", None))
                 except FileNotFoundError:
                     rows.append((path, "already_done", None))

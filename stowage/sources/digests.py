@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stowage.functions.names import path_decoder
 from stowage.operators.skew import attach
 
 ALGORITHMS = ("sha256", "md5", "sha1")
@@ -26,6 +27,8 @@ def digest(content: Column, algorithm: str = "sha256") -> Column:
 
 
 def _file_digest(algorithm: str):
+    decode = path_decoder()
+
     def digest_files(batches):
         import hashlib
 
@@ -35,10 +38,10 @@ def _file_digest(algorithm: str):
             hashes, errors = [], []
             for path in paths:
                 try:
-                    with open(path, "rb") as stream:
+                    with open(decode(path), "rb") as stream:
                         hashes.append(hashlib.file_digest(stream, algorithm).hexdigest())
                     errors.append(None)
-                except OSError as error:
+                except (OSError, ValueError) as error:
                     hashes.append(None)
                     errors.append(str(error))
             yield pd.DataFrame({"hash": hashes, "read_error": errors})

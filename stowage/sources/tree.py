@@ -3,7 +3,8 @@
 Built-in file sources skip empty files and names that start with '.' or '_', so the
 listing is done here.  Every level is one job over the directories found by the level
 above; a directory is the unit of work and nothing is listed on the driver.
-The tree must be mounted at the same place on all executors.
+The tree must be mounted at the same place on all executors.  Names that are not UTF-8 are
+escaped (``names.path_decoder``) and listed like all others.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.functions.names import is_hidden
+from stowage.functions.names import is_hidden, path_decoder, path_encoder
 from stowage.operators.scratch import save
 from stowage.schema import MANIFEST
 
@@ -23,20 +24,16 @@ _CHUNK = 10_000
 def _lister():
     """Built as a closure so that it travels to executors without the package."""
     columns = MANIFEST.fieldNames()
+    decode, encode = path_decoder(), path_encoder()
 
     def entry_row(root, rel_dir, depth, entry):
         import datetime
 
-        rel = f"{rel_dir}/{entry.name}" if rel_dir else entry.name
+        name = encode(entry.name)
         row = dict(
-            path=entry.path, root=root, rel_path=rel, dir=rel_dir, name=entry.name,
-            kind="other", size=0, mtime=None, depth=depth, read_error=None,
+            path=encode(entry.path), root=root, rel_path=f"{rel_dir}/{name}" if rel_dir else name,
+            dir=rel_dir, name=name, kind="other", size=0, mtime=None, depth=depth, read_error=None,
         )
-        try:
-            entry.path.encode("utf-8")
-        except UnicodeEncodeError:
-            shown = {k: row[k].encode("utf-8", "replace").decode() for k in ("path", "rel_path", "name")}
-            return row | shown | {"kind": "unreadable", "read_error": "name is not UTF-8"}
         try:
             if entry.is_dir(follow_symlinks=False):
                 row["kind"] = "dir"
@@ -44,6 +41,8 @@ def _lister():
                 row["kind"] = "link"
             elif entry.is_file():
                 row["kind"] = "file"
+                if name != entry.name:
+                    row |= {"kind": "unreadable", "read_error": "name is not UTF-8"}
                 stat = entry.stat()
                 row["size"] = stat.st_size
                 row["mtime"] = datetime.datetime.fromtimestamp(stat.st_mtime, datetime.UTC)
@@ -62,22 +61,22 @@ def _lister():
             ):
                 rows = []
                 try:
-                    with os.scandir(path) as entries:
+                    with os.scandir(decode(path)) as entries:
                         for entry in entries:
                             rows.append(entry_row(root, rel_dir, int(depth) + 1, entry))
                             if len(rows) == _CHUNK:
-                                yield pd.DataFrame(rows, columns=columns)
+                                yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
                                 rows = []
                 except OSError as error:
                     rows.append(
                         dict(
                             path=path, root=root, rel_path=rel_dir, dir=rel_dir,
-                            name=os.path.basename(path), kind="unreadable", size=0,
+                            name=os.path.basename(path), kind="unreadable", size=None,
                             mtime=None, depth=int(depth), read_error=str(error),
                         )
                     )
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
 
     return list_directories
 
@@ -100,13 +99,16 @@ def scan_entries(
 ) -> DataFrame:
     """All entries below the roots: files, directories, links to directories, others.
 
-    With ``include_hidden=False`` hidden directories are not even listed.
+    With ``include_hidden=False`` hidden directories are not even listed.  A file whose name is not UTF-8
+    has the kind ``unreadable`` and its size and time; a directory that can't be listed has a row of
+    that kind without a size, next to its own.
     """
+    encode = path_encoder()
     roots = [r.rstrip("/") or "/" for r in roots]
     _check_roots(roots)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frontier = spark.createDataFrame(
-        [(r, r, "", 0) for r in roots], "root string, path string, rel_path string, depth int"
+        [(encode(r), encode(r), "", 0) for r in roots], "root string, path string, rel_path string, depth int"
     )
     levels: list[DataFrame] = []
     while True:
@@ -125,14 +127,21 @@ def scan_entries(
 
 
 def scan_files(spark: SparkSession, *roots: str, **options: bool) -> DataFrame:
-    """Regular files (and links to them).  Several roots are one collection."""
-    return scan_entries(spark, *roots, **options).filter("kind = 'file'")
+    """Regular files (and links to them).  Several roots are one collection.
+
+    A directory that can't be listed is a row too (kind ``unreadable``, no size), which a plan by content
+    makes an error.
+    """
+    return scan_entries(spark, *roots, **options).filter("kind in ('file', 'unreadable')")
 
 
 def scan_countable(spark: SparkSession, root: str, include_hidden: bool = False) -> DataFrame:
-    """What a type count sees: files plus broken links and special files."""
+    """What a type count sees: files plus broken links and special files.
+
+    Directories that can't be listed are no files; ``scan_entries`` has them.
+    """
     entries = scan_entries(spark, root, include_hidden=include_hidden)
-    return entries.filter(F.col("kind").isin("file", "other"))
+    return entries.filter("kind in ('file', 'other') or (kind = 'unreadable' and size is not null)")
 
 
 def directories(entries: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import os
 import pytest
 
 from stowage.operators import counting, filters
+from stowage.plans.dedupe import dedupe_files
+from stowage.sinks import apply
 from stowage.sinks import digests as digest_sink
 from stowage.sources import digests, tree
 
@@ -66,6 +68,42 @@ def test_names_that_are_no_text(spark, tmp_path):
     assert set(kinds) == {"file", "unreadable"} and "UTF-8" in kinds["unreadable"]
 
 
+def test_files_and_trees_below_names_that_are_no_text(spark, tmp_path):
+    root = make(tmp_path, {"ok.txt": "same", "b\udce9.jpg": "same", "d\udcff/e/f.txt": "more", "d\udcff/g\udcfe": ""})
+    make(tmp_path, {"b%E9.jpg": "else", ".h\udcff/x": "1"})
+    found = {r.rel_path: (r.name, r.dir, r.size, r.depth) for r in tree.scan_files(spark, root, include_hidden=False).collect()}
+    assert found == {
+        "ok.txt": ("ok.txt", "", 4, 1),
+        "b%E9.jpg": ("b%E9.jpg", "", 4, 1),
+        "b\x00E9.jpg": ("b\x00E9.jpg", "", 4, 1),
+        "d\x00FF/e/f.txt": ("f.txt", "d\x00FF/e", 4, 3),
+        "d\x00FF/g\x00FE": ("g\x00FE", "d\x00FF", 0, 2),
+    }
+    assert rels(tree.scan_countable(spark, root)) == sorted(found)
+    plan = dedupe_files(tree.scan_files(spark, root, include_hidden=False))
+    removed = [r for r in apply.apply_plan(plan).collect() if r.action == "remove"]
+    assert [(r.path, r.status) for r in removed] == [(f"{root}/b\x00E9.jpg", "done")]
+    assert sorted(os.listdir(root)) == sorted(["ok.txt", "b%E9.jpg", "d\udcff", ".h\udcff"])
+
+
+def test_directories_that_cannot_be_listed(spark, tmp_path, monkeypatch):
+    root = make(tmp_path, {"empty.txt": "", "gone/x": ""})
+    whole = tree.save
+
+    def save(df, label):
+        saved = whole(df, label)
+        if os.path.exists(f"{root}/gone"):
+            os.rename(f"{root}/gone", tmp_path.parent / f"{tmp_path.name}-elsewhere")
+        return saved
+
+    monkeypatch.setattr(tree, "save", save)
+    files = tree.scan_files(spark, root)
+    rows = {r.rel_path: (r.kind, r.size, r.read_error is None) for r in files.collect()}
+    assert rows == {"empty.txt": ("file", 0, True), "gone": ("unreadable", None, False)}
+    actions = {r.path: r.action for r in dedupe_files(files).collect()}
+    assert actions == {f"{root}/empty.txt": "keep", f"{root}/gone": "error"}
+
+
 def test_missing_roots(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tree.scan_files(spark, str(tmp_path / "none"))
