@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stowage.llm import (
     bytebpe,
+    centroids,
     extract,
     fingerprints,
     langid,
@@ -17,6 +19,8 @@ from stowage.llm import (
     minhash,
     packing,
     sharding,
+    toxicity,
+    turns,
     urlrules,
     vectors,
 )
@@ -24,6 +28,9 @@ from stowage.llm import (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Score from which a document is called toxic.
+TOXIC = 0.3
+
 #: (verdict, host, path)
 URL_RULES = [
     ("block", "net", "/"),
@@ -178,6 +185,140 @@ def op10_line_dedup(spark, folder):
     return linedup.line_decisions(_table(spark, folder, "documents"))
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, folder):
+    docs = _table(spark, folder, "documents")
+    model = toxicity.learn(docs, _table(spark, folder, "labels"))
+    found = toxicity.score(docs, model)
+    out = langid.held_out(found["doc_id"]).alias("held_out")
+    predicted = F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted")
+    return found.select("doc_id", out, "score", predicted, "spans")
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Lloyd's rounds, one after the other; a centroid is a list of whole numbers."""
+    parts = [
+        f"""v AS MATERIALIZED (
+        SELECT row_number() OVER () AS row, vec_id,
+            list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings WHERE len(embedding) = {size}
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS j, e AS c FROM v
+        ORDER BY j LIMIT {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+        SELECT row, vec_id, any_value(e) AS e, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+            SELECT row, vec_id, e, j,
+                CAST(list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+            FROM v, c{i}) GROUP BY row, vec_id)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""m{i} AS (
+        SELECT j, pos, sum(x) AS s, count(*) AS n
+        FROM (SELECT j, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM a{i}) GROUP BY j, pos),
+    c{i + 1} AS MATERIALIZED (
+        SELECT c{i}.j, coalesce(w.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+            SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM m{i} GROUP BY j) w
+        ON w.j = c{i}.j)"""
+            )
+    last = rounds
+    return (
+        "WITH "
+        + ",\n    ".join(parts)
+        + f"""
+    SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, d AS distance,
+        CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{last} a JOIN c{last} c ON c.j = a.j"""
+    )
+
+
+@query("op12_centroids", _clusters_sql())
+def op12_centroids(spark, folder):
+    return centroids.cluster(_table(spark, folder, "embeddings"))
+
+
+def _repair_sql() -> str:
+    """The repair from the last row on: the best (cost, edits, lines) for each of the four states."""
+    insert = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+    keep = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}
+
+    def put(cost: str, edit: str, line: str, then: str) -> str:
+        return f"{{'c': {cost} + {then}.c, 'e': '{edit}' || {then}.e, 't': {line} || {then}.t}}"
+
+    def row(q: int) -> str:
+        options = [put("2", "D", "''", f"v{q}")]
+        for initial, to in keep[q]:
+            kept = put("cut", "K", "chr(10) || role || ':' || text", f"v{to}")
+            options.append(f"CASE WHEN NOT gone AND left(role, 1) = '{initial}' THEN {kept} END")
+        to, role = insert[q]
+        changed = put("cut + 1", "R", f"chr(10) || '{role}:' || text", f"v{to}")
+        options.append(f"CASE WHEN NOT gone THEN {changed} END")
+        return f"list_min([{', '.join(options)}]) AS w{q}"
+
+    def closed(q: int, old: str, new: str) -> str:
+        to, role = insert[q]
+        inserted = put("5", "I", f"chr(10) || '{role}:'", f"{old}{to}")
+        return f"list_min([{old}{q}, {inserted}]) AS {new}{q}"
+
+    rows = ", ".join(row(q) for q in range(4))
+    once = ", ".join(closed(q, "w", "x") for q in range(4))
+    twice = ", ".join(closed(q, "x", "v") for q in range(4))
+    return rf"""WITH RECURSIVE crc_table AS (
+        SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t
+        FROM range(256) r(i)),
+    keyed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+    kinds AS (
+        SELECT k.*, xor(4294967295, list_reduce(list_prepend(4294967295,
+                list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8))) % 20 AS kind FROM keyed k, crc_table),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM kinds WHERE kind <> 0)),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+    faults AS (
+        SELECT *, count(*) OVER (PARTITION BY conv_id) AS n,
+            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal,
+            CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault
+        FROM placed),
+    best AS (
+        SELECT DISTINCT conv_id, CAST(n + 1 AS BIGINT) AS i, {{'c': 0, 'e': '', 't': ''}} AS v0,
+            {{'c': 10, 'e': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS v1,
+            {{'c': 5, 'e': 'I', 't': chr(10) || 'assistant:'}} AS v2, {{'c': 0, 'e': '', 't': ''}} AS v3 FROM faults
+        UNION ALL
+        SELECT conv_id, i, {twice} FROM (SELECT conv_id, i, {once} FROM (SELECT conv_id, i, {rows} FROM (
+            SELECT f.conv_id, f.i, f.role, f.text, f.fault IN (1, 2) AS gone,
+                CASE WHEN f.fault = 3 THEN 5 ELSE 0 END AS cut, v0, v1, v2, v3
+            FROM best b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1)))),
+    facts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+            count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+            count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal FROM faults GROUP BY conv_id)
+    SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+        coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        CAST(coalesce(b.v0.c, 0) AS BIGINT) AS cost, coalesce(b.v0.e, '') AS audit,
+        sha256(coalesce(substr(b.v0.t, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c
+    LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN best b ON b.i = 1 AND b.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op13_conversations", _repair_sql())
+def op13_conversations(spark, folder):
+    rows = turns.prepare(_table(spark, folder, "conversations"))
+    return turns.summaries(turns.damage(rows))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
