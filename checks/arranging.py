@@ -162,6 +162,54 @@ def collide_vs_existing(spark, folder):
     return found.select("directory", "ord", "final_name")
 
 
+_STEMS = ["a", "a_1", "a", "b", "a_2", "a", "a_1_1", "a_001", "a", "b_1", "a_3", "a_1", "b", "a_1_2", "a_002"]
+_STEM_LIST = ", ".join(f"'{s}'" for s in _STEMS)
+_STEM_OF = "CAST((p_partkey * 31 + p_size) % 15 AS INTEGER)"
+
+
+def _styled(style):
+    return f"CASE WHEN i = 0 THEN stem ELSE stem || {_ENDING[style]} END"
+
+
+@query(
+    "collide_in_order",
+    f"""WITH RECURSIVE claims AS (
+        SELECT p_brand AS directory, ([{_STEM_LIST}])[{_STEM_OF} + 1] AS stem, p_partkey AS ord, p_size % 17 = 0 AS held
+        FROM part),
+    styles(style) AS (VALUES ('plain'), ('padded'), ('chained')),
+    numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY directory ORDER BY ord) AS n FROM claims WHERE NOT held),
+    walk AS (
+        SELECT style, directory, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS name,
+            coalesce(list(DISTINCT stem) FILTER (held), CAST([] AS VARCHAR[])) AS taken
+        FROM claims, styles GROUP BY style, directory
+        UNION ALL
+        SELECT style, directory, n, ord, name, list_append(taken, name) FROM (
+            SELECT style, w.directory, c.n, c.ord, taken, list_filter(list_transform(range(0, len(taken) + 1), lambda i:
+                CASE style WHEN 'plain' THEN {_styled("plain")} WHEN 'padded' THEN {_styled("padded")}
+                    ELSE {_styled("chained")} END), lambda c: NOT list_contains(taken, c))[1] AS name
+            FROM walk w JOIN numbered c ON c.directory = w.directory AND c.n = w.n + 1))
+    SELECT style, directory, ord, name || '.jpg' AS final_name FROM walk WHERE n > 0""",
+)
+def collide_in_order(spark, folder):
+    """Names that look generated, among copies and names in place, served in the given order."""
+    stem = F.element_at(F.array(*[F.lit(s) for s in _STEMS]), F.expr(f"{_STEM_OF} + 1"))
+    parts = p.table(spark, folder, "part").select(
+        F.col("p_brand").alias("directory"),
+        F.concat(stem, F.lit(".jpg")).alias("name"),
+        F.col("p_partkey").alias("ord"),
+        (F.col("p_size") % 17 == 0).alias("held"),
+    )
+    held = parts.filter("held").select("directory", "name")
+    claims = parts.filter("not held")
+    found = [
+        collisions.resolve(claims, "directory", "name", ["ord"], style, held).withColumn("style", F.lit(style))
+        for style in collisions.STYLES
+    ]
+    both = found[0].unionByName(found[1]).unionByName(found[2])
+    return both.select("style", "directory", "ord", "final_name")
+
+
 # -- by extension ----------------------------------------------------------------------------
 
 

@@ -60,10 +60,8 @@ def container_keys(fields: Sequence[str] = CONTAINER_DATE_FIELDS) -> list[str]:
 
 
 def container_date(tags: Column) -> Column:
-    """First spelling whose value parses, from a MAP<STRING, STRING>."""
-    keys = F.array(*map(F.lit, container_keys()))
-    parsed = F.transform(keys, lambda key: parse_container(F.try_element_at(tags, key)))
-    return F.get(F.array_compact(parsed), F.lit(0))
+    """First spelling whose value parses, from a MAP<STRING, STRING>; no further one is looked at."""
+    return F.coalesce(*[parse_container(F.try_element_at(tags, F.lit(k))) for k in container_keys()])
 
 
 def file_date(mtime: Column) -> Column:

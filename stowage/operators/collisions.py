@@ -7,25 +7,32 @@ in one of three styles:
     padded   a.t  a_001.t  a_002.t    a_003.t
     chained  a.t  a_1.t    a_1_2.t    a_1_2_3.t
 
-Names already in the target directory hold their places, and so do the names of the
-files themselves: all first claims are served before any further one, so a file called
-``a_1.t`` keeps its name whatever happens to the copies of ``a.t``.  Within one name the
-given order decides.
-
-Served in that order, the index of a claim has a closed form.  A generated name belongs
-to exactly one base, so bases do not meet.  The q-th further claim takes the q-th index
-that no taken name occupies; laying claims (at q - 1) and taken indices o_i (at the
-number of free ones below, o_i - i) along one line, its index is its place on the line.
+Names already in the target directory hold their places.  Claims are served in the given order: a file
+called ``a_1.t`` keeps its name only if no copy of ``a.t`` got it before.
+
+A generated name belongs to exactly one base, so the claims on a base meet others in two ways alone.  An
+index of the base is taken from the moment its name is first claimed by itself, which is known
+beforehand, whoever then gets it.  And the base's own name may have gone to a copy of a shorter base
+before it was first claimed.  Without the latter, further claims take ascending indices: the
+q-th one takes the first index above its predecessor's that is not taken yet.  Let r be the
+further claims before index k is claimed by itself, and s the indices below k that were passed over; then k
+is passed over as well if s < k - r.  This carries one number along the indices that look taken (see
+``scan``).  A passed-over index lies at claim k - s, and a claim's index is its place on the line of claims and
+passed-over indices.  Bases whose own name was taken are settled again; this ends after
+as many rounds as names nest (``a_1_1.t`` in ``a_1.t`` in ``a.t``).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stowage.functions.names import stem_of, suffix_of
+from stowage.operators.scan import Rule, scan
 from stowage.operators.scratch import save
 from stowage.operators.skew import attach, number_rows
 
@@ -37,55 +44,67 @@ def _chain(index: Column) -> Column:
     return F.concat(F.lit("_"), F.array_join(steps, "_"))
 
 
-def _ending(index: Column, style: str) -> Column:
-    if style == "plain":
-        return F.concat(F.lit("_"), index.cast("string"))
-    if style == "padded":
-        return F.format_string("_%03d", index)
-    if style == "chained":
-        return _chain(index)
-    raise ValueError(f"style is one of {', '.join(STYLES)}")
+def _by_style(style: Column, **ways: Column) -> Column:
+    chosen = F.when(style == "plain", ways["plain"]).when(style == "padded", ways["padded"])
+    return chosen.when(style == "chained", ways["chained"])
+
+
+def _ending(index: Column, style: Column) -> Column:
+    return _by_style(
+        style,
+        plain=F.concat(F.lit("_"), index.cast("string")),
+        padded=F.format_string("_%03d", index),
+        chained=_chain(index),
+    )
+
+
+def _as_column(style: str | Column) -> Column:
+    if isinstance(style, Column):
+        return style
+    if style not in STYLES:
+        raise ValueError(f"style is one of {', '.join(STYLES)}")
+    return F.lit(style)
 
 
-def indexed_name(name: Column, index: Column, style: str, longest: int | None = None) -> Column:
+def indexed_name(name: Column, index: Column, style: str | Column, longest: int | None = None) -> Column:
     """The name with its index, from 1; index 0 is the name itself.
 
     Null if it has more than ``longest`` bytes.
     """
-    if longest is not None and style == "chained":  # a chain is longer than its last index
-        ending = _ending(F.least(index, F.lit(longest).cast("bigint")), style)
-    else:
-        ending = _ending(index, style)
-    renamed = F.concat(stem_of(name), ending, suffix_of(name))
+    style = _as_column(style)
+    reached = index
+    if longest is not None:  # a chain is longer than its last index
+        reached = F.when(style == "chained", F.least(index, F.lit(longest).cast("bigint"))).otherwise(index)
+    renamed = F.concat(stem_of(name), _ending(reached, style), suffix_of(name))
     final = F.when(index > 0, renamed).otherwise(name)
     return final if longest is None else F.when(F.octet_length(final) <= longest, final)
 
 
-def _occupied(taken: DataFrame, style: str) -> DataFrame:
-    """(dir, name, index): which index of which base name the taken names stand for."""
+def _occupied(taken: DataFrame) -> DataFrame:
+    """(dir, name, index) and the row of the taken name, as ``taken``: which index of which base it stands for."""
     # 'a.' has no suffix, so 'a._1' is an index of 'a.' although '._1' looks like a suffix.
     dotted = suffix_of(F.col("name")).rlike(r"\A\._[0-9]+\z")
     stem = F.when(dotted, F.col("name")).otherwise(stem_of(F.col("name")))
     suffix = F.when(dotted, F.lit("")).otherwise(suffix_of(F.col("name")))
     digits = F.regexp_extract("stem", r"_([0-9]{1,18})\z", 1)
+    # a chain is longer than its last index; never build a longer one
+    chained = F.col("style") == "chained"
     parsed = (
         taken.filter(F.col("name").contains("_"))
-        .select("dir", stem.alias("stem"), suffix.alias("suffix"))
+        .select("dir", "style", stem.alias("stem"), suffix.alias("suffix"), F.struct("*").alias("taken"))
         .withColumn("digits", digits)
         .filter("digits <> ''")
         .withColumn("index", F.col("digits").try_cast("bigint"))
-        .filter("index > 0")
+        .filter((F.col("index") > 0) & (~chained | (F.col("index") <= F.length("stem"))))
     )
     index = F.col("index")
-    if style == "chained":  # a chain is longer than its last index; never build a longer one
-        parsed = parsed.filter(index <= F.length("stem"))
-        index = F.least(index, F.length("stem").cast("bigint"))
-    ending = _ending(index, style)
+    bounded = F.when(chained, F.least(index, F.length("stem").cast("bigint"))).otherwise(index)
+    ending = _ending(bounded, F.col("style"))
     base = F.left("stem", F.length("stem") - F.length(ending))
     return (
         parsed.filter(F.col("stem").endswith(ending))
         .filter(base != "")
-        .select("dir", F.concat(base, F.col("suffix")).alias("name"), "index")
+        .select("dir", F.concat(base, F.col("suffix")).alias("name"), "index", "taken")
     )
 
 
@@ -94,7 +113,7 @@ def resolve(
     directory: str,
     name: str,
     order: Sequence[str],
-    style: str,
+    style: str | Column,
     existing: DataFrame | None = None,
     out: str = "final_name",
     group_rows: int | None = None,
@@ -103,72 +122,191 @@ def resolve(
     """Add ``out``, a name no other claim and no entry of ``existing`` has.
 
     ``existing`` holds the same directory and name columns.  ``order`` makes claims of one
-    name unique; pass narrow rows, they are written once.  With ``longest``, names of more
-    bytes than that are null.
+    directory unique; pass narrow rows, they are written once.  With ``longest``, names of more
+    bytes than that are null.  ``style`` may be a column of both tables, the same for all rows of a directory.
     """
-    if style not in STYLES:
-        raise ValueError(f"style is one of {', '.join(STYLES)}")
+    style = _as_column(style)
     held = claims.columns
     rows = claims.select(
         F.col(directory).alias("dir"),
         F.col(name).alias("name"),
+        style.alias("style"),
         F.lit(1).alias("turn"),
         F.struct(*held).alias("claim"),
     )
     if existing is not None:
-        before = existing.select(F.col(directory).alias("dir"), F.col(name).alias("name")).distinct()
-        rows = rows.unionByName(before.withColumn("turn", F.lit(0)), allowMissingColumns=True)
-    ranks = [F.col("turn"), *[F.col(f"claim.{o}") for o in order]]
-    numbered = save(number_rows(rows, ["dir", "name"], ranks, "place", group_rows), "places")
+        before = existing.select(F.col(directory).alias("dir"), F.col(name).alias("name"), style.alias("style"))
+        before = before.distinct().withColumn("turn", F.lit(0))
+        rows = rows.unionByName(before, allowMissingColumns=True)
+    time = [F.col("turn"), *[F.col(f"claim.{o}") for o in order]]
+    numbered = save(number_rows(rows, ["dir", "name"], time, "place", group_rows), "places")
 
-    indices = _taken_indices(numbered, style, group_rows)
-    if indices is None:
+    marks = _marks(numbered, group_rows)
+    if marks is None:
         index = numbered.withColumn("index", F.col("place") - 1)
     else:
-        index = _merge_indices(numbered, indices, group_rows)
-    final = indexed_name(F.col("name"), F.col("index"), style, longest)
+        index = _settled(numbered, marks, list(order), group_rows)
+    final = indexed_name(F.col("name"), F.col("index"), F.col("style"), longest)
     return index.filter("turn = 1").select("claim.*", final.alias(out))
 
 
-def _taken_indices(numbered: DataFrame, style: str, group_rows: int | None) -> DataFrame | None:
-    """Indices occupied by taken names, for names with further claims; None if there are none."""
-    further = (
-        numbered.filter("place > 1").groupBy("dir", "name").agg(F.count("*").alias("claims"))
-    )
-    if further.isEmpty():
-        return None
-    occupied = _occupied(numbered.filter("place = 1").select("dir", "name"), style)
-    occupied = save(occupied, "indices")
+_KEYS = ["dir", "name"]
+
+
+def _marks(numbered: DataFrame, group_rows: int | None) -> DataFrame | None:
+    """Indices that names claimed by themselves occupy, within reach of their base; None if there are none.
+
+    ``taken`` is the first claim on such a name.
+    """
+    occupied = save(_occupied(numbered.filter("place = 1").drop("place")), "indices")
     if occupied.isEmpty():
         return None
-    bases = occupied.groupBy("dir", "name").agg(F.count("*").alias("held")).join(further, ["dir", "name"])
+    held = occupied.groupBy(*_KEYS).agg(F.count("*").alias("held"))
+    claims = numbered.groupBy(*_KEYS).agg(F.count("*").alias("claims"))
+    bases = held.join(claims, _KEYS)
     # An index above claims + held is out of reach.
-    reached = attach(occupied, bases, ["dir", "name"], "held", group_rows=group_rows).filter(
-        "index <= claims + held"
-    )
-    reached = save(reached.select("dir", "name", "index"), "reached")
+    reached = attach(occupied, bases, _KEYS, "held", group_rows=group_rows)
+    reached = save(reached.filter("index <= claims + held").select(*_KEYS, "index", "taken"), "reached")
     return None if reached.isEmpty() else reached
 
 
-def _merge_indices(numbered: DataFrame, indices: DataFrame, group_rows: int | None) -> DataFrame:
-    """Places to indices: one line per base for its further claims and its taken indices."""
-    keys = ["dir", "name"]
-    ranked = number_rows(indices, keys, [F.col("index")], "i", group_rows)
-    marks = ranked.select(*keys, (F.col("index") - F.col("i")).alias("at"), F.lit(0).alias("kind"))
-    per_base = numbered.groupBy(*keys).agg(F.count("*").alias("_n"))
-    bases = indices.groupBy(*keys).agg(F.lit(True).alias("busy")).join(per_base, keys)
-    flagged = save(attach(numbered, bases, keys, "_n", "left", group_rows), "flagged")
-    waits = F.col("busy").isNotNull() & (F.col("place") > 1)
-    line = flagged.filter(waits).select(
-        *keys, (F.col("place") - 2).alias("at"), F.lit(1).alias("kind"), "turn", "claim"
+def _settled(
+    numbered: DataFrame, marks: DataFrame, order: Sequence[str], group_rows: int | None
+) -> DataFrame:
+    """``numbered`` with ``index``, every base settled by what was taken before its first claim."""
+    size = numbered.groupBy(*_KEYS).agg(F.count("*").alias("_n"))
+    bases = marks.select(*_KEYS).distinct().join(size, _KEYS).withColumn("gone", F.lit(False))
+    bases = save(bases, "bases")
+    busy, gone = bases, bases
+    lines = used = None
+    while True:
+        mine = save(attach(numbered, busy, _KEYS, "_n", "inner", group_rows), "claims")
+        todo = marks.join(busy.select(*_KEYS, "gone"), _KEYS)
+        walked = save(_walked(mine, todo, order, group_rows), "walked")
+        new_lines = _line(mine, walked, group_rows)
+        # names that a copy of the base got before they were first claimed
+        new_used = walked.filter("not skipped").selectExpr(
+            "taken.dir as dir", "taken.name as name", "name as base"
+        )
+        if lines is not None:
+            done = busy.select(*_KEYS)
+            new_lines = lines.join(done, _KEYS, "left_anti").unionByName(new_lines)
+            old = used.join(done.toDF("dir", "base"), ["dir", "base"], "left_anti")
+            new_used = old.unionByName(new_used)
+        lines, used = save(new_lines, "lines"), save(new_used, "used")
+        # bases to settle again: those whose own name changed hands
+        now = used.select(*_KEYS).withColumn("now", F.lit(True))
+        asked = gone.join(now, _KEYS, "left").withColumn("now", F.coalesce("now", F.lit(False)))
+        asked = save(asked, "gone")
+        changed = asked.filter("gone <> now").drop("gone").withColumnRenamed("now", "gone")
+        gone = asked.drop("gone").withColumnRenamed("now", "gone")
+        if changed.isEmpty():
+            break
+        busy = changed
+    settled = lines.select(*numbered.columns, "index")
+    # names without marks of their own: their claims have the indices from 0 on, or from 1
+    simple = numbered.groupBy(*_KEYS).agg(F.count("*").alias("_n"))
+    simple = simple.join(bases.select(*_KEYS), _KEYS, "left_anti")
+    simple = simple.join(used.select(*_KEYS, F.lit(1).alias("shift")), _KEYS, "left")
+    rest = attach(numbered, simple, _KEYS, "_n", "inner", group_rows)
+    rest = rest.withColumn("index", F.col("place") - 1 + F.coalesce("shift", F.lit(0)))
+    return settled.unionByName(rest.select(*numbered.columns, "index"))
+
+
+class _Skips(Rule):
+    """Which indices are passed over; the state counts them.
+
+    A range of indices turns a count c into c + (thresholds above c): index k with ``due`` = k - r adds one to
+    counts below the threshold at which the count has reached ``due``, and that is the free whole
+    number number ``due`` - (thresholds so far).  So a range is summed up by a set of thresholds.
+    """
+
+    reads = ("due",)
+    adds = T.StructType([T.StructField("before", T.LongType()), T.StructField("skipped", T.BooleanType())])
+    start = 0
+
+    def fold(self, state, rows):
+        out = []
+        for (due,) in rows:
+            skipped = state < due
+            out.append((state, skipped))
+            state += skipped
+        return out
+
+    def summary(self, rows):
+        held: list[int] = []
+        for (due,) in rows:
+            nth = due - len(held)
+            if nth > 0:
+                below = bisect_left(range(len(held)), nth, key=lambda i: held[i] - i - 1)
+                insort(held, nth + below)
+        runs: list[list[int]] = []
+        for t in held:
+            if runs and runs[-1][1] == t - 1:
+                runs[-1][1] = t
+            else:
+                runs.append([t, t])
+        return runs
+
+    def advance(self, state, summary):
+        return state + sum(max(0, high - max(low - 1, state)) for low, high in summary)
+
+
+class _Claims(Rule):
+    """``claimed``: claims up to here."""
+
+    reads = ("kind",)
+    adds = T.StructType([T.StructField("claimed", T.LongType())])
+    start = 0
+
+    def fold(self, state, rows):
+        out = []
+        for (kind,) in rows:
+            state += kind == 0
+            out.append((state,))
+        return out
+
+    def summary(self, rows):
+        return sum(kind == 0 for (kind,) in rows)
+
+    def advance(self, state, summary):
+        return state + summary
+
+
+def _walked(mine: DataFrame, todo: DataFrame, order: Sequence[str], group_rows: int | None) -> DataFrame:
+    """Marks with ``before`` (indices passed over below) and ``skipped`` (whether the index is, too)."""
+    time = [F.col("turn"), *[F.col(f"_t{i}") for i in range(len(order))]]
+    claims = mine.select(
+        *_KEYS, "turn", *[F.col(f"claim.{o}").alias(f"_t{i}") for i, o in enumerate(order)], F.lit(0).alias("kind")
     )
-    merged = number_rows(
-        line.unionByName(marks, allowMissingColumns=True),
-        keys,
-        [F.col("at"), F.col("kind")],
+    marks = todo.select(
+        *_KEYS,
+        F.col("taken.turn").alias("turn"),
+        *[F.col(f"taken.claim.{o}").alias(f"_t{i}") for i, o in enumerate(order)],
+        F.lit(1).alias("kind"),
         "index",
-        group_rows,
-    ).filter("kind = 1")
-    settled = flagged.filter(~waits).withColumn("index", F.col("place") - 1)
-    columns = [*keys, "turn", "claim", "index"]
-    return settled.select(*columns).unionByName(merged.select(*columns))
+        F.struct("taken.dir", "taken.name").alias("taken"),
+        "gone",
+    )
+    both = claims.unionByName(marks, allowMissingColumns=True)
+    timed = scan(both, _KEYS, [*time, F.col("kind"), F.col("index")], _Claims(), group_rows).filter("kind = 1")
+    # of the claims before, the first one is no further claim if it got the name itself
+    further = F.greatest(F.col("claimed") - F.when(F.col("gone"), 0).otherwise(1), F.lit(0))
+    rows = timed.select(*_KEYS, "index", "taken", (F.col("index") - further).alias("due"))
+    return scan(rows, _KEYS, [F.col("index")], _Skips(), group_rows)
+
+
+def _line(mine: DataFrame, walked: DataFrame, group_rows: int | None) -> DataFrame:
+    """Claims of the bases with their index: their place on the line of claims and passed-over indices."""
+    own = F.when(F.col("gone"), F.col("place")).otherwise(F.col("place") - 1)  # 0: the name itself
+    mine = mine.withColumn("at", own).drop("_n", "gone")
+    skipped = walked.filter("skipped").select(
+        *_KEYS, (F.col("index") - F.col("before")).alias("at"), F.lit(0).alias("kind"), "index"
+    )
+    further = mine.filter("at > 0").withColumn("kind", F.lit(1))
+    line = further.unionByName(skipped, allowMissingColumns=True)
+    order = [F.col("at"), F.col("kind"), F.col("index")]
+    placed = number_rows(line, _KEYS, order, "_line", group_rows).filter("kind = 1")
+    columns = [c for c in mine.columns if c != "at"]
+    first = mine.filter("at = 0").select(*columns, F.lit(0).cast("long").alias("index"))
+    return placed.select(*columns, F.col("_line").alias("index")).unionByName(first)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import names, sizes
 from stowage.operators import packing
+from stowage.operators.scratch import save
 
 
 def type_counts(df: DataFrame, label: Column | None = None) -> DataFrame:
@@ -67,9 +68,36 @@ def requested_counts(df: DataFrame, extensions: list[str]) -> DataFrame:
 
 
 def directory_statistics(df: DataFrame, limit: int) -> DataFrame:
-    """One row: files, total GB and the batches they would need below ``limit`` bytes."""
-    batches = packing.batch_count(df, limit)
-    return df.agg(
-        F.count("*").alias("total_files"),
-        sizes.gigabytes(F.coalesce(F.sum("size"), F.lit(0))).alias("total_size_gb"),
-    ).select("*", F.lit(batches).cast("bigint").alias("estimated_subdirs"))
+    """One row: files, total GB and the batches they would need below ``limit`` bytes.
+
+    Empty files don't count.  All comes from one histogram of sizes, written in one pass.
+    """
+    counts = packing.histogram(df)
+    facts = counts.agg(F.sum("n").alias("files"), F.sum(F.col("n") * F.col("size")).alias("bytes"))
+    batches = packing.batches_needed(counts, limit)
+    both = facts.unionByName(batches, allowMissingColumns=True)
+    return both.agg(
+        F.coalesce(F.max("files"), F.lit(0)).alias("total_files"),
+        sizes.gigabytes(F.coalesce(F.max("bytes"), F.lit(0))).alias("total_size_gb"),
+        F.max("batches").alias("estimated_subdirs"),
+    )
+
+
+def collection_statistics(df: DataFrame, limit: int) -> DataFrame:
+    """``directory_statistics`` and the files of every type in one result and one pass.
+
+    One row a type (``ext``, ``n``), and one with ``ext`` null and the facts of all of them.
+    """
+    narrow = df.filter("size > 0").select(names.suffix_label(F.col("name")).alias("ext"), "size")
+    counts = save(narrow.groupBy("ext", "size").agg(F.count("*").alias("n")), "type_sizes")
+    by_size = save(counts.groupBy("size").agg(F.sum("n").alias("n")), "histogram")
+    types = counts.groupBy("ext").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("bytes"))
+    facts = types.groupBy().agg(F.sum("n").alias("total_files"), F.sum("bytes").alias("bytes"))
+    both = facts.unionByName(packing.batches_needed(by_size, limit), allowMissingColumns=True)
+    whole = both.agg(
+        F.coalesce(F.max("total_files"), F.lit(0)).alias("n"),
+        sizes.gigabytes(F.coalesce(F.max("bytes"), F.lit(0))).alias("size_gb"),
+        F.max("batches").alias("estimated_subdirs"),
+    ).withColumn("ext", F.lit(None).cast("string"))
+    rows = types.select("ext", "n", sizes.gigabytes(F.col("bytes")).alias("size_gb"))
+    return rows.unionByName(whole, allowMissingColumns=True)

@@ -99,7 +99,7 @@ def number_rows(
     ends = placed.groupBy("_block").agg(
         F.min_by("_key", "_at").alias("_first"), F.max_by("_key", "_at").alias("_last")
     )
-    ends = F.broadcast(save(ends, "ends"))  # one row per task
+    ends = F.broadcast(ends)  # one row per task
     pieces = placed.join(ends, "_block").filter("_key <=> _first or _key <=> _last")
     pieces = pieces.groupBy("_block", "_key").agg(
         F.count("*").alias("_n"), F.min("_at").alias("_from")

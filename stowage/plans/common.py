@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stowage.functions import names
 from stowage.schema import PLAN_COLUMNS
 
-ACTIONS = (
-    "keep", "move", "copy", "remove", "skip", "skip_space", "not_reached", "error",
-)
-
-
 def as_plan(
     rows: DataFrame,
     target: Column | None = None,
@@ -56,34 +51,75 @@ def moves_plan(
     )
 
 
+#: What is counted, in this order.
+COUNTERS = (
+    "processed", "moved", "skipped", "errors", "skipped_space", "duplicates_skipped", "duplicates_removed",
+)
+
 #: Reason of a skipped photo that is no copy of anything.
 UNDATED = "no date and no make"
 
 
-def outcome(plan: DataFrame) -> DataFrame:
-    """One row of counters.  A removed copy also counts as skipped, as it was not moved; a
-    photo without a date is skipped, but no duplicate."""
+def _counters(plan: DataFrame, where: Column | None = None) -> list[Column]:
+    where = F.lit(True) if where is None else where
     moved = F.col("action").isin("move", "copy")
     duplicate = F.col("action").isin("skip", "remove")
     if "reason" in plan.columns:
         duplicate = duplicate & ~F.col("reason").eqNullSafe(UNDATED)
-    return plan.agg(
-        F.count("*").alias("processed"),
-        F.count_if(moved).alias("moved"),
-        F.count_if(F.col("action") == "skip").alias("skipped"),
-        F.count_if(F.col("action") == "error").alias("errors"),
-        F.count_if(F.col("action") == "skip_space").alias("skipped_space"),
-        F.count_if(duplicate).alias("duplicates_skipped"),
-        F.count_if(F.col("action") == "remove").alias("duplicates_removed"),
-    )
+    return [
+        F.count_if(where).alias("processed"),
+        F.count_if(where & moved).alias("moved"),
+        F.count_if(where & (F.col("action") == "skip")).alias("skipped"),
+        F.count_if(where & (F.col("action") == "error")).alias("errors"),
+        F.count_if(where & (F.col("action") == "skip_space")).alias("skipped_space"),
+        F.count_if(where & duplicate).alias("duplicates_skipped"),
+        F.count_if(where & (F.col("action") == "remove")).alias("duplicates_removed"),
+    ]
+
+
+def outcome(plan: DataFrame) -> DataFrame:
+    """One row of counters.  A removed copy also counts as skipped, as it was not moved; a
+    photo without a date is skipped, but no duplicate."""
+    return plan.agg(*_counters(plan))
+
+
+def _extension_of(path: Column) -> Column:
+    return names.extension(F.element_at(F.split(path, "/"), -1))
+
+
+def outcome_by_extension(plan: DataFrame, extensions: list[str]) -> DataFrame:
+    """``outcome`` of every extension asked for (``ext``), zeros where no file has it."""
+    from stowage.operators.counting import extension_list
+
+    rows = plan.withColumn("ext", _extension_of(F.col("path")))
+    counts = rows.groupBy("ext").agg(*_counters(plan))
+    listed = extension_list(plan.sparkSession, extensions).join(counts, "ext", "left")
+    return listed.fillna(0, [c for c in counts.columns if c != "ext"])
+
+
+def write_counted(
+    plan: DataFrame, folder: str, extensions: list[str] | None = None
+) -> tuple[dict[str, int], dict[str, dict[str, int]]]:
+    """Write the plan as Parquet and count it in the same job, with no pass of its own.
+
+    Returns the ``outcome``, and that of every extension asked for; extensions without a file have zeros.
+    """
+    wanted = names.normalize_extensions(extensions or [])
+    metrics = [c.alias(f"all_{i}") for i, c in enumerate(_counters(plan))]
+    for j, ext in enumerate(wanted):
+        mine = F.coalesce(_extension_of(F.col("path")) == ext, F.lit(False))
+        metrics += [c.alias(f"{j}_{i}") for i, c in enumerate(_counters(plan, mine))]
+    seen = Observation()
+    plan.observe(seen, *metrics).write.parquet(folder)
+    found = seen.get
+    labels = COUNTERS
+
+    def part(prefix: object) -> dict[str, int]:
+        return {label: found[f"{prefix}_{i}"] for i, label in enumerate(labels)}
+
+    return part("all"), {ext: part(j) for j, ext in enumerate(wanted)}
 
 
 def outcome_by_group(plan: DataFrame) -> DataFrame:
     """Files per group key and action."""
     return plan.groupBy("group_key", "action").agg(F.count("*").alias("files"))
-
-
-def target_directories(plan: DataFrame) -> DataFrame:
-    """Directories the plan needs."""
-    placed = plan.filter("target is not null")
-    return placed.select(names.parent_of(F.col("target")).alias("directory")).distinct()

@@ -1,44 +1,126 @@
 """Carry out a plan on a file system that all executors mount.
 
-A task may run twice.  Every step can be repeated: a target appears under its name only
-when complete, and a row whose work is found done reports ``already_done``.
+A task may run twice, also while its first attempt still runs somewhere.  So the plan is written first (the
+intents, each with a token), and every step can be repeated:
+
+1. A file gets its target name by a link, which fails where a name is taken and never replaces anything.  Across
+   devices, a copy is made beside the target first, under a name of its attempt, and that is linked.
+2. Only then the source goes, and last the copy's first name.
+
+An attempt that finds the target taken looks whether it is the same file as the source, or as a copy under the
+intent's token: then an earlier attempt was lost after its link, and this one goes on from there.  A row whose work
+is found done reports ``already_done``; a target that has appeared meanwhile makes the row ``failed``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions.names import path_decoder
 from stowage.operators.scratch import save
 
 STATUS = "path string, action string, target string, size long, status string, error string"
+_INTENT = ("path", "action", "target", "size", "hash")
 
 
-def _worker():
+def _worker(algorithm: str = "sha256"):
+    """Built as a closure so that it travels to executors without the package."""
     decode = path_decoder()
 
-    def place(source, target, keep_source):
+    def same(one, two):
+        import os
+
+        try:
+            return os.path.samestat(os.lstat(one), os.lstat(two))
+        except FileNotFoundError:
+            return False
+
+    def copies(target, token):
+        """Copies that attempts of this intent have made beside the target."""
+        import glob
+        import os
+
+        return glob.glob(os.path.join(glob.escape(os.path.dirname(target)), f".stowage-{token}-*.part"))
+
+    def clear(paths):
+        import contextlib
+        import os
+
+        for path in paths:
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(path)
+
+    def link(source, target):
+        """Give ``source`` the name ``target`` as well, if that is free."""
+        import errno
+        import os
+
+        try:
+            os.link(source, target, follow_symlinks=False)
+        except OSError as error:
+            if error.errno not in (errno.EPERM, errno.EOPNOTSUPP, errno.ENOSYS, errno.EMLINK):
+                raise
+            # no links here: take the name with an empty file, then put the file in its place
+            os.close(os.open(target, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            os.replace(source, target)
+
+    def content(path):
+        import hashlib
+
+        with open(path, "rb") as stream:
+            return hashlib.file_digest(stream, algorithm).hexdigest()
+
+    def place(source, target, token, keep_source):
+        import errno
         import os
         import shutil
+        import uuid
 
         os.makedirs(os.path.dirname(target), exist_ok=True)
         if not keep_source:
             try:
-                os.rename(source, target)
+                link(source, target)
+                clear([source])
                 return
             except OSError as error:
-                import errno
-
                 if error.errno != errno.EXDEV:
                     raise
-        part = f"{target}.part"
-        shutil.copy2(source, part)
-        os.replace(part, target)
+        part = os.path.join(os.path.dirname(target), f".stowage-{token}-{uuid.uuid4().hex}.part")
+        try:
+            shutil.copy2(source, part, follow_symlinks=False)
+            link(part, target)
+        except BaseException as error:
+            if isinstance(error, Exception):
+                clear([part])
+            raise
+        finish(source, target, token, keep_source)
+
+    def finish(source, target, token, keep_source):
+        """What is left to do once the target is in place: the source, then the copies."""
         if not keep_source:
-            os.unlink(source)
+            clear([source])
+        clear(copies(target, token))
+
+    def found(source, target, token, size, digest, keep_source):
+        """The target is taken: by an earlier attempt of this intent, or by something else."""
+        import os
+
+        there = os.path.lexists(source)
+        if there and not keep_source and same(source, target):
+            clear([source])  # lost between link and unlink
+            return "done"
+        if any(same(part, target) for part in copies(target, token)):
+            finish(source, target, token, keep_source)
+            return "done"
+        if os.path.isfile(target) and os.path.getsize(target) == size:
+            if not there and not keep_source:
+                return "already_done"
+            if keep_source and content(target) == (digest or content(source)):
+                return "already_done"
+        raise FileExistsError(f"target exists: {target}")
 
-    def act(path, action, target, size):
+    def act(path, action, target, size, digest, token):
         import os
 
         if action == "remove":
@@ -51,13 +133,14 @@ def _worker():
             return "nothing_to_do"
         if os.path.isdir(path) and not os.path.islink(path):
             raise IsADirectoryError(f"no file: {path}")
-        if os.path.lexists(target):
-            same = os.path.getsize(target) == size
-            if same and (action == "copy" or not os.path.lexists(path)):
-                return "already_done"
-            raise FileExistsError(f"target exists: {target}")
-        place(path, target, keep_source=action == "copy")
-        return "done"
+        keep_source = action == "copy"
+        if not os.path.lexists(target):
+            try:
+                place(path, target, token, keep_source)
+                return "done"
+            except FileExistsError:
+                pass  # it has appeared in between
+        return found(path, target, token, size, digest, keep_source)
 
     def run(batches):
         import pandas as pd
@@ -66,7 +149,8 @@ def _worker():
             rows = []
             for row in batch.itertuples(index=False):
                 try:
-                    status, error = act(decode(row.path), row.action, decode(row.target), row.size), None
+                    target = decode(row.target)
+                    status, error = act(decode(row.path), row.action, target, row.size, row.hash, row.token), None
                 except (OSError, ValueError) as problem:
                     status, error = "failed", str(problem).encode("utf-8", "backslashreplace").decode()
                 rows.append((row.path, row.action, row.target, row.size, status, error))
@@ -81,13 +165,41 @@ def _check_session(df: DataFrame) -> None:
         raise RuntimeError("turn spark.speculation off: two attempts must not touch one file at once")
 
 
-def apply_plan(plan: DataFrame) -> DataFrame:
-    """Run the plan once and return one status row per plan row."""
+def _intents(plan: DataFrame) -> DataFrame:
+    """The rows to carry out; a row's token names it in every run of the same plan."""
+    if "hash" not in plan.columns:
+        plan = plan.withColumn("hash", F.lit(None).cast("string"))
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("path", "action", "target")]
+    token = F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 24).alias("token")
+    return plan.select(*_INTENT, token)
+
+
+def _carried_out(intents: DataFrame, algorithm: str) -> DataFrame:
+    tasks = int(intents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return intents.repartition(tasks, "path").mapInPandas(_worker(algorithm), STATUS)
+
+
+def apply_plan(plan: DataFrame, journal: str | None = None, algorithm: str = "sha256") -> DataFrame:
+    """Run the plan once and return one status row per plan row.
+
+    ``journal`` is a new folder that keeps the intents and the statuses; after a lost application, ``resume``
+    goes on with them.  A column ``hash`` of the plan (by ``algorithm``) saves a repeated copy the digest of its source.
+    """
     _check_session(plan)
-    fixed = save(plan.select("path", "action", "target", "size"), "plan")
-    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done = fixed.repartition(tasks, "path").mapInPandas(_worker(), STATUS)
-    return save(done, "status")
+    if journal is None:
+        return save(_carried_out(save(_intents(plan), "plan"), algorithm), "status")
+    _intents(plan).withColumn("algorithm", F.lit(algorithm)).write.parquet(f"{journal}/intents")
+    return resume(plan.sparkSession, journal)
+
+
+def resume(spark: SparkSession, journal: str) -> DataFrame:
+    """Carry out the intents of a journal, whatever has been done of them; what was done is found done."""
+    intents = spark.read.parquet(f"{journal}/intents")
+    _check_session(intents)
+    first = intents.select("algorithm").first()
+    algorithm = first.algorithm if first else "sha256"
+    _carried_out(intents.drop("algorithm"), algorithm).write.mode("overwrite").parquet(f"{journal}/status")
+    return spark.read.parquet(f"{journal}/status")
 
 
 def make_directories(directories: DataFrame) -> int:

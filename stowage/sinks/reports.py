@@ -153,9 +153,9 @@ def tag_dump(files: DataFrame, tags: DataFrame) -> DataFrame:
 # -- run summary -----------------------------------------------------------------------
 
 
-def summary_lines(plan: DataFrame) -> list[str]:
-    """Counters of a plan, one line each."""
-    facts = common.outcome(plan).first().asDict()
+def summary_lines(plan: DataFrame | dict[str, int]) -> list[str]:
+    """Counters of a plan, one line each; ``plan`` may be the counters that ``write_counted`` returned."""
+    facts = plan if isinstance(plan, dict) else common.outcome(plan).first().asDict()
     labels = {
         "processed": "Total files processed",
         "moved": "Files moved",

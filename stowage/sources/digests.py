@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stowage.functions.names import path_decoder
+from stowage.operators.scan import Rule, scan
+from stowage.operators.scratch import save
 from stowage.operators.skew import attach
+from stowage.sources import jsonblocks
 
 ALGORITHMS = ("sha256", "md5", "sha1")
 
-#: Bytes one hashing task should read, big single files aside.
+#: Members of the metadata of a JSON digest file.
+METADATA = ("algorithm", "generated", "total_files")
+
+#: Bytes one hashing task should read, big single files aside, ...
 TASK_BYTES = 1 << 30
-_MAX_TASKS = 100_000
+#: ... where opening a file counts as so many.
+OPEN_BYTES = 4 << 20
 
 
 def digest(content: Column, algorithm: str = "sha256") -> Column:
@@ -54,20 +62,54 @@ def _file_digest(algorithm: str):
     return F.pandas_udf(digest_files, "hash string, read_error string")
 
 
+class _Cost(Rule):
+    """``upto``: what all files up to this one cost."""
+
+    reads = ("cost",)
+    adds = T.StructType([T.StructField("upto", T.LongType())])
+    start = 0
+
+    def fold(self, state, rows):
+        out = []
+        for (cost,) in rows:
+            state += cost
+            out.append((state,))
+        return out
+
+    def summary(self, rows):
+        return sum(cost for (cost,) in rows)
+
+    def advance(self, state, summary):
+        return state + summary
+
+
+def balanced(manifest: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
+    """``manifest``, written once and dealt to tasks of equal cost: bytes to read, and files to open.
+
+    The order of paths is cut where the cost so far passes a multiple of a task's share, so a task gets its
+    share and at most one file more.
+    """
+    spark = manifest.sparkSession
+    cost = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)) + F.lit(OPEN_BYTES)
+    costs = save(manifest.select(F.struct("*").alias("row"), F.col(path).alias("at"), cost.alias("cost")), "costs")
+    total = costs.agg(F.sum("cost")).first()[0] or 0
+    share = min(TASK_BYTES, total // spark.sparkContext.defaultParallelism + 1)
+    placed = scan(costs, [], [F.col("at")], _Cost())
+    task = F.expr(f"cast((upto - 1) div {share}L as int)")
+    return placed.repartitionById(total // share + 1, task).select("row.*")
+
+
 def hash_files(manifest: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """Add ``hash``; unreadable files get null and their ``read_error``.
 
-    Only paths travel to Python, which reads each file in constant memory.  The number
-    of tasks follows the bytes to read, so big files do not pile up in one task.
+    Only paths travel to Python, which reads each file in constant memory.  Tasks are ``balanced`` by what
+    they read, so neither big files nor very many small ones pile up in one task.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm is one of {', '.join(ALGORITHMS)}")
-    spark = manifest.sparkSession
-    total = manifest.agg(F.sum("size")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_BYTES + 1)
     kept = [c for c in manifest.columns if c not in ("hash", "read_error")]
     return (
-        manifest.repartition(min(int(tasks), _MAX_TASKS), "path")
+        balanced(manifest.select(*kept))
         .withColumn("_digest", _file_digest(algorithm)("path"))
         .select(*kept, F.col("_digest.hash").alias("hash"), F.col("_digest.read_error").alias("read_error"))
     )
@@ -90,46 +132,33 @@ def load_digests(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-def load_digests_json(spark: SparkSession, file: str) -> tuple[DataFrame, dict[str, str]]:
-    """Read a JSON digest file with two-space indent, or a folder with its parts, split
-    over tasks like any text.  Returns the rows (hash, path) and the metadata.
+def approximate_unique(sketches: DataFrame) -> DataFrame:
+    """One row (files, unique_hashes): what the sketches of any number of scans say together.
 
-    One line holds one key or one path, so a path belongs to the last key above it:
-    looked up inside the block of the file that holds the line, and, for the lines
-    before a block's first key, from the blocks before it.
+    The number of different digests is an estimate (``sinks.digests.RELATIVE_ERROR``); a file that is in two scans
+    counts as a file twice.
     """
-    lines = spark.read.text(file).select(
-        "value",
-        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    key = F.regexp_extract("value", r'^    "([0-9a-f]+)": \[', 1)
-    item = F.regexp_extract("value", r'^      (".*"),?$', 1)
-    parsed = lines.select("block", "at", _blank_to_null(key).alias("key"), _blank_to_null(item).alias("item"))
-    inside = Window.partitionBy("block").orderBy("at")
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        parsed.groupBy("block")
-        .agg(F.max_by("key", F.when(F.col("key").isNotNull(), F.col("at"))).alias("tail"))
-        .select("block", F.last("tail", ignorenulls=True).over(earlier).alias("carried"))
-    )
-    text = F.get(F.from_json(F.concat(F.lit("["), "item", F.lit("]")), "array<string>"), F.lit(0))
-    rows = (
-        parsed.withColumn("above", F.last("key", ignorenulls=True).over(inside))
-        .join(F.broadcast(carried), "block")  # one row per block of the file
-        .filter("item is not null")
-        .select(F.coalesce("above", "carried").alias("hash"), text.alias("path"))
-    )
-    fact = r'^    "(algorithm|generated|total_files)": "?([^"]*?)"?,?$'
-    meta = lines.select(
-        F.regexp_extract("value", fact, 1).alias("k"), F.regexp_extract("value", fact, 2).alias("v")
+    merged = sketches.agg(F.sum("files").alias("files"), F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(
+        F.coalesce("files", F.lit(0)).alias("files"),
+        F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("unique_hashes"),
     )
-    # three keys at most, whatever the number of files
-    found = {r["k"]: r["v"] for r in meta.filter("k <> ''").groupBy("k").agg(F.min("v").alias("v")).collect()}
-    if not found:
-        raise ValueError(f"{file}: no JSON digest file with one key or path per line")
-    return rows, found
 
 
-def _blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
+def load_sketches(spark: SparkSession, *folders: str) -> DataFrame:
+    """The sketches kept next to digest tables."""
+    return spark.read.parquet(*[f"{folder.rstrip('/')}_sketch" for folder in folders])
+
+
+def load_digests_json(spark: SparkSession, file: str) -> tuple[DataFrame, dict[str, str]]:
+    """Read a JSON digest file of any layout, or a folder with its parts, by many tasks.
+
+    Returns the rows (hash, path), written once, and the metadata.
+    """
+    found = save(jsonblocks.read(spark, file), "json")
+    facts = found.filter("kind = 'fact'").groupBy("key").agg(F.min("value").alias("value"))
+    wanted = facts.filter(F.col("key").isin(*METADATA))  # three rows at most
+    metadata = {r.key: r.value for r in wanted.collect()}
+    if not metadata:
+        raise ValueError(f"{file}: no JSON digest file")
+    return found.filter("kind = 'path'").select(F.col("key").alias("hash"), F.col("value").alias("path")), metadata

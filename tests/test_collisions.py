@@ -22,20 +22,9 @@ def candidate(name, index, style):
 
 
 def sequential(claims, existing, style):
-    """First claims of each name, then the others, each taking the first free candidate."""
-    first, later, seen = [], [], set()
-    for claim in sorted(claims, key=lambda c: c[2]):
-        (later if claim[:2] in seen else first).append(claim)
-        seen.add(claim[:2])
+    """Claims one after the other, each taking the first free candidate."""
     taken, result = set(existing), {}
-    blocked = []
-    for directory, name, order in first:
-        if (directory, name) in taken:
-            blocked.append((directory, name, order))
-        else:
-            taken.add((directory, name))
-            result[order] = name
-    for directory, name, order in sorted(blocked + later, key=lambda c: c[2]):
+    for directory, name, order in sorted(claims, key=lambda c: c[2]):
         index = 0
         while (directory, candidate(name, index, style)) in taken:
             index += 1
@@ -62,6 +51,10 @@ def resolved(spark, claims, existing, style, **options):
         ("chained", [], ["a.t"] * 4, ["a.t", "a_1.t", "a_1_2.t", "a_1_2_3.t"]),
         ("padded", [], ["a.txt", "b.txt"], ["a.txt", "b.txt"]),
         ("plain", [], ["README", "README", ".rc", ".rc"], ["README", "README_1", ".rc", ".rc_1"]),
+        ("padded", ["a.txt"], ["a.txt", "a_001.txt"], ["a_001.txt", "a_001_001.txt"]),
+        ("padded", ["a.txt"], ["a_001.txt", "a.txt"], ["a_001.txt", "a_002.txt"]),
+        ("plain", [], ["a", "a", "a_1", "a_1_1", "a_1"], ["a", "a_1", "a_1_1", "a_1_1_1", "a_1_2"]),
+        ("chained", [], ["a", "a", "a_1", "a", "a_1_2"], ["a", "a_1", "a_1_1", "a_1_2", "a_1_2_1"]),
     ],
 )
 def test_known_names(spark, style, existing, incoming, expected):
@@ -108,6 +101,18 @@ def test_one_hot_name(spark):
     assert len(set(hot)) == 300
 
 
+def test_a_hot_base_among_names_that_look_generated(spark):
+    """Copies and natural names of one base, in random order and over many tasks."""
+    rng = random.Random(4)
+    names = ["h.t"] * 150 + [f"h_{rng.randint(1, 200)}.t" for _ in range(150)]
+    names += [f"h_{rng.randint(1, 5)}_{rng.randint(1, 4)}.t" for _ in range(40)]
+    rng.shuffle(names)
+    claims = [("x", n, i) for i, n in enumerate(names)]
+    existing = [("x", f"h_{i}.t") for i in range(3, 90, 7)]
+    found = resolved(spark, claims, existing, "plain", group_rows=20)
+    assert found == sequential(claims, existing, "plain")
+
+
 def test_unknown_style(spark):
     df = spark.createDataFrame([("x", "a", 1)], "d string, n string, o long")
     with pytest.raises(ValueError):

@@ -99,6 +99,33 @@ def test_fold_equals_the_sequential_rule():
         assert found == expected, (limit, files)
 
 
+def test_a_range_of_classes_does_what_its_classes_do():
+    """Functions of ranges, composed, against the fold, from every state of the open batch."""
+    rng = random.Random(13)
+    for limit, files in cases():
+        by_class = {}
+        for size in sorted((s for _, s in files if s <= limit), reverse=True):
+            by_class.setdefault(limit // size, []).append(size)
+        classes = [(k, len(s), [(z, s.count(z)) for z in dict.fromkeys(s)]) for k, s in by_class.items()]
+        cut = rng.randint(0, len(classes))
+        parts = [packing._Steps(limit), packing._Steps(limit)]
+        for i, (k, total, edge) in enumerate(classes):
+            parts[i >= cut].add(k, total, edge)
+        for open_bytes in range(limit + 1):
+            fold = packing._Fold(limit, 3, open_bytes)
+            for k, total, edge in classes:
+                fold.add(k, total, edge)
+            assert parts[1].after(*parts[0].after(3, open_bytes)) == (fold.batch, fold.open_bytes)
+
+
+def test_a_limit_of_a_tebibyte(spark):
+    rng = random.Random(17)
+    limit = 1 << 40
+    sizes = [int(limit * rng.random() ** 6) + 1 for _ in range(1500)] + [limit // 3] * 40 + [7] * 300
+    files = [(f"p{i}", s) for i, s in enumerate(sizes)]
+    assert packed(spark, files, limit, group_rows=100) == sequential(files, limit)
+
+
 @pytest.mark.parametrize("group_rows", [None, 3])
 def test_pack_equals_the_sequential_rule(spark, group_rows):
     rng = random.Random(11)

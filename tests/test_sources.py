@@ -3,9 +3,11 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from stowage.operators import counting, filters
 from stowage.plans.dedupe import dedupe_files
+from stowage.operators import scratch
 from stowage.sinks import apply
 from stowage.sinks import digests as digest_sink
 from stowage.sources import digests, tree
@@ -97,6 +99,7 @@ def test_directories_that_cannot_be_listed(spark, tmp_path, monkeypatch):
         return saved
 
     monkeypatch.setattr(tree, "save", save)
+    monkeypatch.setattr(tree, "DESCENT", 1)
     files = tree.scan_files(spark, root)
     rows = {r.rel_path: (r.kind, r.size, r.read_error is None) for r in files.collect()}
     assert rows == {"empty.txt": ("file", 0, True), "gone": ("unreadable", None, False)}
@@ -104,6 +107,74 @@ def test_directories_that_cannot_be_listed(spark, tmp_path, monkeypatch):
     assert actions == {f"{root}/empty.txt": "keep", f"{root}/gone": "error"}
 
 
+def listed_paths(root):
+    found = []
+    for folder, folders, files in os.walk(root):
+        found += [os.path.relpath(os.path.join(folder, n), root) for n in folders + files]
+    return sorted(found)
+
+
+def test_a_deep_chain_takes_few_jobs(spark, tmp_path, monkeypatch):
+    root = tmp_path / "c"
+    root.mkdir()
+    here = os.getcwd()
+    os.chdir(root)
+    try:
+        for i in range(1500):  # the path is longer than one call may name, its steps are not
+            os.mkdir("d")
+            os.chdir("d")
+            if i % 500 == 0:
+                open("f", "w").close()
+    finally:
+        os.chdir(here)
+    saved = []
+    monkeypatch.setattr(tree, "save", lambda df, label: saved.append(label) or scratch.save(df, label))
+    entries = tree.scan_entries(spark, str(root))
+    assert entries.count() == 1503 and len(saved) <= 3
+    assert tree.scan_files(spark, str(root)).count() == 3
+
+
+@pytest.mark.parametrize("descent", [1, 7, 1000])
+def test_descents_list_everything_once(spark, tmp_path, monkeypatch, descent):
+    for i in range(40):
+        folder = tmp_path / f"a{i % 5}" / f"b{i % 7}" / (f".h{i}" if i % 9 == 0 else f"c{i}")
+        folder.mkdir(parents=True)
+        (folder / "f.txt").write_text("x")
+    monkeypatch.setattr(tree, "DESCENT", descent)
+    entries = tree.scan_entries(spark, str(tmp_path))
+    assert entries.columns == tree.MANIFEST.fieldNames()
+    assert sorted(r.rel_path for r in entries.collect()) == listed_paths(tmp_path)
+    shown = tree.scan_entries(spark, str(tmp_path), include_hidden=False)
+    visible = [p for p in listed_paths(tmp_path) if "/." not in p]
+    assert sorted(r.rel_path for r in shown.collect()) == visible
+
+
+def test_hashing_is_dealt_by_bytes_and_files(spark, monkeypatch):
+    monkeypatch.setattr(digests, "OPEN_BYTES", 10)
+    monkeypatch.setattr(digests, "TASK_BYTES", 500)
+    rows = [(f"p{i:05d}", 0) for i in range(2000)] + [(f"q{i}", 400) for i in range(20)] + [("r", None), ("s", 9000)]
+    dealt = digests.balanced(spark.createDataFrame(rows, "path string, size long"))
+    tasks = {}
+    for r in dealt.withColumn("task", F.spark_partition_id()).collect():
+        tasks.setdefault(r.task, []).append((r.size or 0) + 10)
+    assert sum(len(t) for t in tasks.values()) == len(rows)
+    assert all(sum(t) - max(t) <= 500 for t in tasks.values()) and len(tasks) >= 56
+
+
+def test_sketches_of_scans_are_merged(spark, tmp_path):
+    rows = [(f"{i % 3000:064x}", f"/p/{i}") for i in range(5000)] + [(None, "/broken")]
+    df = spark.createDataFrame(rows, "hash string, path string")
+    first, second = df.filter("path < '/p/3'"), df.filter("path >= '/p/3' or path = '/broken'")
+    digest_sink.save_digests(first, str(tmp_path / "a"), "sha256", "t", sketch=True)
+    digest_sink.save_digests(second, str(tmp_path / "b"), "sha256", "t", sketch=True)
+    found = digests.approximate_unique(digests.load_sketches(spark, str(tmp_path / "a"), str(tmp_path / "b"))).first()
+    assert found.files == 5000
+    assert abs(found.unique_hashes - 3000) <= digest_sink.RELATIVE_ERROR * 3000
+    assert digests.load_digests(spark, str(tmp_path / "a")).count() == first.filter("hash is not null").count()
+    nothing = digests.approximate_unique(digest_sink.sketch_of(df.limit(0))).first()
+    assert tuple(nothing) == (0, 0)
+
+
 def test_missing_roots(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tree.scan_files(spark, str(tmp_path / "none"))
@@ -232,10 +303,44 @@ def test_json_database_split_over_tasks(spark, tmp_path):
     assert found == sorted((h, p) for h, paths in many.items() for p in paths)
 
 
-def test_json_database_in_another_layout(spark, tmp_path):
+LAYOUTS = {
+    "one line": {},
+    "no spaces": {"separators": (",", ":")},
+    "four spaces": {"indent": 4},
+    "tabs": {"indent": "\t", "separators": (" ,", "  :  ")},
+    "plain text": {"ensure_ascii": False},
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("metadata_last", [False, True])
+def test_json_database_in_any_layout_over_many_tasks(spark, tmp_path, layout, metadata_last):
+    odd = ['a"b', "back\\slash\\", '\\"', "é ü 𝄞", 'tab\t, [x]: {"y": 1}', "", " ", 'end"', "\\\\"]
+    many = {f"{i:064x}": [f"/p/{i}/{j}" for j in range(i % 9)] for i in range(150)}
+    many["ab"] = [f"/odd/{i}/{name}" for i, name in enumerate(odd)] + ["/long/" + "n" * 3000]
+    facts = {"algorithm": "sha256", "generated": 'now, "then"', "total_files": 12}
+    members = [("metadata", facts), ("hashes", many)]
+    text = json.dumps(dict(members[::-1] if metadata_last else members), **LAYOUTS[layout])
+    (tmp_path / "db.json").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        rows, metadata = digests.load_digests_json(spark, str(tmp_path / "db.json"))
+        found = sorted((r.hash, r.path) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == sorted((h, p) for h, paths in many.items() for p in paths)
+    assert metadata == {"algorithm": "sha256", "generated": 'now, "then"', "total_files": "12"}
+
+
+def test_json_database_without_entries(spark, tmp_path):
     (tmp_path / "db.json").write_text('{"metadata": {"algorithm": "md5"}, "hashes": {}}')
+    rows, metadata = digests.load_digests_json(spark, str(tmp_path / "db.json"))
+    assert rows.count() == 0 and metadata == {"algorithm": "md5"}
+    (tmp_path / "other.json").write_text('{"some": ["thing"]}')
     with pytest.raises(ValueError):
-        digests.load_digests_json(spark, str(tmp_path / "db.json"))
+        digests.load_digests_json(spark, str(tmp_path / "other.json"))
 
 
 def test_files_of_unknown_size_are_planned(spark, tmp_path):
