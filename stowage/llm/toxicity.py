@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import BATCH_ROWS, pick
@@ -150,9 +150,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[i
     texts = pick(docs, "doc_id", "text").filter(F.length("text") <= LEARN_CHARS)
     usable = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= LEARN_DOCS)
-    chosen = F.broadcast(chosen.select("doc_id", "toxic"))  # at most 2 * LEARN_DOCS rows
+    first = [usable.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_DOCS) for t in (0, 1)]
+    chosen = F.broadcast(first[0].union(first[1]))  # at most 2 * LEARN_DOCS rows
     one = F.min_by("text", F.xxhash64("text")).alias("text")
     rows = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(one)
     return rows.select("doc_id", "text", "toxic"), counts
