@@ -7,9 +7,10 @@ survives is verified on the full shingle sets.
 
 A bucket may hold very many classes, so pairs are never listed bucket by bucket.  First every
 class is compared with one centre of each of its buckets.  Buckets that still hold more than one
-component are then compared in cells of bounded size, of which only the likeliest pairs of
-every component leave; this repeats with more pairs until no cell holds any back, so that
-every candidate pair is verified, dropped by its posterior, or connected already.
+component are then dealt into cells of bounded size, none of which holds the largest component
+alone.  A cell drops what has no candidate left by the signatures, verifies the others on their
+full sets, the likeliest pairs first and none that is connected already, and gives a forest: fewer
+rows than it has.  So every candidate pair is verified, dropped by its posterior, or connected.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import attach, by_batch, cells, components, groups, pick, texts
+from stowage.llm.common import attach, by_batch, components, groups, pick, texts
 from stowage.operators.scratch import save
 
 #: 32 bands of 4: a pair at 0.75 shares no band with a probability of 0.000005.
@@ -31,8 +32,10 @@ BANDS, ROWS = 32, 4
 STEP = 32
 #: Chance to drop a pair that reaches the threshold.
 MISS = 1e-6
-#: Rows of a bucket that meet in one cell come from two chunks of this many.
+#: Rows of a bucket that meet in one cell come from two chunks of about this many, ...
 CELL = 1024
+#: ... whose sets have about this many shingles together.
+CELL_SHINGLES = 1 << 22
 
 _CACHE_WORDS = 300_000
 _BLOCK = 30_000
@@ -168,16 +171,18 @@ def _prune(batch: pa.RecordBatch, threshold: float, miss: float) -> pa.RecordBat
     return batch.select(["a", "b"]).take(pa.array(alive))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _at_least(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    """Rows (a, b, set_a, set_b) with 100 * intersection >= percent * union."""
-    kept = []
-    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            kept.append(False)
-            continue
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        kept.append(100 * both >= percent * (len(x) + len(y) - both))
+    """Rows (a, b, set_a, set_b) that are alike."""
+    sets = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+    kept = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets]
     return batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
@@ -194,7 +199,10 @@ def _sets_of(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
 
 
 def _cell(sig, comp, chunk, band: int, threshold: float, miss: float, rows: int):
-    """(matches, x, y) of the pairs of a cell that lie in two components and survive."""
+    """(matches, x, y) of the pairs of a cell that lie in two components and survive.
+
+    A pair is looked at only in the first band in which it meets; with ``chunk``, only across chunks.
+    """
     found = []
     for x in range(len(sig) - 1):
         others = np.arange(x + 1, len(sig))
@@ -211,40 +219,102 @@ def _cell(sig, comp, chunk, band: int, threshold: float, miss: float, rows: int)
     return found
 
 
-def _cell_pairs(batches, threshold: float, miss: float, most: int, rows: int):
-    """The ``most`` likeliest pairs of every component of every cell.
+_IN_CELL = "band int, bucket long, _i int, _j int, _own int, rid long, comp long, sig binary"
 
-    Rows are sorted by cell.  A pair is looked at only in the first band in which it meets.
-    ``held`` tells that a cell had more pairs than it gave.
-    """
+
+def _in_cells(batches, threshold: float, miss: float, rows: int):
+    """Cells in rows sorted by cell: (table, start, survivors) of each that has survivors."""
     for table, bounds in groups(batches, ["bucket", "_i", "_j"]):
-        bands, own, rids = (table[c].to_numpy() for c in ("band", "_own", "rid"))
+        bands, own = (table[c].to_numpy() for c in ("band", "_own"))
         comps = table["comp"].to_numpy()
         across = table["_i"].to_numpy() != table["_j"].to_numpy()
         sigs = _matrix(table["sig"])
-        a, b, held = [], [], []
         for start, end in zip(bounds[:-1], bounds[1:], strict=True):
             part = slice(start, end)
             chunk = own[part] if across[start] else None
             found = _cell(sigs[part], comps[part], chunk, int(bands[start]), threshold, miss, rows)
-            given: dict[int, int] = {}
-            over = False
-            for _, x, y in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-                x, y = x + start, y + start
-                one, two = given.get(comps[x], 0), given.get(comps[y], 0)
-                if one < most or two < most:
-                    given[comps[x]], given[comps[y]] = one + 1, two + 1
-                    a.append(rids[x])
-                    b.append(rids[y])
-                    held.append(False)
-                else:
-                    over = True
-            if over:
-                held[-1] = True
-        yield pa.record_batch(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(held, pa.bool_())],
-            ["a", "b", "held"],
-        )
+            if found:
+                yield table, start, found
+
+
+def _wanted(batches, *how):
+    """The rows of every cell that have a survivor in it."""
+    for table, start, found in _in_cells(batches, *how):
+        rows = np.unique(np.array(found)[:, 1:]) + start
+        yield from table.take(pa.array(rows)).to_batches()
+
+
+def _united(batches, percent: int, *how):
+    """Rows (a, b): what joins the components of a cell, verified on the sets of its rows."""
+    for table, start, found in _in_cells(batches, *how):
+        comps, rids = table["comp"].to_numpy(), table["rid"].to_numpy()
+        parent = {int(c): int(c) for c in comps}
+        sets: dict[int, np.ndarray] = {}
+
+        def root(at: int) -> int:
+            c = int(comps[at])
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        def items(at: int) -> np.ndarray:
+            if at not in sets:
+                sets[at] = np.frombuffer(table["items"][at].as_py(), np.uint64)
+            return sets[at]
+
+        a, b = [], []
+        for _, x, y in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+            x, y = x + int(start), y + int(start)
+            one, two = root(x), root(y)
+            if one != two and _alike(items(x), items(y), percent):
+                parent[one] = two
+                a.append(rids[x])
+                b.append(rids[y])
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _dealt(placed: DataFrame, limit: int) -> DataFrame:
+    """Rows (band, bucket, rid, comp, n_shingles) of buckets with several components, in cells.
+
+    The rows of the largest component and the others are cut into chunks of about ``limit`` rows.  A cell
+    holds a chunk of each (``_j`` < 0), or two chunks of the others; ``_own`` tells the row's side.  What fits into
+    one cell is one.
+    """
+    keys = ["band", "bucket"]
+    size = F.greatest(F.lit(1.0) / limit * F.count("*"), F.sum("n_shingles") / F.lit(float(CELL_SHINGLES)))
+    parts = placed.groupBy(*keys, "comp").agg(size.alias("size"))
+    open_ = parts.groupBy(*keys).agg(
+        F.count("*").alias("comps"),
+        F.sum("size").alias("all"),
+        F.max("size").alias("most"),
+        F.max_by("comp", F.struct("size", "comp")).alias("main"),
+    )
+    rest = F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("most"))).cast("int")
+    open_ = save(
+        open_.filter("comps > 1").select(
+            *keys, "main", "all", F.ceil("most").cast("int").alias("mains"), rest.alias("rests")
+        ),
+        "open",
+    )
+    rows = placed.join(open_, keys).drop("n_shingles")
+    is_main, single = F.col("comp") == F.col("main"), F.col("all") <= 1
+    chunk = F.pmod(F.xxhash64("rid"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    rows = rows.withColumn("chunk", chunk)
+
+    def cell(i, j, own):
+        return F.struct(i.alias("_i"), j.alias("_j"), own.alias("_own"))
+
+    def numbers(n):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    at, zero = F.col("chunk"), F.lit(0)
+    with_rest = F.transform(numbers("rests"), lambda j: cell(at, -1 - j, F.lit(0)))
+    with_main = F.transform(numbers("mains"), lambda i: cell(i, -1 - at, F.lit(1)))
+    among = F.transform(numbers("rests"), lambda j: cell(F.least(at, j), F.greatest(at, j), at))
+    where = F.when(single, F.array(cell(zero, zero, zero))).when(is_main, with_rest)
+    rows = rows.withColumn("cell", F.explode(where.otherwise(F.concat(with_main, among))))
+    return rows.select(*keys, "cell.*", "rid", "comp")
 
 
 def near_duplicates(
@@ -291,12 +361,14 @@ def near_duplicates(
         )
         for b in range(bands)
     ]
-    lone = known.select("rid", "sig").join(classes.select("rid"), "rid")
-    dealt = lone.select("rid", F.explode(F.array(*keys)).alias("k")).select("rid", "k.*")
+    lone = known.select("rid", "sig", "n_shingles").join(classes.select("rid"), "rid")
+    dealt = lone.select("rid", "n_shingles", F.explode(F.array(*keys)).alias("k"))
+    dealt = dealt.select("rid", "n_shingles", "k.*")
     buckets = (
         dealt.groupBy("band", "bucket")
         .agg(F.count("*").alias("n"), F.min("rid").alias("centre"))
         .filter("n > 1")
+        .drop("n")
     )
     members = save(dealt.join(buckets, ["band", "bucket"]), "members")
     involved = members.select("rid").distinct()
@@ -325,36 +397,20 @@ def near_duplicates(
     pairs = pairs.mapInArrow(by_batch(_prune, threshold, miss), "a long, b long")
     roots = save(components(verify(pairs)), "roots")
 
-    most = 1
-    while True:
-        placed = members.select("band", "bucket", "rid", "n").join(
-            roots.toDF("rid", "root"), "rid", "left"
-        )
-        placed = placed.withColumn("comp", F.coalesce("root", "rid")).drop("root")
-        open_ = (
-            placed.groupBy("band", "bucket")
-            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .filter("lo <> hi")
-            .select("band", "bucket")
-        )
-        dealt = cells(placed.join(open_, ["band", "bucket"]), F.col("n"), cell, "rid")
-        dealt = dealt.join(sigs, "rid").select(
-            "band", "bucket", "_i", "_j", "_own", "rid", "comp", "sig"
-        )
-        dealt = dealt.repartition("bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j")
-
-        def meet(batches, most=most):
-            return _cell_pairs(batches, threshold, miss, most, rows)
-
-        likely = save(dealt.mapInArrow(meet, "a long, b long, held boolean"), "likely")
-        some, held = likely.agg(F.count("*"), F.max("held")).first()
-        if some:
-            links = verify(likely.select("a", "b").distinct())
-            stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = save(components(stars.union(links)), "roots")
-        if not held:
-            break
-        most *= 8
+    placed = members.select("band", "bucket", "rid", "n_shingles").join(roots.toDF("rid", "root"), "rid", "left")
+    placed = placed.withColumn("comp", F.coalesce("root", "rid")).drop("root")
+    names = [c.split()[0] for c in _IN_CELL.split(", ")]
+    how = threshold, miss, rows
+
+    def in_cells(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j")
+
+    dealt = in_cells(_dealt(placed, cell).join(sigs, "rid").select(*names))
+    left = save(dealt.mapInArrow(lambda batches: _wanted(batches, *how), _IN_CELL), "left")
+    links = in_cells(left.join(sets, "rid").select(*names, "items"))
+    links = links.mapInArrow(lambda batches: _united(batches, percent, *how), "a long, b long")
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = save(components(stars.union(links)), "roots")
 
     comps = classes.join(roots.toDF("rid", "root"), "rid", "left")
     comps = comps.withColumn("comp", F.coalesce("root", "rid")).select("set_id", "id", "comp")
