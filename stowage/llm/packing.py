@@ -2,22 +2,24 @@
 
 Shallow combinations of lengths that fill the window are the columns of a non-negative least
 squares problem; its right side is the histogram.  The solution says how often each combination
-repeats; it is rounded down to what the histogram holds, and a greedy best fit on the
-histogram places the rest.  All of this works on lengths, at most a window of them; documents
+repeats; it is rounded so that the number of sequences stays (largest remainders), as far as the
+histogram holds out, and a greedy best fit on the histogram places the rest.  Combinations have at least
+``DEPTH`` parts, and more where pieces are short.  All of this works on lengths, at most a window of them; documents
 only look up their place, so nothing that grows with the data reaches the driver.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,14 +33,29 @@ WINDOW = 4096
 END_ID = 2
 #: Lengths are grouped into this many steps for the least squares problem.
 STEPS = 32
-#: Lengths that one combination has at most.
+#: Lengths that one combination has at most; twice the pieces that fill a window on average, if that is more.
 DEPTH = 6
 _ITERATIONS = 400
 _CACHE_WORDS = 200_000
-#: Pre-tokens of printable lower-case ASCII words in tokenizers of word ends.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Pre-tokens of lower-case words in tokenizers of word ends.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Words of characters below this one are cut here.
+_LATIN = "\u0250"
 #: A tokenizer that cuts these otherwise gets every word whole.
-_SAMPLES = ["It's", "WE'LL've", "a1b22", "x--y", "(don't)", "$5.00,", "'", "''s", "~!@#%^&*", "end.", "THE"]
+_SAMPLES = [
+    "It's", "WE'LL've", "a1b22", "x--y", "(don't)", "$5.00,", "'", "''s", "~!@#%^&*", "end.", "THE",
+    "Größe", "ÀÉÎ", "ñandú's", "½x²", "œuvre…", "ßÿ", "«ça»", "Łódź", "ı",
+]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for every byte in vocabularies of bytes: itself if it is a printable one, else from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 # --- tokens ----------------------------------------------------------------------------------
@@ -65,7 +82,7 @@ class _Encoder:
     """Ids of a tokenizers file, word by word.
 
     The tokenizer's pre-tokens never span white space, so words between spaces are encoded
-    apart and remembered.  Words of ASCII characters need no normalization but lower case; their
+    apart and remembered.  Words of Latin letters that are composed need no normalization but lower case; their
     pre-tokens go to the model one by one, and are remembered as well.  Texts that contain the
     string of a special token go through the tokenizer whole.
     """
@@ -78,21 +95,27 @@ class _Encoder:
         self._special = [t.content for t in self._tool.get_added_tokens_decoder().values()]
         self._words = _Recent(self._word, _CACHE_WORDS)
         self._parts = _Recent(self._part, _CACHE_WORDS)
-        self._plain = all(self._raw([t])[0] == self._ascii(t) for t in _SAMPLES)
+        self._plain = all(self._raw([t])[0] == self._latin(t) for t in _SAMPLES)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self._tool.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [t.id for t in self._model.tokenize(part)]).tobytes()
 
-    def _ascii(self, word: str) -> bytes:
+    def _latin(self, word: str) -> bytes:
         return b"".join(map(self._parts.__getitem__, _PARTS.findall(word.lower())))
 
     def _word(self, word: str) -> bytes:
-        plain = self._plain and word.isascii() and word.isprintable()
-        return self._ascii(word) if plain else self._raw([word])[0]
+        if self._plain and word.isprintable():
+            if word.isascii():
+                return self._latin(word)
+            if max(word) < _LATIN and "İ" not in word and unicodedata.is_normalized("NFC", word):
+                return self._latin(word)
+        return self._raw([word])[0]
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
@@ -176,6 +199,14 @@ def _solve(matrix: np.ndarray, right: np.ndarray, iterations: int) -> np.ndarray
     return x
 
 
+def _rounded(repeats: np.ndarray) -> np.ndarray:
+    """Whole numbers with (nearly) the same sum: rounded down, and one more for the largest remainders."""
+    whole = np.floor(repeats).astype(np.int64)
+    more = int(round(float(repeats.sum()))) - int(whole.sum())
+    whole[np.argsort(whole - repeats, kind="stable")[:more]] += 1
+    return whole
+
+
 def plan(
     histogram: dict[int, int], window: int, steps: int = STEPS, depth: int = DEPTH
 ) -> list[tuple[int, list[int]]]:
@@ -183,6 +214,13 @@ def plan(
 
     ``histogram`` counts the pieces of every length from 1 to ``window``.
     """
+    return plan_and_share(histogram, window, steps, depth)[0]
+
+
+def plan_and_share(
+    histogram: dict[int, int], window: int, steps: int = STEPS, depth: int = DEPTH
+) -> tuple[list[tuple[int, list[int]]], float]:
+    """``plan``, and the share of the pieces shorter than the window that the least squares solution places."""
     left = np.zeros(window + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -195,41 +233,58 @@ def plan(
     grid = np.minimum(np.ceil(np.arange(window + 1) / step).astype(int), steps)
     open_: dict[tuple[int, ...], int] = {}
 
-    # repeats of combinations of steps; a step is served by its own lengths, longest first, the
-    # last step of a combination by the longest that still fits
+    # repeats of combinations of steps; a step is served by its own lengths, longest first
     counts = np.bincount(grid, weights=left, minlength=steps + 1)[1:]
+    pieces = int(left.sum())
+    mean = float((left * np.arange(window + 1)).sum()) / max(pieces, 1)
+    depth = min(steps, max(depth, round(2 * window / max(mean, 1))))
     combos = [c for c in _combinations(steps, depth) if all(counts[p - 1] for p in c)]
     if combos:
         matrix = np.zeros((steps, len(combos)))
         for j, combo in enumerate(combos):
             for part in combo:
                 matrix[part - 1, j] += 1
-        repeats = np.floor(_solve(matrix, counts, _ITERATIONS)).astype(np.int64)
-        by_step = {p: [l for l in range(window, 0, -1) if grid[l] == p] for p in range(1, steps + 1)}
+        repeats = _rounded(_solve(matrix, counts, _ITERATIONS))
+        able = [l for l in range(1, window + 1) if left[l]]
         for j in np.argsort(-repeats, kind="stable"):
             want = int(repeats[j])
             while want:
                 lengths, used, room = [], {}, window
-                for at, part in enumerate(combos[j]):
-                    if at + 1 < len(combos[j]):
-                        length = next((l for l in by_step[part] if left[l] > used.get(l, 0)), None)
-                    else:  # the last one closes the window as well as any length can
-                        fits = np.flatnonzero(left[: room + 1])[::-1]
-                        length = next((int(l) for l in fits if left[l] > used.get(int(l), 0)), None)
-                    if length is None:
-                        break
+
+                def take(length: int) -> None:
                     lengths.append(length)
                     used[length] = used.get(length, 0) + 1
+
+                def longest(most: int) -> int | None:
+                    at = bisect_right(able, most) - 1
+                    while at >= 0 and left[able[at]] <= used.get(able[at], 0):
+                        at -= 1
+                    return able[at] if at >= 0 else None
+
+                # a step that is used up is served by the next shorter length
+                for part in combos[j][:-1]:
+                    length = longest(min(room, int(part * step)))
+                    if length is not None:
+                        take(length)
+                        room -= length
+                # the last part, and more where lengths lie below their steps, close the window
+                length = longest(room)
+                while length is not None:
+                    take(length)
                     room -= length
-                else:
-                    n = min(want, *(int(left[l]) // k for l, k in used.items()))
-                    for l, k in used.items():
-                        left[l] -= n * k
-                    kind = tuple(sorted(lengths, reverse=True))
-                    open_[kind] = open_.get(kind, 0) + n
-                    want -= n
-                    continue
-                break
+                    length = longest(room)
+                if not lengths:
+                    break
+                n = min(want, *(int(left[l]) // k for l, k in used.items()))
+                for l, k in used.items():
+                    left[l] -= n * k
+                    if not left[l]:
+                        del able[bisect_left(able, l)]
+                kind = tuple(sorted(lengths, reverse=True))
+                open_[kind] = open_.get(kind, 0) + n
+                want -= n
+
+    solved = 1 - int(left.sum()) / pieces if pieces else 1.0
 
     # greedy best fit of the rest, longest first, into the rooms that are left
     rooms: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
@@ -278,7 +333,7 @@ def plan(
                     n = 0
     for held in rooms.values():
         kinds += [(n, list(kind)) for n, kind in held]
-    return kinds
+    return kinds, solved
 
 
 class _Places:

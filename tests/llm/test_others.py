@@ -143,7 +143,7 @@ def test_words_are_encoded_as_by_the_tokenizer(monkeypatch):
     monkeypatch.setattr(packing, "_CACHE_WORDS", 50)
     tool, encoder = Tokenizer.from_file(TOKENIZER), packing._Encoder(TOKENIZER)
     rng = np.random.default_rng(5)
-    letters = list("abXYZ019'’ sStTrReEvVmMlLdD.,!?-_\"\\\0\x0b\x0c\x1c\x1f\x7f\t\n\r \x85 éßΣσςİ한😀")
+    letters = list("abXYZ019'’ sStTrReEvVmMlLdD.,!?-_\"\\\0\x0b\x0c\x1c\x1f\x7f\t\n\r \x85 éßÉñÑ«½²œŒÿıŁ\u0301\xadªΣσςİ한😀")
     for length in rng.integers(0, 16, 3000):
         text = "".join(rng.choice(letters, length))
         ids = tool.encode(text, add_special_tokens=False).ids
@@ -165,6 +165,16 @@ def test_plan_uses_up_the_histogram():
     assert packing.plan({}, 4096) == [] and packing.plan({3: 5}, 4) == [(5, [3])]
 
 
+@pytest.mark.parametrize("longest, pieces", [(4095, 1000), (640, 3000), (60, 3000), (4095, 30)])
+def test_the_solution_places_most_pieces(longest, pieces):
+    rng = np.random.default_rng(longest)
+    lengths = rng.integers(1, longest + 1, pieces)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    kinds, share = packing.plan_and_share(histogram, 4096)
+    assert share > 0.5
+    assert sum(n for n, _ in kinds) <= -(-lengths.sum() // 4096) * 1.05 + 1
+
+
 def test_bpe_like_the_rank_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
