@@ -83,9 +83,10 @@ def shard(
 
     The law is ``bytes``: a row counts the UTF-8 bytes of its text (null: none) plus ``overhead``;
     a splitter is off its target by at most ``tolerance`` of a shard, or by one row if that
-    is more.  Keys are md5 of ``key`` followed by the hash of the row's place in the saved table, so
-    that repeated rows, rows without a key and copies of a text spread over shards like any others.
-    Slots count from 0 in every shard without a gap.  ``keep`` names further columns to carry
+    is more.  Keys are digits of md5 of ``key``, then of a hash of key and text, and last of a hash of the row's
+    place, which only parts rows that are equal; so repeated rows, rows without a key and copies of a text
+    spread over shards like any others, and shards and slots of other rows don't depend on the files of the table.
+    Slots count from 0 in every shard without a gap; their order is fixed, but means nothing.  ``keep`` names further columns to carry
     along, such as the text itself.  A null text has checksum 0.  An empty table gives no rows.
     """
     names = [key, text, *[k for k in keep if k not in (key, text)]]
@@ -96,11 +97,13 @@ def shard(
         size.alias("size"),
         F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long").alias("text_crc32"),
         *[F.col(k).alias(f"_keep_{i}") for i, k in enumerate(keep)],
+        F.xxhash64(F.col(text)).alias("text_hash"),
         F.monotonically_increasing_id().alias("_at"),
     )
     first = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("0" * 32))
-    second = F.lpad(F.lower(F.hex(F.xxhash64("_at"))), 16, "0")
-    facts = facts.withColumn("key", F.concat(F.substring(first, 1, 16), second)).drop("_at")
+    second = F.xxhash64(F.lit(1), "doc_id", "text_hash")
+    digits = [F.lpad(F.lower(F.hex(h)), 16, "0") for h in (second, F.xxhash64("_at"))]
+    facts = facts.withColumn("key", F.concat(F.substring(first, 1, 16), *digits)).drop("_at", "text_hash")
     rows = save(facts, "sizes")
 
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -112,6 +115,10 @@ def shard(
     cell = F.substring("key", 1, lead)
     most = rows.groupBy(cell).count().agg(F.max("count")).first()[0] or 0
     cell = F.concat(cell, F.substring("key", 17, _digits_for(most)))
+    # what still crowds a cell is equal rows, which their place parts
+    most = rows.groupBy(cell).count().agg(F.max("count")).first()[0] or 0
+    if most > 16 * CELL_ROWS:
+        cell = F.concat(cell, F.substring("key", 33, _digits_for(most)))
     placed = rows.withColumn("shard", number).withColumn("_cell", cell)
 
     sizes = placed.groupBy("shard", "_cell").agg(F.count("*").alias("n"))
