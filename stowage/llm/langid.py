@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import by_batch, pick
+from stowage.operators.scratch import save
 
 #: n-grams of one to this many characters (letters, and one space between words).
 LONGEST = 3
@@ -18,6 +19,8 @@ PROFILE = 400
 #: Documents of each language that its profile is learned from at most, those with the
 #: smallest hash of their id.
 LEARN_DOCS = 2000
+#: Chosen ids up to which they go to all tasks, so that no text is shuffled; beyond, both sides are.
+BROADCAST_IDS = 200_000
 #: Learning texts of like length from which their lowest score says something.
 FLOOR_DOCS = 100
 
@@ -27,11 +30,11 @@ _letters: np.ndarray | None = None
 
 
 def _letter_table() -> np.ndarray:
+    """For every code point: 2 for a letter, 1 for a mark, which is part of a word, else 0."""
     global _letters
     if _letters is None:
-        _letters = np.array(
-            [unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)], dtype=bool
-        )
+        kinds = {"L": 2, "M": 1}
+        _letters = np.array([kinds.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.int8)
     return _letters
 
 
@@ -47,11 +50,12 @@ def _grams(text: str | None, longest: int) -> tuple[np.ndarray, np.ndarray]:
     letter = _letter_table()
     parts = []
     codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    is_letter = letter[codes]
+    kind = letter[codes]
+    if not (kind == 2).any():
+        return empty
+    is_letter = kind > 0
     codes = np.where(is_letter, codes, _SPACE).astype(np.int64)
     codes = codes[is_letter | np.concatenate([[True], is_letter[:-1]])]
-    if not (codes != _SPACE).any():
-        return empty
     first, last = int(codes[0] == _SPACE), len(codes) - int(codes[-1] == _SPACE)
     codes = np.concatenate([[_SPACE], codes[first:last], [_SPACE]])
     for start in range(0, len(codes), _SLICE):
@@ -117,8 +121,9 @@ def learn(
 ) -> dict[str, list[int]]:
     """Profile of every language in ``docs`` (doc_id, text, lang): its n-grams by rank.
 
-    Learned from at most ``learn_docs`` whole texts a language, chosen by a hash of doc_id.
-    Only the profiles come to the driver: ``profile`` numbers a language.
+    Learned from at most ``learn_docs`` whole texts a language, chosen by a hash of doc_id; ties of n-grams go by
+    the n-gram.  Rows without id, language or text are left out; repeated rows of a chosen id count each; an
+    empty table gives no profile.  Only the profiles come to the driver: ``profile`` numbers a language.
     """
     return profiles_of(learning_texts(docs, learn_docs), profile, longest)
 
@@ -140,6 +145,9 @@ def learning_texts(docs: DataFrame, learn_docs: int = LEARN_DOCS) -> DataFrame:
         .filter(F.col("_rank") <= learn_docs)
         .drop("_rank")
     )
+    chosen = save(chosen, "chosen")
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     return usable.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
