@@ -3,9 +3,10 @@
 The standard library's parser turns a page into lines, one for each block of text.  A line's
 ratio is its characters outside links to its tags.  Ratios are smoothed by a Gaussian; lines
 above a threshold taken from their spread are content, and a content region is every line that has
-the container of such a line.  Elements that are boilerplate by their name give no lines.  Those with the
-label of boilerplate, and forms, are decided with the whole page at hand: what holds the article is
-no boilerplate, what else is dense in text may not be (see ``_open_labels``).
+the container of such a line.  If the page has an article with text, lines outside it are none.  Elements that
+are boilerplate by their name give no lines.  Those with the label of boilerplate, asides in an article, and
+forms are decided with the whole page at hand: what holds the article is no boilerplate, what else
+is dense in text may not be (see ``_open_labels``).
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ _DROP = frozenset(
     " noscript object optgroup option script select style svg template textarea title video".split()
 )
 _ROOT = frozenset(["article", "main"])
+_NEVER_AROUND = frozenset("header menu nav select".split())
 _HOLDER = frozenset("body div section table td".split())
 #: Words in class, id or role of elements that are not part of the article.
 _LABELS = frozenset(
@@ -77,6 +79,8 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int, int, int]] = []
         #: Labelled elements and forms: (the one around it, whether by others, article); 0 is the page.
         self.labels: list[tuple[int, bool, int]] = [(0, False, 0)]
+        #: Labelled elements whose label is part of a longer name only (share-price).
+        self.vague: set[int] = set()
         #: Labelled element around every article.
         self.articles: dict[int, int] = {}
         # name, dropped, container, article, labelled element
@@ -87,6 +91,7 @@ class _Lines(HTMLParser):
         self._links = 0
         #: Container around every container.
         self.parents: list[int] = [0]
+        self._vague = False
 
     def _end_line(self) -> None:
         if self._text:
@@ -116,6 +121,12 @@ class _Lines(HTMLParser):
             return
         if tag in _VOID:
             return
+        if tag in _ROOT:  # no article lies in these: they were left open
+            for at, opened in enumerate(self._stack):
+                if opened[0] in _NEVER_AROUND:
+                    self._links -= sum(s[0] == "a" for s in self._stack[at:])
+                    del self._stack[at:]
+                    break
         _, dropped, holder, article, label = self._stack[-1] if self._stack else ("", False, 0, 0, 0)
         dropped = dropped or self._is_boilerplate(tag, attrs, article > 0)
         if not dropped:
@@ -125,6 +136,8 @@ class _Lines(HTMLParser):
                     self._end_line()  # so that no line is in and out of it
                 self.labels.append((label, others, article))
                 label = len(self.labels) - 1
+                if self._vague:
+                    self.vague.add(label)
         if tag in _ROOT or (tag in _HOLDER and not article):
             self.parents.append(holder)
             holder = len(self.parents) - 1
@@ -136,7 +149,7 @@ class _Lines(HTMLParser):
             self._links += 1
 
     def _is_boilerplate(self, tag, attrs, inside) -> bool:
-        if tag in _DROP:
+        if tag in _DROP and not (tag == "aside" and inside):
             return True
         if tag in _ROOT or tag in ("body", "html"):
             return False
@@ -151,18 +164,23 @@ class _Lines(HTMLParser):
 
     def _label(self, tag, attrs, inside) -> bool | None:
         """None without a label of boilerplate, else whether it is one of ``_OTHERS``."""
+        self._vague = False
         if tag in _ROOT or tag in ("body", "html"):
             return None
         words: set[str] = set()
+        exact: set[str] = set()
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
                 for token in value.lower().split():
                     found = set(_WORD.findall(token))
                     if not found & _ABOUT:
                         words |= found
-        if words & (_LABELS - _HEADS if inside else _LABELS | _HEADS):
+                        exact |= found if len(found) == 1 else set()
+        known = _LABELS - _HEADS if inside else _LABELS | _HEADS
+        if words & known:
+            self._vague = not exact & known
             return bool(words & _OTHERS)
-        return False if tag in _FORMS else None
+        return False if tag in _FORMS or tag == "aside" else None
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -208,9 +226,12 @@ def _open_labels(parser: _Lines) -> set[int]:
     First all around the article, which is the one with the most characters outside links (an unlabelled one
     counts four times, those under the label of others come last).  Then, from the outside in, those by the author that are as dense as
     content and no list of links: all in an article, and on a page without one those that hold at
-    least as many characters as all that is open so far.
+    least as many characters as all that is open so far.  In an article, a label that is part of a longer name
+    only counts against a list of links.
     """
     lines, labels = parser.lines, parser.labels
+    if not lines:
+        return {0}
     own = np.zeros((len(labels), 3))  # characters outside links, characters, tags
     held: dict[int, int] = {}
     for text, plain, tags, _, label, article in lines:
@@ -247,6 +268,8 @@ def _open_labels(parser: _Lines) -> set[int]:
             continue
         if not held and not plain:
             opened.add(label)  # a wrapper without text of its own
+        elif article and label in parser.vague and 2 * plain >= characters:
+            opened.add(label)
         elif plain and plain / tags >= threshold and 2 * plain >= characters:
             if article or (not held and plain >= sum(own[i][0] for i in opened)):
                 opened.add(label)
@@ -264,6 +287,9 @@ def main_text(html: str | None) -> str:
     parser.finish()
     opened = _open_labels(parser)
     lines = [line for line in parser.lines if line[4] in opened]
+    inside = [line for line in lines if line[5]]
+    if any(plain for _, plain, *_ in inside):
+        lines = inside
     if not lines:
         return ""
     ratios = np.array([plain / tags for _, plain, tags, *_ in lines], np.float64)
@@ -276,7 +302,19 @@ def main_text(html: str | None) -> str:
     content &= ratios >= min(threshold / 2, float(ratios.max()))
     seeds = [int(i) for i in np.flatnonzero(content)]
     holders = {lines[i][3] for i in seeds}
-    if not parser.articles:
+    if not any(line[5] for line in lines):
+        # tables and other containers between two lines of a content container belong to it
+        ends: dict[int, tuple[int, int]] = {}
+        for i, line in enumerate(lines):
+            if line[3] in holders:
+                ends[line[3]] = ends.get(line[3], (i, i))[0], i
+        for around, (start, end) in ends.items():
+            for text, plain, _, holder, *_ in lines[start:end]:
+                above = holder
+                while above and above != around:
+                    above = parser.parents[above]
+                if above == around and 2 * plain >= len(text):
+                    holders.add(holder)
         # a container of several such containers is a region from the first to the last of them
         spans: dict[int, tuple[int, int]] = {}
         for i in seeds:
