@@ -122,8 +122,9 @@ def _profile(batch: pa.RecordBatch, size: int, count: int) -> pa.RecordBatch:
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
             pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()),
+            batch.column(2),
         ],
-        ["doc_id", "n_shingles", "set_id", "sig"],
+        ["doc_id", "n_shingles", "set_id", "sig", "text_hash"],
     )
 
 
@@ -328,19 +329,20 @@ def near_duplicates(
     miss: float = MISS,
     cell: int = CELL,
 ) -> DataFrame:
-    """One row per document: key, n_shingles, component_id, kept.
+    """One row per document: key, n_shingles, component_id, kept, text_hash, group_id.
 
     Documents are linked if 100 * |A n B| >= percent * |A u B| for their sets of ``size``-word
     shingles.  component_id is the smallest key that links reach, kept tells whether it is the
     document's own.  Empty and null texts are linked with nothing.  A repeated row comes back as
-    often as it occurs; rows that share a key share their links.  A row without a key links
+    often as it occurs.  Texts that share a key are linked each by itself: ``text_hash`` (xxhash64) tells them apart, and
+    ``group_id`` (null without words or key) is one for what is linked.  A row without a key links
     with nothing, has no component and is not kept.  Texts may have any length; an empty
     table gives no rows; other columns are not looked at.
     """
     docs = pick(docs, key, text).toDF("doc_id", "text")
     threshold, count = percent / 100, bands * rows
-    schema = "doc_id long, n_shingles long, set_id binary, sig binary"
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    schema = "doc_id long, n_shingles long, set_id binary, sig binary, text_hash long"
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
     known = save(
         docs.mapInArrow(by_batch(_profile, size, count), schema).withColumn(
             "rid", F.monotonically_increasing_id()
@@ -415,7 +417,7 @@ def near_duplicates(
     comps = classes.join(roots.toDF("rid", "root"), "rid", "left")
     comps = comps.withColumn("comp", F.coalesce("root", "rid")).select("set_id", "id", "comp")
     names = comps.groupBy("comp").agg(F.min("id").alias("component"))
-    comps = attach(comps, names, "comp", ["set_id"]).select("set_id", "component")
+    comps = attach(comps, names, "comp", ["set_id"]).select("set_id", "component", "comp")
     out = attach(known.drop("sig"), comps, "set_id", ["rid"])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
@@ -423,4 +425,6 @@ def near_duplicates(
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"),
+        "text_hash",
+        F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("group_id"),
     )

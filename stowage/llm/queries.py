@@ -77,7 +77,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON x = d.doc_id""",
 )
 def op1_minhash(spark, folder):
-    return minhash.near_duplicates(_table(spark, folder, "documents"))
+    found = minhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op2_sharding")

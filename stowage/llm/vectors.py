@@ -148,22 +148,23 @@ def _meet(batches, cosine: float, k: int, tables: int, width: float):
         own, rid, weight, t = (table[c].to_numpy() for c in ("_own", "rid", "copies", "t"))
         across = table["_i"].to_numpy() != table["_j"].to_numpy()
         raw = table["vec"].to_pylist()
+        sizes = np.array([len(v) for v in raw])
         found = np.zeros(len(rid), np.int64)
         a, b = [], []
         for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-            # vectors of different lengths differ in their buckets but for chance
-            if len({len(v) for v in raw[start:end]}) > 1:
-                continue
-            vectors = np.frombuffer(b"".join(raw[start:end])).reshape(end - start, -1)
-            if end - start == 2 and vectors[0] @ vectors[1] < cosine:
-                continue
-            chunk = own[start:end] if across[start] else None
-            left, right = _cell(vectors, chunk, int(t[start]), cosine, k, tables, width)
-            np.add.at(found, left + start, weight[right + start])
-            np.add.at(found, right + start, weight[left + start])
-            for at in _forest(end - start, left, right):
-                a.append(rid[left[at] + start])
-                b.append(rid[right[at] + start])
+            # vectors of different lengths meet by chance only, and never link
+            for size in np.unique(sizes[start:end]):
+                rows = start + np.flatnonzero(sizes[start:end] == size)
+                vectors = np.frombuffer(b"".join([raw[r] for r in rows])).reshape(len(rows), -1)
+                if len(rows) < 2 or (len(rows) == 2 and vectors[0] @ vectors[1] < cosine):
+                    continue
+                chunk = own[rows] if across[start] else None
+                left, right = _cell(vectors, chunk, int(t[start]), cosine, k, tables, width)
+                np.add.at(found, rows[left], weight[rows[right]])
+                np.add.at(found, rows[right], weight[rows[left]])
+                for at in _forest(len(rows), left, right):
+                    a.append(rid[rows[left[at]]])
+                    b.append(rid[rows[right[at]]])
         some = np.flatnonzero(found)
         yield pa.record_batch(
             [
