@@ -87,6 +87,18 @@ def common_extension(x: Prefixes, i: int, y: Prefixes, j: int) -> int:
     return low
 
 
+def common_ending(x: Prefixes, y: Prefixes) -> int:
+    """Length of the longest span that ends both texts."""
+    low, high = 0, min(x.size, y.size)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if same_span(x, x.size - middle, y, y.size - middle, middle):
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def _stride(size: int) -> int:
     stride = 1
     while size > stride * PLACES:
@@ -173,15 +185,16 @@ def _deal(batches, firsts: list[tuple]):
 
 
 def _result(doc: tuple, following: tuple) -> tuple:
-    doc_id, text, codes, made = doc
-    _, next_text, next_codes, next_made = following
+    doc_id, text, codes, made, prefixes = doc
+    _, next_text, next_codes, next_made, next_prefixes = following
     n = len(codes)
     cut = n - n // 2
     # a later prefix array of the edited text starts like that of the text
     edited = fingerprint(Prefixes(np.concatenate([codes[:cut], next_codes[: n // 2]])))
     raw = (text[:cut] + next_text[: n // 2]).encode("utf-8", "surrogatepass")
     digest = hashlib.sha256(raw).hexdigest()
-    return (doc_id, n, digest, made, edited, likeness(made, edited), likeness(made, next_made))
+    common = common_extension(prefixes, 0, next_prefixes, 0), common_ending(prefixes, next_prefixes)
+    return (doc_id, n, digest, made, edited, likeness(made, edited), likeness(made, next_made), *common)
 
 
 _FIELDS = [
@@ -192,6 +205,8 @@ _FIELDS = [
     ("edited_fingerprint", pa.string()),
     ("near_edited", pa.float64()),
     ("near_next", pa.float64()),
+    ("start_next", pa.int64()),
+    ("end_next", pa.int64()),
 ]
 
 
@@ -217,7 +232,8 @@ def _sweep(batches):
                 continue
             text = text or ""
             codes = code_points(text)
-            row = (doc_id if has else None, text, codes, fingerprint(Prefixes(codes)))
+            prefixes = Prefixes(codes)
+            row = (doc_id if has else None, text, codes, fingerprint(prefixes), prefixes)
             if held is not None:
                 out.append(_result(held, row))
             held, over = row, bool(tail)
@@ -229,6 +245,10 @@ def fingerprints(
 ) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how like they are.
 
+    ``near_edited`` and ``near_next`` are what the fingerprints alone tell, so they may be low by two strides;
+    ``start_next`` and ``end_next`` are the exact lengths that the text and the next one have in common, from the
+    prefix arrays.
+
     The edited text has its last n // 2 code points replaced by the first as many (or all) of the next
     document in ascending order of ``key`` (then of a hash of the text; rows without a key
     come first; after the last comes the first).  Null texts count as empty.  Equal texts have equal
@@ -252,10 +272,11 @@ def fingerprints(
     dealt = docs.mapInArrow(
         deal, "_range int, _tail int, has int, id long, tie long, text string"
     )
-    dealt = dealt.repartition("_range").sortWithinPartitions("_range", "_tail", *order)
+    dealt = dealt.repartitionById(max(len(firsts), 1), F.col("_range"))
+    dealt = dealt.sortWithinPartitions("_range", "_tail", *order)
     found = dealt.mapInArrow(
         _sweep,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
-        " edited_fingerprint string, near_edited double, near_next double",
+        " edited_fingerprint string, near_edited double, near_next double, start_next long, end_next long",
     )
     return found.withColumnRenamed("doc_id", key)

@@ -107,7 +107,7 @@ def judge(
     those without ``://`` have an empty host and path, which no rule fits.  Hosts of any share of
     the rows spread over ranges by a hash of the row; a page without an id and
     repeated rows come back like any others; an empty table gives no rows; without rules
-    every page gets the default; other columns are not looked at.
+    every page gets the default; other columns are not looked at.  Urls may have any length.
     """
     pages = pick(pages, key, url).toDF("page_id", "url")
     page = pages.select(
@@ -137,7 +137,7 @@ def judge(
         ),
         allowMissingColumns=True,
     )
-    both = both.repartition("_range").sortWithinPartitions("_range", "key", "kind")
+    both = both.repartitionById(len(firsts), F.col("_range")).sortWithinPartitions("_range", "key", "kind")
     found = both.mapInArrow(
         lambda b: _sweep(b, default),
         "page_id long, host string, path string, rule string, verdict string",

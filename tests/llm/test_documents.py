@@ -1,6 +1,7 @@
 """Operators on documents: near duplicates, lines, language, shards, fingerprints."""
 
 import hashlib
+import os
 import zlib
 
 import pytest
@@ -211,6 +212,15 @@ def test_fingerprints(spark):
     assert got[102].fingerprint == got[5].fingerprint
     assert len({r.fingerprint for r in got.values()}) == len({t or "" for _, t in rows})
     assert all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in got.values())
+    ordered = sorted(rows)
+    for at, (i, text) in enumerate(ordered):
+        x, y = text or "", ordered[(at + 1) % len(ordered)][1] or ""
+        start = len(os.path.commonprefix([x, y]))
+        end = len(os.path.commonprefix([x[::-1], y[::-1]]))
+        assert (got[i].start_next, got[i].end_next) == (start, end)
+        exact = 1.0 if x == y else min(start + end, len(x), len(y)) / max(len(x), len(y))
+        low = 2 * max(map(fingerprints._stride, (len(x), len(y)))) / max(len(x), len(y), 1)
+        assert exact - low <= got[i].near_next <= exact + 1e-12
     assert got[100].near_next == 1.0 and got[103].near_edited == pytest.approx(0.5, abs=0.04)
 
 
