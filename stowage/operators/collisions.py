@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from stowage.functions.names import stem_of, suffix_of
 from stowage.operators.scan import Rule, scan
-from stowage.operators.scratch import save
+from stowage.operators.scratch import counted, row_count, save
 from stowage.operators.skew import attach, number_rows
 
 STYLES = ("plain", "padded", "chained")
@@ -158,16 +158,16 @@ def _marks(numbered: DataFrame, group_rows: int | None) -> DataFrame | None:
 
     ``taken`` is the first claim on such a name.
     """
-    occupied = save(_occupied(numbered.filter("place = 1").drop("place")), "indices")
-    if occupied.isEmpty():
+    occupied = save(_occupied(numbered.filter("place = 1").drop("place")), "indices", rows=counted())
+    if not row_count(occupied):
         return None
     held = occupied.groupBy(*_KEYS).agg(F.count("*").alias("held"))
     claims = numbered.groupBy(*_KEYS).agg(F.count("*").alias("claims"))
     bases = held.join(claims, _KEYS)
     # An index above claims + held is out of reach.
     reached = attach(occupied, bases, _KEYS, "held", group_rows=group_rows)
-    reached = save(reached.filter("index <= claims + held").select(*_KEYS, "index", "taken"), "reached")
-    return None if reached.isEmpty() else reached
+    reached = save(reached.filter("index <= claims + held").select(*_KEYS, "index", "taken"), "reached", rows=counted())
+    return reached if row_count(reached) else None
 
 
 def _settled(

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from stowage.functions import names
 from stowage.operators.scan import Rule, scan
-from stowage.operators.scratch import save
+from stowage.operators.scratch import counted, save
 from stowage.operators.skew import attach, number_rows
 
 _CLASS_TABLE = [
@@ -234,7 +234,7 @@ def _class_of(limit: int):
 def histogram(rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """(group, size, n): files of every size above 0, written once."""
     counts = rows.filter("size > 0").groupBy(*group, "size").agg(F.count("*").alias("n"))
-    return save(counts, "histogram")
+    return save(counts, "histogram", rows=counted())
 
 
 def class_table(sizes: DataFrame, limit: int, group: Sequence[str] = (), range_rows: int | None = None) -> DataFrame:
@@ -272,7 +272,7 @@ def pack(
     Equal sizes are taken in path order.  Pass narrow rows: they are written once.
     """
     group = list(group)
-    placed = save(rows.filter("size > 0").withColumn("_class", _class_of(limit)), "sized")
+    placed = save(rows.filter("size > 0").withColumn("_class", _class_of(limit)), "sized", rows=counted())
     keys = [*group, "_class"]
     table = class_table(histogram(placed, group), limit, group, group_rows)
     numbered = number_rows(placed, keys, [F.desc("size"), F.col(path)], "_pos", group_rows)

@@ -11,10 +11,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 _MARK = "_stowage_saved"
+_FACTS = "_stowage_facts"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,16 +39,45 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def save(df: DataFrame, label: str = "rows") -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads it back."""
+def save(df: DataFrame, label: str = "rows", **facts: Column) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads it back.
+
+    ``facts`` are aggregates that the same job takes on the way, with no pass of their own (see ``fact``).
+    """
     spark = df.sparkSession
     folder = new_folder(spark, label)
+    schema = df.schema
+    seen = None
+    if facts:
+        seen = Observation()
+        df = df.observe(seen, *[column.alias(name) for name, column in facts.items()])
     df.write.parquet(folder)
-    table = spark.read.schema(df.schema).parquet(folder)
+    table = spark.read.schema(schema).parquet(folder)
     setattr(table, _MARK, True)
+    setattr(table, _FACTS, (seen, facts))
     return table
 
 
+def fact(table: DataFrame, name: str, column: Column) -> object:
+    """An aggregate of a table: as its ``save`` has seen it, else by a pass over it."""
+    seen, facts = getattr(table, _FACTS, (None, {}))
+    if seen is not None and name in facts:
+        found = seen.get.get(name)
+        if found is not None:
+            return found
+    return table.agg(column).first()[0]
+
+
+def row_count(table: DataFrame) -> int:
+    """Rows of a table, known beforehand if it was saved with ``rows=counted()``."""
+    return fact(table, "rows", counted()) or 0
+
+
+def counted() -> Column:
+    """The fact that ``row_count`` looks for: ``save(df, rows=counted())``."""
+    return F.count(F.lit(1))
+
+
 def is_saved(df: DataFrame) -> bool:
     """Whether ``df`` is a table written by ``save``: reading it again costs little."""
     return getattr(df, _MARK, False)

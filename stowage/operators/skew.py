@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowage.operators.scratch import is_saved, save
+from stowage.operators.scratch import counted, fact, is_saved, row_count, save
 
 #: Rows of one group that a single task may sort or join.
 GROUP_ROWS = 1_000_000
@@ -42,8 +42,8 @@ def attach(
     group_rows = GROUP_ROWS if group_rows is None else group_rows
     keys = list(keys)
     # The salt is read from the table: as a literal it would be folded out of the join key.
-    groups = save(groups.withColumn("_salt", F.lit(0)), "groups")
-    largest = groups.agg(F.max(count)).first()[0] or 0
+    groups = save(groups.withColumn("_salt", F.lit(0)), "groups", largest=F.max(count))
+    largest = fact(groups, "largest", F.max(count)) or 0
     parts = max(1, -(-2 * largest // group_rows) if largest > group_rows else 1)
     if parts > 1 and not is_saved(rows):
         rows = save(rows)
@@ -69,7 +69,7 @@ def _tasks(spark: SparkSession, total: int, task_rows: int) -> int:
 
 def _placed(rows: DataFrame, order: Sequence[Column], task_rows: int) -> DataFrame:
     """Rows in their total order: ``_block`` (the task) and ``_at`` (ascending in it)."""
-    tasks = _tasks(rows.sparkSession, rows.count(), task_rows)
+    tasks = _tasks(rows.sparkSession, row_count(rows), task_rows)
     placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     placed = save(placed.withColumn("_at", F.monotonically_increasing_id()), "sorted")
     return placed.withColumn("_block", F.shiftright("_at", _LOCAL_BITS))
@@ -90,7 +90,7 @@ def number_rows(
     rows: they are saved, unless they are a saved table.
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
-    rows = rows if is_saved(rows) else save(rows)
+    rows = rows if is_saved(rows) else save(rows, rows=counted())
     columns = [*rows.columns, out]
     placed = _placed(rows, [*[F.col(k) for k in keys], *order], group_rows)
     placed = placed.withColumn("_key", F.struct(*keys) if keys else F.lit(0))
