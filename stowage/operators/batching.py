@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.operators.scratch import save
+from stowage.operators.scratch import is_saved, save
 from stowage.operators.skew import attach, number_rows
 
 
@@ -70,7 +70,11 @@ def required_bytes(rows: DataFrame, copy: bool = False) -> DataFrame:
 def space_gate(
     rows: DataFrame, free_bytes: int, copy: bool = False, group_rows: int | None = None
 ) -> DataFrame:
-    """Add ``fits``: an extension whose files need more than is free is left out whole."""
+    """Add ``fits``: an extension whose files need more than is free is left out whole.
+
+    The rows are written once if they are not a saved table, so their source is read once.
+    """
+    rows = rows if is_saved(rows) else save(rows, "gate")
     need = required_bytes(rows, copy).select(
         "ext", "files", (F.col("required") <= F.lit(float(free_bytes))).alias("fits")
     )
