@@ -39,6 +39,8 @@ _ITERATIONS = 400
 _CACHE_WORDS = 200_000
 #: Pre-tokens of lower-case words in tokenizers of word ends.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Marks that most often end a word.
+_MARKS = frozenset(".,!?;:)")
 #: Words of characters below this one are cut here.
 _LATIN = "\u0250"
 #: A tokenizer that cuts these otherwise gets every word whole.
@@ -107,6 +109,10 @@ class _Encoder:
         return array("I", [t.id for t in self._model.tokenize(part)]).tobytes()
 
     def _latin(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._parts[word.lower()]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return self._parts[word[:-1].lower()] + self._parts[word[-1:]]
         return b"".join(map(self._parts.__getitem__, _PARTS.findall(word.lower())))
 
     def _word(self, word: str) -> bytes:
