@@ -44,7 +44,7 @@ class Rule:
         raise NotImplementedError
 
     def advance(self, state: Any, summary: Any) -> Any:
-        """The state after rows that have this summary."""
+        """The state after rows that have this summary; a state's size does not grow with the rows."""
         raise NotImplementedError
 
 
@@ -149,8 +149,9 @@ def scan(
     together = ends.repartition(*keys) if keys else ends.coalesce(1)
     states = together.sortWithinPartitions(*keys, "_range").mapInArrow(chain, carried)
 
+    # a state is small, and there are at most two a task
     opened = walk.filter("_open").drop("_open", "_summary").alias("w").join(
-        states.alias("s"),
+        F.broadcast(states).alias("s"),
         [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*keys, "_range"]],
     )
     opened = opened.select("w.*", "s._state").repartition("_range").sortWithinPartitions("_range", "_at")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from stowage.functions.names import path_decoder
 from stowage.operators.scan import Rule, scan
-from stowage.operators.scratch import save
+from stowage.operators.scratch import counted, fact, save
 from stowage.operators.skew import attach
 from stowage.sources import jsonblocks
 
@@ -91,8 +91,9 @@ def balanced(manifest: DataFrame, path: str = "path", size: str = "size") -> Dat
     """
     spark = manifest.sparkSession
     cost = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)) + F.lit(OPEN_BYTES)
-    costs = save(manifest.select(F.struct("*").alias("row"), F.col(path).alias("at"), cost.alias("cost")), "costs")
-    total = costs.agg(F.sum("cost")).first()[0] or 0
+    costs = manifest.select(F.struct("*").alias("row"), F.col(path).alias("at"), cost.alias("cost"))
+    costs = save(costs, "costs", rows=counted(), total=F.sum("cost"))
+    total = fact(costs, "total", F.sum("cost")) or 0
     share = min(TASK_BYTES, total // spark.sparkContext.defaultParallelism + 1)
     placed = scan(costs, [], [F.col("at")], _Cost())
     task = F.expr(f"cast((upto - 1) div {share}L as int)")
