@@ -187,8 +187,8 @@ def prepare(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, copies) of conversation rows; null roles and texts are one space."""
     rows = pick(turns, "conv_id", "turn", "role", "text")
     return rows.select(
-        "conv_id",
-        "turn",
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit(" ")).alias("role"),
         F.coalesce("text", F.lit(" ")).alias("text"),
         F.lit(1).alias("copies"),
