@@ -182,6 +182,18 @@ def dedupe_unreadable(spark, folder):
     return dedupe(rows.withColumn("hash", F.when(number % 13 != 0, F.col("hash")))).select("path", "action")
 
 
+@query(
+    "dedupe_hot_sets",
+    f"""WITH {p.DOCS}, coarse AS (SELECT path, sha256(lang) AS hash FROM docs)
+    SELECT path, CASE WHEN row_number() OVER (PARTITION BY hash ORDER BY length(path), path) > 1 THEN 'remove' ELSE 'keep' END
+        AS action FROM coarse""",
+)
+def dedupe_hot_sets(spark, folder):
+    """A few sets hold all files, and are joined in parts of about ten rows."""
+    rows = p.hashed_docs(spark, folder).withColumn("hash", F.sha2("lang", 256))
+    return dedupe(rows, group_rows=10).select("path", "action")
+
+
 # -- digests ---------------------------------------------------------------------------------
 
 

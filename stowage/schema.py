@@ -19,15 +19,6 @@ MANIFEST = T.StructType(
     ]
 )
 
-TAGS = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("tag", T.StringType()),
-        T.StructField("value", T.StringType()),
-    ]
-)
-
 #: Bytes a file system takes in one name.
 NAME_BYTES = 255
 
