@@ -200,14 +200,12 @@ def collide_in_order(spark, folder):
         F.col("p_partkey").alias("ord"),
         (F.col("p_size") % 17 == 0).alias("held"),
     )
-    held = parts.filter("held").select("directory", "name")
-    claims = parts.filter("not held")
-    found = [
-        collisions.resolve(claims, "directory", "name", ["ord"], style, held).withColumn("style", F.lit(style))
-        for style in collisions.STYLES
-    ]
-    both = found[0].unionByName(found[1]).unionByName(found[2])
-    return both.select("style", "directory", "ord", "final_name")
+    # every style in directories of its own
+    parts = parts.withColumn("style", F.explode(F.array(*[F.lit(s) for s in collisions.STYLES])))
+    parts = parts.withColumn("place", F.concat_ws("/", "style", "directory"))
+    held, claims = parts.filter("held"), parts.filter("not held")
+    found = collisions.resolve(claims, "place", "name", ["ord"], F.col("style"), held)
+    return found.select("style", "directory", "ord", "final_name")
 
 
 # -- by extension ----------------------------------------------------------------------------

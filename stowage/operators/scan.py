@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowage.operators.scratch import counted, is_saved, row_count, save
+from stowage.operators.skew import sort_tasks
 
 #: Rows that one task sorts and folds.
 RANGE_ROWS = 200_000
@@ -84,8 +85,7 @@ def scan(
     range_rows = range_rows or RANGE_ROWS
     keys = list(keys)
     rows = rows if is_saved(rows) else save(rows, "scanned", rows=counted())
-    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(usual, row_count(rows) // range_rows + 1)
+    tasks = sort_tasks(rows.sparkSession, row_count(rows), range_rows)
     by = [*[F.col(k) for k in keys], *order]
     along = by if cut is None else [*by[: len(keys)], *cut]
     ranges = rows.repartitionByRange(tasks, *along).sortWithinPartitions(*by)

@@ -19,6 +19,8 @@ from stowage.operators.scratch import counted, fact, is_saved, row_count, save
 
 #: Rows of one group that a single task may sort or join.
 GROUP_ROWS = 1_000_000
+#: Rows below which sorting is not worth another task.
+LEAST_ROWS = 25_000
 
 _LOCAL_BITS = 33  # layout of monotonically_increasing_id: partition, then row in it
 
@@ -61,15 +63,16 @@ def attach(
     return salted.join(groups, [*keys, "_salt"], how).drop("_salt")
 
 
-def _tasks(spark: SparkSession, total: int, task_rows: int) -> int:
-    """As many as the session uses, or more for tasks of at most ``task_rows`` rows."""
+def sort_tasks(spark: SparkSession, total: int, task_rows: int) -> int:
+    """Tasks that sort ``total`` rows: at most ``task_rows`` each, and as many as the session uses if each of these has
+    some work (a range partitioning into one task needs no sample)."""
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(usual, total // task_rows + 1)
+    return max(total // task_rows + 1, min(usual, total // LEAST_ROWS + 1))
 
 
 def _placed(rows: DataFrame, order: Sequence[Column], task_rows: int) -> DataFrame:
     """Rows in their total order: ``_block`` (the task) and ``_at`` (ascending in it)."""
-    tasks = _tasks(rows.sparkSession, row_count(rows), task_rows)
+    tasks = sort_tasks(rows.sparkSession, row_count(rows), task_rows)
     placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     placed = save(placed.withColumn("_at", F.monotonically_increasing_id()), "sorted")
     return placed.withColumn("_block", F.shiftright("_at", _LOCAL_BITS))
