@@ -98,7 +98,8 @@ def curate_whole(spark, folder):
 @query(
     "curate_profile",
     f"""WITH {_COLLECTION}, named AS (SELECT regexp_extract(lower(path), '[^.]*$') AS ext FROM files)
-    SELECT ext, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM named) AS share FROM named GROUP BY ext""",
+    SELECT ext, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM named) * 100 AS share
+    FROM named GROUP BY ext""",
 )
 def curate_profile(spark, folder):
     return profile(collection(spark, folder)[0])
@@ -233,7 +234,7 @@ def approximate_unique(spark, folder):
         row_number() OVER (PARTITION BY lang ORDER BY path) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM docs),
     total AS (SELECT count(*) AS t FROM docs)
     SELECT '' AS ext, 0::BIGINT AS place, 'File Type Count Summary (Total: ' || t || ' files)' AS line FROM total
-    UNION ALL SELECT DISTINCT ext, 0::BIGINT, rpad(ext, 15, ' ') || printf(' : %6d files (%5.1f%%)', n, 100.0 * n / t)
+    UNION ALL SELECT DISTINCT ext, 0::BIGINT, rpad(ext, 15, ' ') || printf(' : %6d files (%5.1f%%)', n, CAST(n AS DOUBLE) / t * 100)
         FROM ranked, total
     UNION ALL SELECT ext, rn, '    └── ' || path FROM ranked WHERE rn <= 10
     UNION ALL SELECT DISTINCT ext, 0::BIGINT, '    └── ... and ' || (n - 10) || ' more' FROM ranked WHERE n > 10""",
