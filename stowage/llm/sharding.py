@@ -102,7 +102,7 @@ def shard(
     )
     first = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("0" * 32))
     second = F.xxhash64(F.lit(1), "doc_id", "text_hash")
-    digits = [F.lpad(F.lower(F.hex(h)), 16, "0") for h in (second, F.xxhash64("_at"))]
+    digits = [F.left(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit(8)) for h in (second, F.xxhash64("_at"))]
     facts = facts.withColumn("key", F.concat(F.substring(first, 1, 16), *digits)).drop("_at", "text_hash")
     rows = save(facts, "sizes")
 
@@ -118,7 +118,7 @@ def shard(
     # what still crowds a cell is equal rows, which their place parts
     most = rows.groupBy(cell).count().agg(F.max("count")).first()[0] or 0
     if most > 16 * CELL_ROWS:
-        cell = F.concat(cell, F.substring("key", 33, _digits_for(most)))
+        cell = F.concat(cell, F.substring("key", 25, _digits_for(most)))
     placed = rows.withColumn("shard", number).withColumn("_cell", cell)
 
     sizes = placed.groupBy("shard", "_cell").agg(F.count("*").alias("n"))
