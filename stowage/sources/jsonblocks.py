@@ -12,10 +12,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,31 +68,45 @@ def _step(state: State, piece: str):
     return found
 
 
-def _walk(state: State, pieces: list[str], first: bool):
-    """All pieces of a block from ``state``; ``first`` if it begins a file, which is never in a string."""
-    if first:
-        state.inside, state.partial = False, None
-    for piece in pieces:
-        was_inside = state.inside
-        found = _step(state, piece)
-        if found is not None:
-            yield found
-        if not was_inside:
-            state.inside, state.partial = True, (_HERE, "")
+def _take(state: State, piece: str):
+    """``_step``, and into the next piece: a quote ends every piece."""
+    was_inside = state.inside
+    found = _step(state, piece)
+    if not was_inside:
+        state.inside, state.partial = True, (_HERE, "")
+    return found
+
 
+def _starts(first: bool) -> list[State]:
+    """What a block begins with, outside and inside a string, the strings before it left open.
 
-def _summary(pieces: list[str], first: bool) -> list[State]:
-    """What a block does, started outside and inside a string, with the strings before it left open."""
+    ``first`` if it begins a file, which is never in a string.
+    """
     out = []
     for inside in (False, True):
         outside = first or not inside
-        state = State(not outside, last=(_LAST, "") if outside else None, partial=None if outside else (_OPEN, ""))
-        for _ in _walk(state, pieces, first):
-            pass
-        out.append(state)
+        out.append(State(not outside, last=(_LAST, "") if outside else None, partial=None if outside else (_OPEN, "")))
     return out
 
 
+_PARTS = ("inside", "depth", "keys", "last", "partial")
+
+
+def _dumps(*states: State) -> str:
+    """States as text.  A pickle would carry the class, which is many times larger than a state."""
+    return json.dumps([[getattr(s, p) for p in _PARTS] for s in states])
+
+
+def _loads(text: str) -> list[State]:
+    def known(pair):
+        return None if pair is None else tuple(pair)
+
+    return [
+        State(inside, depth, {int(d): tuple(k) for d, k in keys.items()}, known(last), known(partial))
+        for inside, depth, keys, last, partial in json.loads(text)
+    ]
+
+
 def _resolved(text: Text | None, state: State) -> Text | None:
     if text is None or text[0] == _HERE:
         return text
@@ -104,19 +117,20 @@ def _resolved(text: Text | None, state: State) -> Text | None:
 class _Blocks(Rule):
     """The state before every block of a file, and of the next file."""
 
-    reads = ("effect",)
-    adds = T.StructType([T.StructField("state", T.BinaryType())])
+    reads = ("effect", "block")
+    adds = T.StructType([T.StructField("state", T.StringType())])
     start = State()
 
     def fold(self, state, rows):
         out = []
-        for (effect,) in rows:
-            out.append((cloudpickle.dumps(state),))
-            state = self.advance(state, [cloudpickle.loads(effect)])
+        for effect, block in rows:
+            # a file never begins in a string
+            out.append((_dumps(state if block else replace(state, inside=False, partial=None)),))
+            state = self.advance(state, [_loads(effect)])
         return out
 
     def summary(self, rows):
-        return [cloudpickle.loads(effect) for (effect,) in rows]
+        return [_loads(effect) for effect, _ in rows]
 
     def advance(self, state, summary):
         for effects in summary:
@@ -137,28 +151,33 @@ class _Blocks(Rule):
         return state
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]):
-    """((file, block), rows) of consecutive rows of one block."""
-    now, held = None, []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if row[:2] != now:
-                if now is not None:
-                    yield now, held
-                now, held = row[:2], []
-            held.append(row)
-    if now is not None:
-        yield now, held
+def _tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: file, block, its first place, effect.  Pieces are taken one by one, none is kept."""
 
+    def row(block, states):
+        return pa.RecordBatch.from_pylist([dict(zip(names, (*block, _dumps(*states))))], schema)
 
-def _tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block: file, block, effect."""
-    for (file, block), rows in _by_block(batches):
-        effect = cloudpickle.dumps(_summary([r[2] for r in rows], block == 0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([file]), pa.array([block], pa.int64()), pa.array([effect], pa.binary())],
-            ["file", "block", "effect"],
-        )
+    names = ["file", "block", "first", "effect"]
+    schema = pa.schema(list(zip(names, [pa.string(), pa.int64(), pa.int64(), pa.string()])))
+    now, states = None, []
+    for batch in batches:
+        # a batch names few blocks
+        files = batch.column(0).dictionary_encode()
+        blocks = list(zip(files.indices.to_pylist(), batch.column(1).to_pylist()))
+        was = None
+        for i, (block, piece) in enumerate(zip(blocks, batch.column(2).to_pylist())):
+            if block != was:
+                was = block
+                here = files.dictionary[block[0]].as_py(), block[1]
+                if now is None or here != now[:2]:
+                    if now is not None:
+                        yield row(now, states)
+                    now = *here, batch.column(3)[i].as_py()
+                    states = _starts(here[1] == 0)
+            for state in states:
+                _take(state, piece)
+    if now is not None:
+        yield row(now, states)
 
 
 _FOUND = "kind string, key string, value string"
@@ -169,11 +188,17 @@ def _decoded(text: str) -> str:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths below their digest, and the members of the metadata."""
-    for (_, block), rows in _by_block(batches):
-        state = cloudpickle.loads(rows[0][3])
+    """Paths below their digest, and the members of the metadata; the first piece of a block has its state."""
+    state = State()
+    for batch in batches:
         out = []
-        for depth, value in _walk(state, [r[2] for r in rows], block == 0):
+        for piece, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if start is not None:
+                (state,) = _loads(start)
+            found = _take(state, piece)
+            if found is None:
+                continue
+            depth, value = found
             section = state.keys.get(1, (0, ""))[1]
             key = state.keys.get(2, (0, ""))[1]
             text = value.decode() if isinstance(value, bytes) else _decoded(value[1])
@@ -181,16 +206,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(("path", _decoded(key), text))
             elif section == "metadata" and depth == 2:
                 out.append(("fact", _decoded(key), text))
-        for low in range(0, len(out), 10_000):
-            part = zip(*out[low : low + 10_000])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in part], ["kind", "key", "value"])
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.string()) for c in zip(*out)], ["kind", "key", "value"]
+            )
 
 
 def read(spark: SparkSession, file: str) -> DataFrame:
     """Rows (kind, key, value): 'path' rows hold digest and path, 'fact' rows the metadata.
 
     ``file`` is a JSON document, or a folder of parts that make one in the order of their names; parts are cut
-    between two tokens.  A task holds the pieces of one block (spark.sql.files.maxPartitionBytes).
+    between two tokens.  A task reads a block (spark.sql.files.maxPartitionBytes) piece by piece, whatever its size.
     """
     pieces = spark.read.option("lineSep", '"').text(file).select(
         F.col("_metadata.file_path").alias("file"),
@@ -198,10 +224,10 @@ def read(spark: SparkSession, file: str) -> DataFrame:
         F.col("value").alias("piece"),
         F.monotonically_increasing_id().alias("at"),
     )
-    effects = pieces.select("file", "block", "piece").mapInArrow(
-        _tabulate, "file string, block long, effect binary"
-    )
+    effects = pieces.mapInArrow(_tabulate, "file string, block long, first long, effect string")
     states = scan(effects, [], [F.col("file"), F.col("block")], _Blocks())
-    known = pieces.join(states.select("file", "block", "state"), ["file", "block"])
-    known = known.repartition("file", "block").sortWithinPartitions("file", "block", "at")
-    return known.select("file", "block", "piece", "state").mapInArrow(_read, _FOUND)
+    # one small row a block, which leaves the pieces where they are, in their order
+    known = pieces.join(F.broadcast(states.select("file", "block", "first", "state")), ["file", "block"], "left")
+    lost = F.raise_error(F.lit("the file has changed while it was read")).cast("long")
+    start = F.when(F.col("at") == F.coalesce("first", lost), F.col("state"))
+    return known.select("piece", start.alias("state")).mapInArrow(_read, _FOUND)

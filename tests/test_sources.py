@@ -1,7 +1,9 @@
 import hashlib
 import json
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from stowage.plans.dedupe import dedupe_files
 from stowage.operators import scratch
 from stowage.sinks import apply
 from stowage.sinks import digests as digest_sink
-from stowage.sources import digests, tree
+from stowage.sources import digests, jsonblocks, tree
 
 
 def make(root, files):
@@ -334,6 +336,31 @@ def test_json_database_in_any_layout_over_many_tasks(spark, tmp_path, layout, me
     assert metadata == {"algorithm": "sha256", "generated": 'now, "then"', "total_files": "12"}
 
 
+def test_json_blocks_are_read_piece_by_piece():
+    """A block of any size is read in the memory of a batch, and a state takes few bytes."""
+
+    def batches(state=False):
+        for i in range(0, 40_000, 100):
+            pieces = ["{", "hashes", ":{"] if i == 0 else []
+            pieces += [x for j in range(i, i + 100) for x in (f"{j:064x}", ":[", f"/p/{j}", "],")]
+            files = {"file": ["f"] * len(pieces), "block": [0] * len(pieces), "piece": pieces, "at": [i] * len(pieces)}
+            start = [jsonblocks._dumps(jsonblocks.State()) if i == 0 else None] + [None] * (len(pieces) - 1)
+            yield pa.record_batch({"piece": pieces, "state": pa.array(start, pa.string())} if state else files)
+
+    next(batches())  # what pyarrow imports is not counted
+    tracemalloc.start()
+    (effect,) = jsonblocks._tabulate(batches())
+    found = 0
+    for batch in jsonblocks._read(batches(state=True)):
+        found += batch.num_rows
+        last = batch.to_pylist()[-1]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    assert effect["first"].to_pylist() == [0] and effect.nbytes < 1500
+    assert found == 40_000 and last == {"kind": "path", "key": f"{39_999:064x}", "value": "/p/39999"}
+
+
 def test_json_database_without_entries(spark, tmp_path):
     (tmp_path / "db.json").write_text('{"metadata": {"algorithm": "md5"}, "hashes": {}}')
     rows, metadata = digests.load_digests_json(spark, str(tmp_path / "db.json"))
