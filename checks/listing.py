@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks import projections as p
@@ -178,10 +180,15 @@ def sanitize_names(spark, folder):
         WHEN size < 1125899906842624 THEN 1099511627776.0 ELSE 1125899906842624.0 END AS value FROM big""",
 )
 def human_bytes(spark, folder):
-    rows = p.docs(spark, folder).withColumn(
-        "id", F.regexp_extract("name", "([0-9]+)", 1).cast("bigint")
-    )
-    size = F.col("size") * (F.col("id") + 1) * (F.col("id") + 1) * 977
+    """The product is exact up to 38 digits, where 64 bits would overflow; beyond, it is floating point."""
+    number = F.regexp_extract("name", r"\Adoc(-?[0-9]+)\.", 1)
+    rows = p.docs(spark, folder).withColumn("next", number.cast("decimal(20,0)") + 1)
+
+    def product(kind):
+        factors = [F.col("size"), F.col("next"), F.col("next"), F.lit(977)]
+        return reduce(F.try_multiply, [f.cast(kind) for f in factors]).cast("double")
+
+    size = F.coalesce(product("decimal(38,0)"), product("double"))
     return rows.select("path", sizes.human_unit(size).alias("unit"), sizes.human_value(size).alias("value"))
 
 
