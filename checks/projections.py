@@ -215,23 +215,23 @@ SONGS = """songs AS (
   SELECT p_type AS directory, p_name AS stem, p_partkey AS ord, p_brand AS brand FROM part)"""
 
 
+def _file_writer(folder: str):
+    def write(texts):
+        import os
+
+        for rel, text in texts:
+            target = os.path.join(folder, rel)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(target, "wb") as stream:
+                stream.write(text.encode())
+
+    return write
+
+
 def export_files(rows: DataFrame, label: str) -> str:
     """Write ``text`` of every row to a file <folder>/<rel_path>; returns the folder."""
     folder = new_folder(rows.sparkSession, label).removeprefix("file:")
     folder = "/" + folder.lstrip("/")
-
-    def write(batches):
-        import os
-
-        for batch in batches:
-            for rel, text in zip(batch["rel_path"], batch["text"]):
-                target = os.path.join(folder, rel)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as stream:
-                    stream.write(text.encode())
-            yield batch[["rel_path"]]
-
-    rows.select("rel_path", "text").mapInPandas(write, "rel_path string").write.format("noop").mode(
-        "overwrite"
-    ).save()
+    # rows go to Python in batches of bounded bytes, not in thousands of texts of any length
+    rows.select("rel_path", "text").foreachPartition(_file_writer(folder))
     return folder

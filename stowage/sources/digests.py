@@ -21,6 +21,8 @@ METADATA = ("algorithm", "generated", "total_files")
 TASK_BYTES = 1 << 30
 #: ... where opening a file counts as so many.
 OPEN_BYTES = 4 << 20
+#: Rows of a manifest whose costs one task sums up; it holds them with all their columns.
+COST_ROWS = 25_000
 
 
 def digest(content: Column, algorithm: str = "sha256") -> Column:
@@ -95,7 +97,7 @@ def balanced(manifest: DataFrame, path: str = "path", size: str = "size") -> Dat
     costs = save(costs, "costs", rows=counted(), total=F.sum("cost"))
     total = fact(costs, "total", F.sum("cost")) or 0
     share = min(TASK_BYTES, total // spark.sparkContext.defaultParallelism + 1)
-    placed = scan(costs, [], [F.col("at")], _Cost())
+    placed = scan(costs, [], [F.col("at")], _Cost(), COST_ROWS)
     task = F.expr(f"cast((upto - 1) div {share}L as int)")
     return placed.repartitionById(total // share + 1, task).select("row.*")
 

@@ -23,7 +23,7 @@ from stowage.schema import MANIFEST
 #: Directories a task lists before it gives back what is left.
 DESCENT = 1000
 
-_CHUNK = 10_000
+_CHUNK = 1000
 _LISTED = T.StructType([*MANIFEST.fields, T.StructField("todo", T.BooleanType())])
 
 

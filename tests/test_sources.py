@@ -3,13 +3,16 @@ import json
 import os
 import tracemalloc
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from checks import projections
 from stowage.operators import counting, filters
 from stowage.plans.dedupe import dedupe_files
 from stowage.operators import scratch
+from stowage.operators.scan import scan
 from stowage.sinks import apply
 from stowage.sinks import digests as digest_sink
 from stowage.sources import digests, jsonblocks, tree
@@ -163,6 +166,26 @@ def test_hashing_is_dealt_by_bytes_and_files(spark, monkeypatch):
     assert all(sum(t) - max(t) <= 500 for t in tasks.values()) and len(tasks) >= 56
 
 
+def test_tasks_hold_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    """Listing gives rows in small frames, costs are summed over short ranges, texts are written one by one."""
+    root = make(tmp_path / "r", {f"f{i}": "" for i in range(2500)})
+    start = pd.DataFrame({"root": [root], "path": [root], "rel_path": [""], "depth": [0]})
+    frames = [len(frame) for frame in tree._lister(10, True)(iter([start]))]
+    assert sum(frames) == 2500 and max(frames) <= 1000
+
+    ranges = []
+    monkeypatch.setattr(digests, "scan", lambda *a: ranges.append(a[4]) or scan(*a))
+    files = spark.createDataFrame([(f"/f{i}", i) for i in range(100)], "path string, size long")
+    assert digests.balanced(files).count() == 100 and ranges == [25_000]
+
+    def texts():
+        for i in range(3):
+            yield f"d/{i}", str(i)
+            assert (tmp_path / "out" / "d" / str(i)).read_text() == str(i)
+
+    projections._file_writer(str(tmp_path / "out"))(texts())
+
+
 def test_sketches_of_scans_are_merged(spark, tmp_path):
     rows = [(f"{i % 3000:064x}", f"/p/{i}") for i in range(5000)] + [(None, "/broken")]
     df = spark.createDataFrame(rows, "hash string, path string")
