@@ -22,17 +22,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told.
 
     Rejected are texts without a letter (null and empty ones as well), and those that fit the profile of their
-    language less than the texts of like length it was learned from (``langid.least_scores``).  ``lang`` stays
-    as it is.
+    language less than nearly all texts of like length it was learned from (``langid.least_scores``); profiles and
+    scores are those of all learning texts.  ``lang`` stays as it is.
     """
-    sample = save(langid.learning_texts(docs), "learning")
-    profiles = langid.profiles_of(sample)
-    least = langid.least_scores(sample, profiles)
-    found = langid.identify(docs, profiles)
+    found = langid.identify(docs, langid.learn(docs))
     # by position: the two columns that identify puts behind those of docs
-    flat = found.toDF(*[f"_c{i}" for i in range(len(found.columns))])
+    flat = save(found.toDF(*[f"_c{i}" for i in range(len(found.columns))]), "scored")
     n = len(docs.columns)
-    length = langid.length_class(F.col(f"_c{docs.columns.index('text')}"))
+    at = {c: F.col(f"_c{docs.columns.index(c)}") for c in ("doc_id", "text", "lang")}
+    known = flat.select(*[column.alias(c) for c, column in at.items()], f"_c{n}", f"_c{n + 1}")
+    known = known.filter(langid.learnable()).select("text", F.col(f"_c{n}").alias("lang_pred"), F.col(f"_c{n + 1}").alias("score"))
+    least = langid.least_scores(known)
+    length = langid.length_class(at["text"])
     floor = F.lit(least[None])
     for c, score in least.items():
         if c is not None:

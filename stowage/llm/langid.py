@@ -10,19 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import by_batch, pick
-from stowage.operators.scratch import save
 
 #: n-grams of one to this many characters (letters, and one space between words).
 LONGEST = 3
 #: Length of a profile.
 PROFILE = 400
-#: Documents of each language that its profile is learned from at most, those with the
-#: smallest hash of their id.
-LEARN_DOCS = 2000
-#: Chosen ids up to which they go to all tasks, so that no text is shuffled; beyond, both sides are.
-BROADCAST_IDS = 200_000
 #: Learning texts of like length from which their lowest score says something.
 FLOOR_DOCS = 100
+#: One in so many learning texts of a group may lie below its lowest score.
+FLOOR_SHARE = 1000
+#: Parts of the range of scores in which they are counted.
+SCORE_PARTS = 1000
 
 _SPACE = 32
 _SLICE = 1 << 20
@@ -113,49 +111,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(
-    docs: DataFrame,
-    learn_docs: int = LEARN_DOCS,
-    profile: int = PROFILE,
-    longest: int = LONGEST,
-) -> dict[str, list[int]]:
+def learn(docs: DataFrame, profile: int = PROFILE, longest: int = LONGEST) -> dict[str, list[int]]:
     """Profile of every language in ``docs`` (doc_id, text, lang): its n-grams by rank.
 
-    Learned from at most ``learn_docs`` whole texts a language, chosen by a hash of doc_id; ties of n-grams go by
-    the n-gram.  Rows without id, language or text are left out; repeated rows of a chosen id count each; an
-    empty table gives no profile.  Only the profiles come to the driver: ``profile`` numbers a language.
+    Learned from all whole texts that are not held out; ties of n-grams go by the n-gram.  Rows without id,
+    language or text are left out; repeated rows count each; an empty table gives no profile.  Only the profiles come
+    to the driver: ``profile`` numbers a language.
     """
-    return profiles_of(learning_texts(docs, learn_docs), profile, longest)
+    docs = pick(docs, "doc_id", "text", "lang")
+    return profiles_of(docs.filter(learnable()).select("lang", "text"), profile, longest)
 
 
-def learning_texts(docs: DataFrame, learn_docs: int = LEARN_DOCS) -> DataFrame:
-    """(lang, text): what ``learn`` learns from."""
-    docs = pick(docs, "doc_id", "text", "lang")
-    usable = docs.filter(
-        F.col("doc_id").isNotNull()
-        & F.col("lang").isNotNull()
-        & F.col("text").isNotNull()
-        & ~held_out(F.col("doc_id"))
-    )
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        usable.select("doc_id", "lang")
-        .distinct()
-        .withColumn("_rank", F.row_number().over(first))
-        .filter(F.col("_rank") <= learn_docs)
-        .drop("_rank")
-    )
-    chosen = save(chosen, "chosen")
-    if chosen.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    return usable.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+def learnable() -> Column:
+    """Rows (doc_id, text, lang) that may be learned from."""
+    known = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    return known & ~held_out(F.col("doc_id"))
 
 
 def profiles_of(
-    sample: DataFrame, profile: int = PROFILE, longest: int = LONGEST
+    texts: DataFrame, profile: int = PROFILE, longest: int = LONGEST
 ) -> dict[str, list[int]]:
-    """Profile of every language in ``sample`` (lang, text)."""
-    counts = sample.mapInArrow(by_batch(_count_batch, longest), "lang string, gram long, n long")
+    """Profile of every language in ``texts`` (lang, text)."""
+    counts = texts.mapInArrow(by_batch(_count_batch, longest), "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= profile)
@@ -170,32 +147,49 @@ def length_class(text: Column) -> Column:
     return F.floor(F.log2(F.greatest(F.length(text), F.lit(1)).cast("double"))).cast("int")
 
 
-def least_scores(sample: DataFrame, profiles: dict[str, list[int]]) -> dict[int | None, float]:
+def least_scores(found: DataFrame) -> dict[int | None, float]:
     """The score from which a text counts as one of a learned language, by class of its length.
 
-    It is a tenth below the lowest score of all learning texts, or a fifth below the lowest of those of the
-    class and its two neighbours if that is higher and they are at least ``FLOOR_DOCS``; None stands for the
-    classes that have no value of their own.
-    A learning text below half of the median of its group has no say (noise that bears the name of
-    a language).  Fewer than ``FLOOR_DOCS`` learning texts in all give half of their median.
+    ``found`` (text, lang_pred, score) holds all learning texts as ``identify`` sees them.  The score is a tenth below
+    the lowest one of them all, or a fifth below the lowest of those of the class and its two neighbours if that is
+    higher and they are at least ``FLOOR_DOCS``; None stands for the classes that have no value of their own.
+    Below the lowest score of a group lies one in ``FLOOR_SHARE`` of it, so that a few odd texts of a large
+    group don't decide; a text below half of the median has no say either (noise that bears the name
+    of a language).  Fewer than ``FLOOR_DOCS`` learning texts in all give half of their median.
+    Scores are counted, without a sample, in ``SCORE_PARTS`` parts of their range, each with its least score: these
+    alone come to the driver.
     """
-    found = identify(sample.select("text"), profiles).toDF("text", "lang_pred", "score")
-    scored = found.filter("lang_pred <> 'und'").select(length_class(F.col("text")).alias("c"), "score")
-    # at most LEARN_DOCS numbers a language
-    rows = scored.toPandas()
-    scores, classes = rows["score"].to_numpy(np.float64), rows["c"].to_numpy()
-    if not len(scores):
+    length = length_class(F.col("text")).alias("c")
+    part = F.floor(F.col("score") * SCORE_PARTS).cast("int").alias("part")
+    counted = found.filter("lang_pred <> 'und'").select(length, part, "score").groupBy("c", "part")
+    counted = counted.agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    parts = sorted(tuple(r) for r in counted.select("part", "least", "n", "c").collect())
+    total = sum(n for _, _, n, _ in parts)
+    if not total:
         return {None: 0.0}
-    if len(scores) < FLOOR_DOCS:
-        return {None: float(np.median(scores)) / 2}
-
-    def lowest(group: np.ndarray) -> float:
-        return float(group[group >= np.median(group) / 2].min())
 
-    out: dict[int | None, float] = {None: 0.9 * lowest(scores)}
-    for c in range(int(classes.max()) + 2):
-        near = scores[np.abs(classes - c) <= 1]
-        if len(near) >= FLOOR_DOCS:
+    def nth(group: list[tuple], k: int) -> float:
+        """The least score of the part in which the text with k below it lies."""
+        for _, least, n, _ in group:
+            if k < n:
+                return least
+            k -= n
+        raise IndexError(k)
+
+    def median(group: list[tuple]) -> float:
+        return nth(group, sum(n for _, _, n, _ in group) // 2)
+
+    def lowest(group: list[tuple]) -> float:
+        half = median(group) / 2
+        said = [g for g in group if g[1] >= half]
+        return nth(said, sum(n for _, _, n, _ in said) // FLOOR_SHARE)
+
+    if total < FLOOR_DOCS:
+        return {None: median(parts) / 2}
+    out: dict[int | None, float] = {None: 0.9 * lowest(parts)}
+    for c in range(max(p[3] for p in parts) + 2):
+        near = [p for p in parts if abs(p[3] - c) <= 1]
+        if sum(n for _, _, n, _ in near) >= FLOOR_DOCS:
             out[c] = max(out[None], 0.8 * lowest(near))
     return out
 

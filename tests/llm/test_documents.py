@@ -156,6 +156,22 @@ def test_language(spark):
     assert empty == {} and langid.identify(tried, empty).filter("score > 0").isEmpty()
 
 
+def test_languages_and_floors_come_from_all_texts(spark):
+    """A letter that only one text has is in the profile, whichever text it is; odd scores count by their share."""
+    rows = [(i, chr(0x4E00 + i), "zh") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(~langid.held_out(F.col("doc_id")))
+    assert docs.count() > 2000
+    assert len(langid.learn(docs, profile=1 << 20, longest=1)["zh"]) == docs.count()
+
+    def floor(odd, usual):
+        scores = [0.6] * odd + [0.8] * usual
+        found = spark.createDataFrame([("word", "en", s) for s in scores] + [("", "und", 0.0)], "text string, lang_pred string, score double")
+        return langid.least_scores(found)[None]
+
+    assert floor(3, 2997) == pytest.approx(0.9 * 0.8) and floor(4, 2996) == pytest.approx(0.9 * 0.6)
+    assert floor(1, 900) == pytest.approx(0.9 * 0.6) and floor(1, 98) == pytest.approx(0.4) and floor(0, 0) == 0
+
+
 def test_slices_of_long_texts_count_like_one(monkeypatch):
     text = "Größe und Maß, ¿qué tal? " * 50
     whole = langid._grams(text, 3)
