@@ -1,7 +1,9 @@
 """Repeated lines by an exact set-similarity join, in DataFrame operations only.
 
-Lines with the same words form one class, whose first line stands for it.  The words of a line are
-ordered by rarity; two lines that reach the threshold share a word of their prefixes.  Pairs
+Lines with the same words form one class, whose first line stands for it.  Each has signatures, of
+which two lines that reach the threshold share one.  At high thresholds these are parts of the set:
+hashes of words are dealt into more parts than the sets can differ in words, so one part is equal.
+At others the words are ordered by rarity, and the lines share a word of their prefixes.  Pairs
 that meet there pass the length, position and bit-vector filters, are verified on their whole word
 sets, and the later line of a pair goes.
 """
@@ -9,6 +11,7 @@ sets, and the later line of a pair goes.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,8 +26,14 @@ COUNTERS = 1 << 18
 #: Words of 64 bits in the bit vector of lines that a later pass needs.
 BITS = 1 << 16
 
-#: Lines of a word that every other line of it is compared with before all the rest.
+#: Lines of a signature that every other line of it is compared with before all the rest.
 FIRST = 16
+#: Percent from which lines meet by equal parts; below, parts hold too few words to tell lines apart.
+PARTS_FROM = 85
+#: Sizes of sets that differ by less than this factor are cut into the same number of parts.
+RATIO = 1.5
+#: Parts that are looked for in one slice of a set; larger numbers of parts are multiples of it.
+SLICE = 32
 
 _NO_ID = (1 << 63) - 1
 _HASH_BITS = 57
@@ -52,30 +61,89 @@ def _dense(spark: SparkSession, rows: DataFrame, size: int, kind: str) -> DataFr
     return filled.agg(pairs.getField("value").alias("all"))
 
 
-def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All lines (doc, h, pos, n) of (doc, h, text), and those with words that stay (doc, h, pos)."""
-    spark = docs.sparkSession
-    # how frequent words are, by hashed counters, as one array of fixed size
+def _ranks(docs: DataFrame) -> DataFrame:
+    """How frequent words are, by hashed counters, as one array of fixed size."""
     word = F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("word")
     place = F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("at")
     counted = docs.select(word).groupBy(place).count()
     rank = F.least(F.floor(F.log2(F.col("count").cast("double")) * 2), F.lit(63)).alias("value")
-    ranks = save(_dense(spark, counted.select("at", rank), COUNTERS, "int"), "ranks")
-    ranks.createOrReplaceTempView("_stowage_ranks")
+    return _dense(docs.sparkSession, counted.select("at", rank), COUNTERS, "int")
 
+
+def _with_prefixes(docs: DataFrame, percent: int) -> DataFrame:
+    """Lines with ``words``, their distinct words as numbers, and ``signs``, the words of the prefix."""
+    name = f"_stowage_ranks_{uuid.uuid4().hex[:8]}"
+    save(_ranks(docs), "ranks").createOrReplaceTempView(name)
     # distinct words ordered by rarity, then by hash: a word keeps its rank and 57 bits of its hash
     # (coalesce tells Spark that no value is null, so that it sorts plain longs)
     hashes = F.array_distinct(F.transform(_words(), lambda w: F.xxhash64(w)))
     spread = _lines(docs).withColumn("hashes", hashes)
-    spread = spread.withColumn("ranks", F.expr("(select first(all) from _stowage_ranks)"))
+    spread = spread.withColumn("ranks", F.expr(f"(select first(all) from {name})"))
     ordered = F.expr(
         "sort_array(array_distinct(transform(hashes, x ->"
         f" coalesce(get(ranks, cast(x & {COUNTERS - 1} as int)) * {1 << _HASH_BITS}L, 0L)"
         f" | shiftrightunsigned(x, {64 - _HASH_BITS}))))"
     )
     spread = spread.withColumn("words", ordered).withColumn("n", F.size("words"))
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda held, w: held.bitwiseOR(_bit(w)))
     kept = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
+    return spread.withColumn("signs", F.slice("words", F.lit(1), kept))
+
+
+def _with_parts(docs: DataFrame, percent: int) -> DataFrame:
+    """Lines with ``words``, their distinct words as numbers, and ``signs``, hashes of the parts of this set.
+
+    Sizes fall into classes.  Two lines meet in the class of the smaller one, so a line is cut for its own
+    class and for that of the smallest line that can be like it.  There, sets of a and b words that reach
+    the threshold differ in at most (100 - percent) * (a + b) / (100 + percent) words, and with one part
+    more than that for the largest a and b a part holds none of them.  An empty part is a part as well.
+    """
+    hashes = F.transform(_words(), lambda w: F.shiftrightunsigned(F.xxhash64(w), 2))
+    spread = _lines(docs).withColumn("words", F.sort_array(F.array_distinct(hashes))).withColumn("n", F.size("words"))
+    size_class = f"cast(floor(ln({{}}) / ln({RATIO}D)) as int)"
+    own, least = size_class.format("n"), size_class.format(f"(n * {percent}L + 99) div 100")
+    spread = spread.withColumn("classes", F.expr(f"if(n > 0, array_distinct(array({least}, {own})), array())"))
+    # the largest smaller set, the most words that differ from it, the number of parts
+    most = f"cast(ceil(power({RATIO}D, c + 1)) as bigint)"
+    differ = f"({100 - percent} * ({most} + {most} * 100 div {percent})) div {100 + percent}"
+    parts = f"transform(classes, c -> struct(c as c, {differ} + 1 as parts))"
+    parts = f"transform({parts}, x -> struct(x.c as c, if(x.parts <= {SLICE}, x.parts, (x.parts + {SLICE - 1}) div {SLICE} * {SLICE}) as parts))"
+    parts = f"transform({parts}, x -> struct(x.c as c, x.parts as parts, {1 << 62}L div x.parts + 1 as width, least(x.parts, {SLICE}L) as some))"
+    spread = spread.withColumn("cuts", F.expr(parts))
+    # words and the bounds of parts in one sorted array, cut into slices of some parts
+    spread = spread.withColumn(
+        "cuts",
+        F.expr(
+            "transform(cuts, x -> struct(x.c as c, x.parts as parts, x.width as width, x.some as some,"
+            " sort_array(concat(words, transform(sequence(0L, x.parts - 1), j -> j * x.width))) as held))"
+        ),
+    )
+    start, end = _bound("x.held", "s * x.some * x.width", "true"), _bound("x.held", "(s + 1) * x.some * x.width", "(s + 1) * x.some < x.parts")
+    spread = spread.withColumn(
+        "cuts",
+        F.expr(
+            "flatten(transform(cuts, x -> transform(sequence(0L, x.parts div x.some - 1), s -> struct("
+            f"x.c as c, x.width as width, s * x.some as first, x.some as some, slice(x.held, {start}, {end} - {start}) as held))))"
+        ),
+    )
+    start, end = _bound("x.held", "j * x.width", "true"), _bound("x.held", "(j + 1) * x.width", "j + 1 < x.first + x.some")
+    signs = (
+        "flatten(transform(cuts, x -> transform(sequence(x.first, x.first + x.some - 1), j ->"
+        f" xxhash64(x.c, j, slice(x.held, {start} + 1, {end} - {start} - 1)))))"
+    )
+    return spread.withColumn("signs", F.expr(signs))
+
+
+def _bound(held: str, value: str, inside: str) -> str:
+    """The place of a bound in the array ``held``, or the place behind its end."""
+    return f"cast(if({inside}, array_position({held}, {value}), size({held}) + 1) as int)"
+
+
+def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All lines (doc, h, pos, n) of (doc, h, text), and those with words that stay (doc, h, pos)."""
+    by_parts = percent >= PARTS_FROM
+    spread = _with_parts(docs, percent) if by_parts else _with_prefixes(docs, percent)
+    # bits that an odd number of words have, so that long lines don't fill them
+    bits = F.aggregate("words", F.lit(0).cast("long"), lambda held, w: held.bitwiseXOR(_bit(w)))
     order = ["doc", "h", "pos"]
     known = save(
         spread.select(
@@ -83,22 +151,27 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
             "n",
             F.xxhash64("words").alias("id1"),
             F.xxhash64(F.lit(1), "words").alias("id2"),
-            F.slice("words", F.lit(1), kept).alias("prefix"),
+            "signs",
             bits.alias("bits"),
         ),
         "lines",
     )
 
     # one line for each set of words, numbered in the order of lines
-    first = F.min(F.struct(*order, "n", "bits", "prefix")).alias("f")
+    first = F.min(F.struct(*order, "n", "bits", "signs")).alias("f")
     firsts = known.filter("n > 0").groupBy("id1", "id2").agg(first).select("f.*")
     firsts = firsts.repartitionByRange(*order).sortWithinPartitions(*order)
     firsts = save(firsts.withColumn("oid", F.monotonically_increasing_id()), "firsts")
-    post = firsts.select("oid", "n", "bits", F.posexplode("prefix").alias("i", "word"))
-    post = post.select("word", "oid", "bits", "n", (F.col("n") - F.col("i")).alias("behind")).dropna()
-    ranked = post.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("oid")))
-
-    # every line meets the first lines of its words; what they don't settle meets the others.  One
+    post = firsts.select("oid", "n", "bits", F.posexplode("signs").alias("i", "sign"))
+    behind = F.col("n") if by_parts else F.col("n") - F.col("i")
+    post = post.select("sign", "oid", "bits", "n", behind.alias("behind")).dropna()
+    places = Window.partitionBy("sign").orderBy("oid")
+    ranked = post.withColumn("rank", F.row_number().over(places))
+    if by_parts:  # few lines share a part with any other
+        ranked = ranked.withColumn("next", F.lead("oid").over(places)).filter("rank > 1 or next is not null")
+        ranked = save(ranked.drop("next"), "shared")
+
+    # every line meets the first lines of its signatures; what they don't settle meets the others.  One
     # job makes the pairs and sets the others aside, and all its parts start from the same ranked
     # postings (``least`` and ``rank >= 1`` see to that), so that these are shuffled once.
     early = F.least("rank", F.lit(FIRST + 1)) <= FIRST
@@ -106,7 +179,7 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     deep = ranked.filter(~early).drop("rank")
     met = save(near.unionByName(deep, allowMissingColumns=True), "met")
     near = save(met.filter("a is not null").select("a", "b").distinct(), "pairs")
-    deep = met.filter("oid is not null").select("word", "oid", "bits", "n", "behind")
+    deep = met.filter("oid is not null").select("sign", "oid", "bits", "n", "behind")
     gone = save(_verified(docs, near, firsts, percent), "gone")
     rest = _meet(deep, deep.join(gone, "oid", "left_anti"), percent)
     rest = _verified(docs, save(rest.distinct(), "pairs"), firsts, percent)
@@ -115,12 +188,12 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
 
 
 def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a before b, that share a word and pass the filters."""
+    """Pairs (a, b), a before b, that share a signature and pass the filters."""
     sides = []
     for side, rows in (("a", left), ("b", right)):
         sides.append(
             rows.select(
-                "word",
+                "sign",
                 F.col("oid").alias(side),
                 F.col("bits").alias(f"{side}_bits"),
                 F.col("n").cast("long").alias(f"{side}_n"),
@@ -132,7 +205,7 @@ def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     # an overlap o reaches the threshold if (100 + percent) * o >= percent * (a_n + b_n)
     met = (
         sides[0]
-        .join(sides[1], "word")
+        .join(sides[1], "sign")
         .filter(
             (F.col("a") < F.col("b"))
             & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
@@ -145,22 +218,13 @@ def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """(oid): the later lines of the pairs whose whole word sets reach the threshold."""
-    spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("oid")).union(pairs.select("b")).distinct()
     wanted = save(firsts.join(wanted, "oid").select("oid", "doc", "h", "pos"), "wanted")
-    # a bit for every line that is needed keeps most others out of the join
+    # a bit for every document and line that is needed keeps most others from being parted and joined
     keys = ["doc", "h", "pos"]
-    place = F.pmod(F.xxhash64("doc", "pos"), F.lit(BITS * 64))
-    marks = wanted.select(F.floor(place / 64).cast("long").alias("at"), F.pmod(place, F.lit(64)).alias("bit"))
-    marks = marks.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("value"))
-    name = f"_stowage_marks_{uuid.uuid4().hex[:8]}"
-    save(_dense(spark, marks, BITS, "long"), "marks").createOrReplaceTempView(name)
-    held = F.expr(
-        f"shiftrightunsigned(element_at((select first(all) from {name}),"
-        f" cast(pmod(xxhash64(doc, pos), {BITS * 64}) div 64 as int) + 1),"
-        " cast(pmod(xxhash64(doc, pos), 64) as int)) & 1 = 1"
-    )
-    lines = _lines(docs).filter(held).select(*keys, F.array_distinct(_words()).alias("words"))
+    bit_set = _marked(wanted.select(F.xxhash64("doc").alias("hash")).union(wanted.select(F.xxhash64("doc", "pos"))))
+    lines = _lines(docs.filter(bit_set("xxhash64(doc)"))).filter(bit_set("xxhash64(doc, pos)"))
+    lines = lines.select(*keys, F.array_distinct(_words()).alias("words"))
     full = lines.join(wanted, keys).dropDuplicates(keys)
     full = save(full.select("oid", "words"), "sets")
     for side in ("a", "b"):
@@ -170,6 +234,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, percent: int
     return pairs.filter(same).select(F.col("b").alias("oid")).distinct()
 
 
+def _marked(hashes: DataFrame) -> Callable[[str], Column]:
+    """A test that holds for every value of ``hash`` and for few others; it takes the SQL of a hash."""
+    place = F.pmod("hash", F.lit(BITS * 64))
+    marks = hashes.select(F.floor(place / 64).cast("long").alias("at"), F.pmod(place, F.lit(64)).alias("bit"))
+    marks = marks.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("value"))
+    name = f"_stowage_marks_{uuid.uuid4().hex[:8]}"
+    save(_dense(hashes.sparkSession, marks, BITS, "long"), "marks").createOrReplaceTempView(name)
+
+    def bit_set(value: str) -> Column:
+        return F.expr(
+            f"shiftrightunsigned(element_at((select first(all) from {name}),"
+            f" cast(pmod({value}, {BITS * 64}) div 64 as int) + 1), cast(pmod({value}, 64) as int)) & 1 = 1"
+        )
+
+    return bit_set
+
+
 def _bit(word: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
 
@@ -219,7 +300,8 @@ def dedup_lines(
     identified = _identified(docs, key, text)
     known, kept = kept_lines(identified, percent)
     removed = known.filter("n > 0").join(kept, ["doc", "h", "pos"], "left_anti").drop("n").distinct()
-    gone = removed.groupBy("doc", "h").agg(F.collect_list("pos").alias("_gone"))
+    gone = save(removed.groupBy("doc", "h").agg(F.collect_list("pos").alias("_gone")), "removed")
+    bit_set = _marked(gone.select(F.xxhash64("doc", "h").alias("hash")))
     rows = whole_rows(docs, key, text)
     rows = rows.select(
         F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("doc"),
@@ -227,7 +309,10 @@ def dedup_lines(
         "_row",
     )
     at = f"_c{docs.columns.index(text)}"
-    rows = rows.join(gone, ["doc", "h"], "left")
+    # documents that lose no line mostly stay where they are
+    held = bit_set("xxhash64(doc, h)")
+    whole = rows.filter(~held).withColumn("_gone", F.lit(None).cast("array<int>"))
+    rows = rows.filter(held).join(gone, ["doc", "h"], "left").unionByName(whole)
     kept = F.expr(
         f"filter(split(_row.{at}, '\\n'), (line, i) -> not array_contains(_gone, i))"
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import zlib
 
 import pytest
@@ -123,6 +124,34 @@ def test_lines_like_brute_force(spark, monkeypatch, percent, first):
     assert collected(found, "doc_id", "line_no", "n_words", "kept") == sorted(expected, key=repr)
 
 
+def test_lines_of_frequent_words_meet_few_others(spark, monkeypatch):
+    """Lines that share many words but are not alike make no pairs and nothing that is set aside."""
+    met = []
+    save = linedup.save
+
+    def counting(df, label="rows", **facts):
+        table = save(df, label, **facts)
+        if label == "met":
+            met.append(table.count())
+        return table
+
+    monkeypatch.setattr(linedup, "save", counting)
+    draw = random.Random(7)
+    rows = [(i, " ".join(draw.sample(WORDS[:60], 30))) for i in range(400)]
+    found = linedup.line_decisions(table(spark, rows), percent=90)
+    assert collected(found, "doc_id", "line_no", "n_words", "kept") == sorted(brute_lines(rows, 90), key=repr)
+    assert met[0] < 200
+
+
+def test_lines_of_many_parts(spark):
+    draw = random.Random(7)
+    long = [f"w{i}" for i in range(900)]
+    rows = [(500 + k, " ".join(long[: 900 - 19 * k] + [f"e{k}x{j}" for j in range(19 * k)])) for k in range(6)]
+    rows += [(600 + k, " ".join(draw.sample(long, 855 - k))) for k in range(4)]
+    found = linedup.line_decisions(table(spark, rows), percent=90)
+    assert collected(found, "doc_id", "line_no", "n_words", "kept") == sorted(brute_lines(rows, 90), key=repr)
+
+
 def test_lines_leave_documents(spark):
     rows = [(1, "one two\nthree"), (2, "Two one"), (3, "three\n\nfour"), (4, None), (5, ""), (2, "Two one"), (None, "four")]
     docs = table(spark, rows)
