@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import pick, unpack_rows, whole_rows
-from stowage.operators.scratch import save
+from stowage.operators.scratch import drop, save
 
 #: Percent of shared words from which the later of two lines goes.
 PERCENT = 90
@@ -28,12 +28,16 @@ BITS = 1 << 16
 
 #: Lines of a signature that every other line of it is compared with before all the rest.
 FIRST = 16
+#: One of so many words settles copies before all words of the prefixes are looked at.
+SAMPLE = 4
+#: Words of 64 bits that are compared before word sets are.
+WIDE = 4
 #: Percent from which lines meet by equal parts; below, parts hold too few words to tell lines apart.
 PARTS_FROM = 85
 #: Sizes of sets that differ by less than this factor are cut into the same number of parts.
 RATIO = 1.5
-#: Parts that are looked for in one slice of a set; larger numbers of parts are multiples of it.
-SLICE = 32
+#: Words of a set up to which places in it are looked for one by one.
+SHORT = 256
 
 _NO_ID = (1 << 63) - 1
 _HASH_BITS = 57
@@ -44,6 +48,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     for space in "\t\x0b\x0c\r":
         text = F.replace(text, F.lit(space), F.lit(" "))
+    # most texts have none of these, which one look tells
+    text = F.when(F.col("text").rlike(r"[\t\x0B\f\r]"), text).otherwise(F.col("text"))
     return docs.select("doc", "h", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
@@ -86,7 +92,13 @@ def _with_prefixes(docs: DataFrame, percent: int) -> DataFrame:
     )
     spread = spread.withColumn("words", ordered).withColumn("n", F.size("words"))
     kept = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
-    return spread.withColumn("signs", F.slice("words", F.lit(1), kept))
+    # 32 bits of a word's hash: lines that meet by equal ones of unlike words are no more than candidates
+    narrow = F.expr(f"transform(prefix, w -> cast((w & {(1 << 32) - 1}L) - {1 << 31}L as int))")
+    return spread.withColumn("prefix", F.slice("words", F.lit(1), kept)).withColumn("signs", narrow)
+
+
+def _hashed(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 2)
 
 
 def _with_parts(docs: DataFrame, percent: int) -> DataFrame:
@@ -97,45 +109,31 @@ def _with_parts(docs: DataFrame, percent: int) -> DataFrame:
     the threshold differ in at most (100 - percent) * (a + b) / (100 + percent) words, and with one part
     more than that for the largest a and b a part holds none of them.  An empty part is a part as well.
     """
-    hashes = F.transform(_words(), lambda w: F.shiftrightunsigned(F.xxhash64(w), 2))
-    spread = _lines(docs).withColumn("words", F.sort_array(F.array_distinct(hashes))).withColumn("n", F.size("words"))
+    hashes = F.transform(F.split(F.lower("line"), " "), lambda w: _hashed(w))
+    words = F.array_remove(F.array_distinct(hashes), _hashed(F.lit("")))
+    spread = _lines(docs).withColumn("words", F.sort_array(words)).withColumn("n", F.size("words"))
     size_class = f"cast(floor(ln({{}}) / ln({RATIO}D)) as int)"
     own, least = size_class.format("n"), size_class.format(f"(n * {percent}L + 99) div 100")
     spread = spread.withColumn("classes", F.expr(f"if(n > 0, array_distinct(array({least}, {own})), array())"))
     # the largest smaller set, the most words that differ from it, the number of parts
     most = f"cast(ceil(power({RATIO}D, c + 1)) as bigint)"
     differ = f"({100 - percent} * ({most} + {most} * 100 div {percent})) div {100 + percent}"
-    parts = f"transform(classes, c -> struct(c as c, {differ} + 1 as parts))"
-    parts = f"transform({parts}, x -> struct(x.c as c, if(x.parts <= {SLICE}, x.parts, (x.parts + {SLICE - 1}) div {SLICE} * {SLICE}) as parts))"
-    parts = f"transform({parts}, x -> struct(x.c as c, x.parts as parts, {1 << 62}L div x.parts + 1 as width, least(x.parts, {SLICE}L) as some))"
-    spread = spread.withColumn("cuts", F.expr(parts))
-    # words and the bounds of parts in one sorted array, cut into slices of some parts
-    spread = spread.withColumn(
-        "cuts",
-        F.expr(
-            "transform(cuts, x -> struct(x.c as c, x.parts as parts, x.width as width, x.some as some,"
-            " sort_array(concat(words, transform(sequence(0L, x.parts - 1), j -> j * x.width))) as held))"
-        ),
+    cuts = f"transform(classes, c -> struct(c as c, {differ} + 1 as parts))"
+    cuts = f"transform({cuts}, x -> struct(x.c as c, x.parts as parts, {1 << 62}L div x.parts + 1 as width))"
+    # the part of every word, then the places where the parts that hold words begin; slices of a
+    # transformed array don't copy all of it
+    held = "transform(words, w -> w) as plain, transform(words, w -> w div x.width) as held"
+    cuts = f"transform({cuts}, x -> struct(x.c as c, x.parts as parts, {held}))"
+    few = "transform(array_distinct(x.held), p -> cast(array_position(x.held, p) as int) - 1)"
+    many = "filter(sequence(0, n - 1), i -> i = 0 or get(x.held, i) > get(x.held, i - 1))"
+    begins = f"if(n <= {SHORT}, {few}, {many}) as begins"
+    cuts = f"transform({cuts}, x -> struct(x.c as c, x.parts as parts, x.plain as plain, x.held as held, {begins}))"
+    full = (
+        "transform(x.begins, (i, k) -> xxhash64(x.c, get(x.held, i),"
+        " slice(x.plain, i + 1, coalesce(get(x.begins, k + 1), n) - i)))"
     )
-    start, end = _bound("x.held", "s * x.some * x.width", "true"), _bound("x.held", "(s + 1) * x.some * x.width", "(s + 1) * x.some < x.parts")
-    spread = spread.withColumn(
-        "cuts",
-        F.expr(
-            "flatten(transform(cuts, x -> transform(sequence(0L, x.parts div x.some - 1), s -> struct("
-            f"x.c as c, x.width as width, s * x.some as first, x.some as some, slice(x.held, {start}, {end} - {start}) as held))))"
-        ),
-    )
-    start, end = _bound("x.held", "j * x.width", "true"), _bound("x.held", "(j + 1) * x.width", "j + 1 < x.first + x.some")
-    signs = (
-        "flatten(transform(cuts, x -> transform(sequence(x.first, x.first + x.some - 1), j ->"
-        f" xxhash64(x.c, j, slice(x.held, {start} + 1, {end} - {start} - 1)))))"
-    )
-    return spread.withColumn("signs", F.expr(signs))
-
-
-def _bound(held: str, value: str, inside: str) -> str:
-    """The place of a bound in the array ``held``, or the place behind its end."""
-    return f"cast(if({inside}, array_position({held}, {value}), size({held}) + 1) as int)"
+    none = "transform(array_except(sequence(0L, x.parts - 1), x.held), j -> xxhash64(x.c, j))"
+    return spread.withColumn("signs", F.expr(f"flatten(transform({cuts}, x -> concat({full}, {none})))"))
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -162,14 +160,18 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     firsts = known.filter("n > 0").groupBy("id1", "id2").agg(first).select("f.*")
     firsts = firsts.repartitionByRange(*order).sortWithinPartitions(*order)
     firsts = save(firsts.withColumn("oid", F.monotonically_increasing_id()), "firsts")
-    post = firsts.select("oid", "n", "bits", F.posexplode("signs").alias("i", "sign"))
-    behind = F.col("n") if by_parts else F.col("n") - F.col("i")
-    post = post.select("sign", "oid", "bits", "n", behind.alias("behind")).dropna()
+    similar = save((_like_by_parts if by_parts else _like_by_prefixes)(docs, firsts, percent), "similar")
+    return known.select(*order, "n"), firsts.join(similar, "oid", "left_anti").select(*order)
+
+
+def _like_by_parts(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """(oid): lines that an earlier one is like, found among lines with an equal part."""
+    post = firsts.select("oid", "n", "bits", F.explode("signs").alias("sign"))
     places = Window.partitionBy("sign").orderBy("oid")
-    ranked = post.withColumn("rank", F.row_number().over(places))
-    if by_parts:  # few lines share a part with any other
-        ranked = ranked.withColumn("next", F.lead("oid").over(places)).filter("rank > 1 or next is not null")
-        ranked = save(ranked.drop("next"), "shared")
+    ranked = post.withColumn("rank", F.row_number().over(places)).withColumn("behind", F.col("n"))
+    # few lines share a part with any other
+    ranked = ranked.withColumn("next", F.lead("oid").over(places)).filter("rank > 1 or next is not null")
+    ranked = save(ranked.drop("next"), "shared")
 
     # every line meets the first lines of its signatures; what they don't settle meets the others.  One
     # job makes the pairs and sets the others aside, and all its parts start from the same ranked
@@ -180,11 +182,35 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     met = save(near.unionByName(deep, allowMissingColumns=True), "met")
     near = save(met.filter("a is not null").select("a", "b").distinct(), "pairs")
     deep = met.filter("oid is not null").select("sign", "oid", "bits", "n", "behind")
-    gone = save(_verified(docs, near, firsts, percent), "gone")
+    gone = save(_alike(near, _sets(docs, near, firsts), percent), "gone")
     rest = _meet(deep, deep.join(gone, "oid", "left_anti"), percent)
-    rest = _verified(docs, save(rest.distinct(), "pairs"), firsts, percent)
-    similar = save(gone.union(rest), "similar")
-    return known.select(*order, "n"), firsts.join(similar, "oid", "left_anti").select(*order)
+    rest = save(rest.distinct(), "pairs")
+    return gone.union(_alike(rest, _sets(docs, rest, firsts), percent))
+
+
+def _like_by_prefixes(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """(oid): lines that an earlier one is like, found among lines with a word of the prefix in common.
+
+    Words of a sample, the same ones in every line, and the first lines of each settle most copies.  Then all
+    words are shuffled, once: every line meets those that are not settled yet.
+    """
+    places = Window.partitionBy("sign").orderBy("oid")
+
+    def ranked(lines: DataFrame) -> DataFrame:
+        post = lines.select("oid", "n", "bits", F.posexplode("signs").alias("i", "sign"))
+        post = post.select("sign", "oid", "bits", "n", (F.abs("n") - F.col("i")).alias("behind"))
+        return post.withColumn("rank", F.row_number().over(places))
+
+    some = ranked(firsts).filter(F.col("sign") % SAMPLE == 0)
+    early = F.least("rank", F.lit(FIRST + 1)) <= FIRST
+    near = _meet(some.filter(early), some.filter("rank >= 1"), percent)
+    gone = _alike_closest(docs, near, firsts, percent)
+
+    # a settled line has a negative number of words, which does not change how its postings are dealt
+    settled = firsts.join(gone.withColumn("gone", F.lit(True)), "oid", "left")
+    post = ranked(settled.withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n"))))
+    rest = _meet(post.filter("rank >= 1"), post.filter("rank >= 1 and n > 0"), percent)
+    return gone.union(_alike_closest(docs, rest, firsts, percent))
 
 
 def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +222,7 @@ def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
                 "sign",
                 F.col("oid").alias(side),
                 F.col("bits").alias(f"{side}_bits"),
-                F.col("n").cast("long").alias(f"{side}_n"),
+                F.abs("n").cast("long").alias(f"{side}_n"),
                 F.col("behind").cast("long").alias(f"{side}_rest"),
             )
         )
@@ -216,8 +242,35 @@ def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """(oid): the later lines of the pairs whose whole word sets reach the threshold."""
+def _alike_closest(docs: DataFrame, met: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """As ``_alike``; more bits drop most pairs, and a line is compared with the nearest one, then with others."""
+    pairs = save(met.distinct(), "pairs")
+    sets = _sets(docs, pairs, firsts)
+    wide = sets.select("oid", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    wide = save(wide.select("oid", "n", F.array(*[_odd(k) for k in range(WIDE)]).alias("bits")), "bits")
+    near = pairs
+    for side in ("a", "b"):
+        near = near.join(wide.toDF(side, f"{side}_n", f"{side}_bits"), side)
+    differ = sum(F.bit_count(F.get("a_bits", F.lit(k)).bitwiseXOR(F.get("b_bits", F.lit(k)))) for k in range(WIDE))
+    near = near.select("a", "b", differ.alias("differ"), (F.col("a_n") + F.col("b_n")).alias("both"))
+    near = save(near.filter((F.col("both") - F.col("differ")) * (100 + percent) >= F.col("both") * (percent * 2)), "near")
+    closest = save(near.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("best")).select("best.a", "b"), "closest")
+    settled = save(_alike(closest, sets, percent), "settled")
+    others = near.select("a", "b").join(settled.toDF("b"), "b", "left_anti").join(closest, ["a", "b"], "left_anti")
+    found = save(settled.union(_alike(others, sets, percent)), "gone")
+    for table in (pairs, sets, wide, near, closest, settled):
+        drop(table)
+    return found
+
+
+def _odd(k: int) -> Column:
+    """Bits that an odd number of those hashes in ``words`` have which fall to the ``k``-th of ``WIDE`` parts."""
+    own = F.filter("words", lambda w: F.shiftrightunsigned(w, 6) % WIDE == k)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda held, w: held.bitwiseXOR(_bit(w)))
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(oid, words): the whole word sets of the lines of the pairs."""
     wanted = pairs.select(F.col("a").alias("oid")).union(pairs.select("b")).distinct()
     wanted = save(firsts.join(wanted, "oid").select("oid", "doc", "h", "pos"), "wanted")
     # a bit for every document and line that is needed keeps most others from being parted and joined
@@ -226,9 +279,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, percent: int
     lines = _lines(docs.filter(bit_set("xxhash64(doc)"))).filter(bit_set("xxhash64(doc, pos)"))
     lines = lines.select(*keys, F.array_distinct(_words()).alias("words"))
     full = lines.join(wanted, keys).dropDuplicates(keys)
-    full = save(full.select("oid", "words"), "sets")
+    return save(full.select("oid", "words"), "sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(oid): the later lines of the pairs whose whole word sets reach the threshold."""
     for side in ("a", "b"):
-        pairs = pairs.join(full.toDF(side, f"{side}_words"), side)
+        pairs = pairs.join(sets.toDF(side, f"{side}_words"), side)
     overlap = F.size(F.array_intersect("a_words", "b_words"))
     same = overlap * (100 + percent) >= (F.size("a_words") + F.size("b_words")) * percent
     return pairs.filter(same).select(F.col("b").alias("oid")).distinct()

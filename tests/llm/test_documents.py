@@ -1,6 +1,7 @@
 """Operators on documents: near duplicates, lines, language, shards, fingerprints."""
 
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.llm import fingerprints, langid, linedup, minhash, sharding
+from stowage.operators import scratch
 
 SCHEMA = "doc_id long, text string, lang string, component_id string, DOC_ID string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -152,6 +154,49 @@ def test_lines_of_many_parts(spark):
     assert collected(found, "doc_id", "line_no", "n_words", "kept") == sorted(brute_lines(rows, 90), key=repr)
 
 
+def test_parts_of_a_set(spark):
+    """No more parts than a pair can differ in words and one; a word decides on one part of a class."""
+    long = [f"w{i}" for i in range(300)]
+    docs = linedup._identified(table(spark, [(1, " ".join(long)), (2, " ".join(long[1:])), (3, "")]), "doc_id", "text")
+    found = {r.doc: r for r in linedup._with_parts(docs, 90).select("doc", "n", "classes", "signs").collect()}
+    most = [math.ceil(linedup.RATIO ** (c + 1)) for c in found[1].classes]
+    parts = [10 * (m + m * 100 // 90) // 190 + 1 for m in most]
+    assert found[1].n == 300 and len(found[1].signs) == len(set(found[1].signs)) == sum(parts)
+    assert len(set(found[1].signs) - set(found[2].signs)) <= len(parts)
+    assert found[3].n == 0 and not found[3].signs
+
+
+def test_lines_below_parts_set_no_postings_aside(spark, monkeypatch):
+    """Lines that share rare words but are not alike are dropped before their word sets are joined."""
+    rows_of = {}
+    save = linedup.save
+
+    def counting(df, label="rows", **facts):
+        table = save(df, label, **facts)
+        rows_of[label] = rows_of.get(label, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(linedup, "save", counting)
+    draw = random.Random(7)
+    rows = [(i, " ".join(draw.sample([f"w{k}" for k in range(220)], 150))) for i in range(150)]
+    found = linedup.line_decisions(table(spark, rows), percent=75)
+    assert collected(found, "doc_id", "line_no", "n_words", "kept") == sorted(brute_lines(rows, 75), key=repr)
+    assert "met" not in rows_of and rows_of["pairs"] > 0 and rows_of["near"] < rows_of["pairs"]
+
+
+def test_tables_of_a_step_go(spark):
+    kept = []
+
+    def make():
+        kept.append(scratch.save(spark.range(5), "inner"))
+        return kept[0].filter("id > 1")
+
+    made = scratch.save_step(spark, make, "outer")
+    assert made.count() == 3
+    folder = spark._jvm.org.apache.hadoop.fs.Path(getattr(kept[0], scratch._FOLDER))
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def test_lines_leave_documents(spark):
     rows = [(1, "one two\nthree"), (2, "Two one"), (3, "three\n\nfour"), (4, None), (5, ""), (2, "Two one"), (None, "four")]
     docs = table(spark, rows)
