@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm import langid, linedup, minhash, packing
 from stowage.llm.common import unpack_rows, whole_rows
-from stowage.operators.scratch import save
+from stowage.operators.scratch import save, save_step
 
 #: Percent of shared words from which the later of two lines goes, as for shingles of documents.
 LINE_PERCENT = 75
@@ -91,5 +91,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, over all documents; no documents give no pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        docs = save_step(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
