@@ -7,17 +7,38 @@ and read again as the documents of the next one.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import langid, linedup, minhash, packing
-from stowage.llm.common import unpack_rows, whole_rows
+from stowage.llm.common import marked, pick, unpack_rows, whole_rows
 from stowage.operators.scratch import save, save_step
 
 #: Percent of shared words from which the later of two lines goes, as for shingles of documents.
 LINE_PERCENT = 75
 
 
+def _identity() -> list[Column]:
+    """A document's id, null or not, and the hash of its text."""
+    return [F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h")]
+
+
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """``docs`` but those in ``decided`` (doc, h, once), of which one row is left if ``once`` says so.
+
+    Only documents that are decided on, and few others, are shuffled.
+    """
+    bit_set = marked(decided.select(F.xxhash64("doc", "h").alias("hash")))
+    rows = whole_rows(docs, "doc_id", "text").select(*_identity(), "_row")
+    held = bit_set("xxhash64(doc, h)")
+    found = rows.filter(held).withColumnRenamed("doc", "_doc").withColumnRenamed("h", "_h")
+    same = F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_h") == F.col("h"))
+    found = found.join(decided.distinct(), same, "left")
+    one = found.filter("once").dropDuplicates(["_doc", "_h"]).select("_row")
+    others = found.filter("once is null").select("_row")
+    return unpack_rows(rows.filter(~held).select("_row").unionByName(others).unionByName(one), docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told.
 
@@ -25,21 +46,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language less than nearly all texts of like length it was learned from (``langid.least_scores``); profiles and
     scores are those of all learning texts.  ``lang`` stays as it is.
     """
-    found = langid.identify(docs, langid.learn(docs))
-    # by position: the two columns that identify puts behind those of docs
-    flat = save(found.toDF(*[f"_c{i}" for i in range(len(found.columns))]), "scored")
-    n = len(docs.columns)
-    at = {c: F.col(f"_c{docs.columns.index(c)}") for c in ("doc_id", "text", "lang")}
-    known = flat.select(*[column.alias(c) for c, column in at.items()], f"_c{n}", f"_c{n + 1}")
-    known = known.filter(langid.learnable()).select("text", F.col(f"_c{n}").alias("lang_pred"), F.col(f"_c{n + 1}").alias("score"))
-    least = langid.least_scores(known)
-    length = langid.length_class(at["text"])
-    floor = F.lit(least[None])
-    for c, score in least.items():
-        if c is not None:
-            floor = F.when(length == c, F.lit(score)).otherwise(floor)
-    kept = flat.filter((F.col(f"_c{n}") != "und") & (F.col(f"_c{n + 1}") >= floor))
-    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    def rejected() -> DataFrame:
+        found = langid.identify(pick(docs, "doc_id", "text", "lang"), langid.learn(docs))
+        length = langid.length_class(F.col("text")).alias("length")
+        found = found.select(*_identity(), length, langid.learnable().alias("known"), "lang_pred", "score")
+        scored = save(found, "scored")
+        least = langid.least_scores(scored.filter("known"), F.col("length"))
+        floor = F.lit(least[None])
+        for c, score in least.items():
+            if c is not None:
+                floor = F.when(F.col("length") == c, F.lit(score)).otherwise(floor)
+        kept = (F.col("lang_pred") != "und") & (F.col("score") >= floor)
+        return scored.filter(~kept).select("doc", "h", F.lit(False).alias("once"))
+
+    return _without(docs, save_step(spark, rejected, "rejected"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,17 +78,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without an id are in no group and stay.  A document is its id and its text: a repeated row stays
     once, and of two texts under one id each is kept or goes by its own group.
     """
-    found = minhash.near_duplicates(docs).filter("kept")
-    best = F.min(F.struct("doc_id", "text_hash")).alias("best")
-    of_groups = found.filter("group_id is not null").groupBy("group_id").agg(best).select("best.*")
-    alone = found.filter("group_id is null").select("doc_id", "text_hash").distinct()
-    stay = of_groups.unionByName(alone)
-    rows = whole_rows(docs, "doc_id", "text")
-    rows = rows.withColumn("text_hash", F.xxhash64("text")).drop("text")
-    named = rows.filter("doc_id is not null").join(stay, ["doc_id", "text_hash"], "left_semi")
-    once = named.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "_row")
-    unnamed = rows.filter("doc_id is null").select("doc_id", "_row")
-    return unpack_rows(once.unionByName(unnamed), docs.columns)
+    def decided() -> DataFrame:
+        found = minhash.near_duplicates(docs).filter("doc_id is not null")
+        found = save(found.select("doc_id", "text_hash", "kept", "group_id"), "found")
+        best = F.min(F.struct("doc_id", "text_hash")).alias("best")
+        of_groups = found.filter("kept and group_id is not null").groupBy("group_id").agg(best).select("best.*")
+        alone = found.filter("kept and group_id is null").select("doc_id", "text_hash").distinct()
+        stay = of_groups.unionByName(alone).withColumn("once", F.lit(True))
+        times = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+        times = times.join(stay, ["doc_id", "text_hash"], "left").filter("once is null or n > 1")
+        return times.select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("h"), F.coalesce("once", F.lit(False)).alias("once"))
+
+    return _without(docs, save_step(spark, decided, "decided"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

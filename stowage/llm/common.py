@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.operators.scratch import save
 
 #: Parts a group of equal keys is dealt into before a join.
 SALTS = 1024
+#: Words of 64 bits in the bit vector of ``marked``.
+BITS = 1 << 16
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -33,6 +36,32 @@ def unpack_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"_row._c{i}").alias(n) for i, n in enumerate(columns)])
 
 
+def dense(spark: SparkSession, rows: DataFrame, size: int, kind: str) -> DataFrame:
+    """One row with an array of ``size`` values; ``rows`` are (at, value), others 0."""
+    places = spark.range(size).select(F.col("id").alias("at"))
+    value = F.coalesce("value", F.lit(0)).cast(kind).alias("value")
+    filled = places.join(rows, "at", "left").select("at", value)
+    pairs = F.sort_array(F.collect_list(F.struct("at", "value")))
+    return filled.agg(pairs.getField("value").alias("all"))
+
+
+def marked(hashes: DataFrame) -> Callable[[str], Column]:
+    """A test that holds for every value of ``hash`` and for few others; it takes the SQL of a hash."""
+    place = F.pmod("hash", F.lit(BITS * 64))
+    marks = hashes.select(F.floor(place / 64).cast("long").alias("at"), F.pmod(place, F.lit(64)).alias("bit"))
+    marks = marks.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("value"))
+    name = f"_stowage_marks_{uuid.uuid4().hex[:8]}"
+    save(dense(hashes.sparkSession, marks, BITS, "long"), "marks").createOrReplaceTempView(name)
+
+    def bit_set(value: str) -> Column:
+        return F.expr(
+            f"shiftrightunsigned(element_at((select first(all) from {name}),"
+            f" cast(pmod({value}, {BITS * 64}) div 64 as int) + 1), cast(pmod({value}, 64) as int)) & 1 = 1"
+        )
+
+    return bit_set
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
     """Left join of ``groups`` (one row per ``key``) for keys that any number of rows share.
 

@@ -147,10 +147,11 @@ def length_class(text: Column) -> Column:
     return F.floor(F.log2(F.greatest(F.length(text), F.lit(1)).cast("double"))).cast("int")
 
 
-def least_scores(found: DataFrame) -> dict[int | None, float]:
+def least_scores(found: DataFrame, length: Column | None = None) -> dict[int | None, float]:
     """The score from which a text counts as one of a learned language, by class of its length.
 
-    ``found`` (text, lang_pred, score) holds all learning texts as ``identify`` sees them.  The score is a tenth below
+    ``found`` (text, lang_pred, score) holds all learning texts as ``identify`` sees them; ``length`` is the class of
+    their length if it is known without the text.  The score is a tenth below
     the lowest one of them all, or a fifth below the lowest of those of the class and its two neighbours if that is
     higher and they are at least ``FLOOR_DOCS``; None stands for the classes that have no value of their own.
     Below the lowest score of a group lies one in ``FLOOR_SHARE`` of it, so that a few odd texts of a large
@@ -159,7 +160,7 @@ def least_scores(found: DataFrame) -> dict[int | None, float]:
     Scores are counted, without a sample, in ``SCORE_PARTS`` parts of their range, each with its least score: these
     alone come to the driver.
     """
-    length = length_class(F.col("text")).alias("c")
+    length = (length_class(F.col("text")) if length is None else length).alias("c")
     part = F.floor(F.col("score") * SCORE_PARTS).cast("int").alias("part")
     counted = found.filter("lang_pred <> 'und'").select(length, part, "score").groupBy("c", "part")
     counted = counted.agg(F.count("*").alias("n"), F.min("score").alias("least"))

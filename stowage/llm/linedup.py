@@ -11,25 +11,26 @@ sets, and the later line of a pair goes.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.common import pick, unpack_rows, whole_rows
-from stowage.operators.scratch import drop, save
+from stowage.llm.common import dense, marked, pick, unpack_rows, whole_rows
+from stowage.operators.scratch import drop, save, save_step
 
 #: Percent of shared words from which the later of two lines goes.
 PERCENT = 90
 #: Words are counted in this many hashed buckets (a power of two); it only decides on the order of words.
 COUNTERS = 1 << 18
-#: Words of 64 bits in the bit vector of lines that a later pass needs.
-BITS = 1 << 16
-
 #: Lines of a signature that every other line of it is compared with before all the rest.
 FIRST = 16
-#: One of so many words settles copies before all words of the prefixes are looked at.
-SAMPLE = 4
+#: Parts of the words of the prefixes that are looked at in one go: a sample first, all others, and all again in halves.
+SAMPLE, OTHERS, HALVES = (0,), (1, 2, 3), ((0, 1), (2, 3))
+#: Lines of a word of the prefixes that every other line of it is compared with before all the rest.
+FEW = 4
+#: Words of a set from which lines meet by 128 and by 256 bits instead of 64, which long sets fill.
+MORE_BITS = (48, 192)
 #: Words of 64 bits that are compared before word sets are.
 WIDE = 4
 #: Percent from which lines meet by equal parts; below, parts hold too few words to tell lines apart.
@@ -58,22 +59,13 @@ def _words() -> Column:
     return F.array_remove(F.split(F.lower("line"), " "), "")
 
 
-def _dense(spark: SparkSession, rows: DataFrame, size: int, kind: str) -> DataFrame:
-    """One row with an array of ``size`` values; ``rows`` are (at, value), others 0."""
-    places = spark.range(size).select(F.col("id").alias("at"))
-    value = F.coalesce("value", F.lit(0)).cast(kind).alias("value")
-    filled = places.join(rows, "at", "left").select("at", value)
-    pairs = F.sort_array(F.collect_list(F.struct("at", "value")))
-    return filled.agg(pairs.getField("value").alias("all"))
-
-
 def _ranks(docs: DataFrame) -> DataFrame:
     """How frequent words are, by hashed counters, as one array of fixed size."""
     word = F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("word")
     place = F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("at")
     counted = docs.select(word).groupBy(place).count()
     rank = F.least(F.floor(F.log2(F.col("count").cast("double")) * 2), F.lit(63)).alias("value")
-    return _dense(docs.sparkSession, counted.select("at", rank), COUNTERS, "int")
+    return dense(docs.sparkSession, counted.select("at", rank), COUNTERS, "int")
 
 
 def _with_prefixes(docs: DataFrame, percent: int) -> DataFrame:
@@ -142,6 +134,7 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     spread = _with_parts(docs, percent) if by_parts else _with_prefixes(docs, percent)
     # bits that an odd number of words have, so that long lines don't fill them
     bits = F.aggregate("words", F.lit(0).cast("long"), lambda held, w: held.bitwiseXOR(_bit(w)))
+    held = {"bits": bits} | ({} if by_parts else _more_bits())
     order = ["doc", "h", "pos"]
     known = save(
         spread.select(
@@ -150,13 +143,13 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
             F.xxhash64("words").alias("id1"),
             F.xxhash64(F.lit(1), "words").alias("id2"),
             "signs",
-            bits.alias("bits"),
+            *[column.alias(name) for name, column in held.items()],
         ),
         "lines",
     )
 
     # one line for each set of words, numbered in the order of lines
-    first = F.min(F.struct(*order, "n", "bits", "signs")).alias("f")
+    first = F.min(F.struct(*order, "n", *held, "signs")).alias("f")
     firsts = known.filter("n > 0").groupBy("id1", "id2").agg(first).select("f.*")
     firsts = firsts.repartitionByRange(*order).sortWithinPartitions(*order)
     firsts = save(firsts.withColumn("oid", F.monotonically_increasing_id()), "firsts")
@@ -191,43 +184,55 @@ def _like_by_parts(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFram
 def _like_by_prefixes(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """(oid): lines that an earlier one is like, found among lines with a word of the prefix in common.
 
-    Words of a sample, the same ones in every line, and the first lines of each settle most copies.  Then all
-    words are shuffled, once: every line meets those that are not settled yet.
+    Every line meets the first lines of its words, by a part of the words and then by the others, which settles
+    copies: a line of a group of any size meets few of it.  What is not settled then meets the other lines of
+    its words.  Postings are shuffled for one part of the words at a time.
     """
     places = Window.partitionBy("sign").orderBy("oid")
-
-    def ranked(lines: DataFrame) -> DataFrame:
-        post = lines.select("oid", "n", "bits", F.posexplode("signs").alias("i", "sign"))
-        post = post.select("sign", "oid", "bits", "n", (F.abs("n") - F.col("i")).alias("behind"))
-        return post.withColumn("rank", F.row_number().over(places))
-
-    some = ranked(firsts).filter(F.col("sign") % SAMPLE == 0)
-    early = F.least("rank", F.lit(FIRST + 1)) <= FIRST
-    near = _meet(some.filter(early), some.filter("rank >= 1"), percent)
-    gone = _alike_closest(docs, near, firsts, percent)
-
-    # a settled line has a negative number of words, which does not change how its postings are dealt
-    settled = firsts.join(gone.withColumn("gone", F.lit(True)), "oid", "left")
-    post = ranked(settled.withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n"))))
-    rest = _meet(post.filter("rank >= 1"), post.filter("rank >= 1 and n > 0"), percent)
-    return gone.union(_alike_closest(docs, rest, firsts, percent))
+    early = F.least("rank", F.lit(FEW + 1)) <= FEW
+    held = ["n", "bits", *_more_bits()]
+
+    def alike(gone: DataFrame | None, firsts_of_words: bool, *rounds: tuple[int, ...]) -> DataFrame:
+        met = []
+        for parts in rounds:
+            numbers = ", ".join(map(str, parts))
+            own = F.expr(f"filter(transform(signs, (sign, i) -> struct(i, sign)), s -> s.sign & 3 in ({numbers}))")
+            post = firsts.select("oid", *held, own.alias("own")).filter(F.size("own") > 0)
+            if gone is not None:
+                # a settled line has a negative number of words, which does not change how its postings are dealt
+                post = post.join(gone.withColumn("gone", F.lit(True)), "oid", "left")
+                post = post.withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")))
+            post = post.select("oid", *held, F.inline("own"))
+            post = post.select("sign", "oid", *held, (F.abs("n") - F.col("i")).alias("behind"))
+            post = post.withColumn("rank", F.row_number().over(places)).filter("rank >= 1")
+            pairs = _meet(post.filter(early if firsts_of_words else ~early), post.filter("n > 0"), percent)
+            met.append(save(pairs.distinct(), "met_in_round"))
+        found = _alike_closest(docs, reduce(DataFrame.union, met), firsts, percent)
+        for table in met:
+            drop(table)
+        return found
+
+    gone = alike(None, True, SAMPLE)
+    gone = gone.union(alike(gone, True, OTHERS))
+    return gone.union(alike(gone, False, *HALVES))
 
 
 def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a before b, that share a signature and pass the filters."""
     sides = []
+    more = [c for c in left.columns if c in _more_bits()]
     for side, rows in (("a", left), ("b", right)):
         sides.append(
             rows.select(
                 "sign",
                 F.col("oid").alias(side),
-                F.col("bits").alias(f"{side}_bits"),
+                *[F.col(c).alias(f"{side}_{c}") for c in ("bits", *more)],
                 F.abs("n").cast("long").alias(f"{side}_n"),
                 F.col("behind").cast("long").alias(f"{side}_rest"),
             )
         )
     both = F.col("a_n") + F.col("b_n")
-    differ = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    differ = _differ(bool(more))
     # an overlap o reaches the threshold if (100 + percent) * o >= percent * (a_n + b_n)
     met = (
         sides[0]
@@ -242,6 +247,35 @@ def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b")
 
 
+def _more_bits() -> dict[str, Column]:
+    """Bits as ``bits`` has them, of a half and of two quarters of the words (by hash); 0 for sets too small for them."""
+
+    def of(mask: int, value: int, least: int) -> Column:
+        own = F.filter("words", lambda w: w.bitwiseAND(F.lit(mask)) == value)
+        odd = F.aggregate(own, F.lit(0).cast("long"), lambda held, w: held.bitwiseXOR(_bit(w)))
+        return F.when(F.col("n") >= least, odd).otherwise(F.lit(0).cast("long"))
+
+    two, four = MORE_BITS
+    return {"half": of(64, 64, two), "second": of(192, 64, four), "third": of(192, 128, four)}
+
+
+def _differ(more: bool) -> Column:
+    """The least number of words that two lines of ``_meet`` differ in, by all bits that both have."""
+
+    def other(name: str) -> Column:
+        return F.col(f"a_{name}").bitwiseXOR(F.col(f"b_{name}"))
+
+    one = F.bit_count(other("bits"))
+    if not more:
+        return one
+    # what is left of the whole is the other half, of the halves the other quarters
+    rest = other("bits").bitwiseXOR(other("half"))
+    halves = F.bit_count(other("half")) + F.bit_count(rest)
+    quarters = [other("second"), other("second").bitwiseXOR(other("half")), other("third"), other("third").bitwiseXOR(rest)]
+    least, (two, four) = F.least("a_n", "b_n"), MORE_BITS
+    return F.when(least < two, one).when(least < four, halves).otherwise(sum(map(F.bit_count, quarters)))
+
+
 def _alike_closest(docs: DataFrame, met: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """As ``_alike``; more bits drop most pairs, and a line is compared with the nearest one, then with others."""
     pairs = save(met.distinct(), "pairs")
@@ -275,7 +309,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     wanted = save(firsts.join(wanted, "oid").select("oid", "doc", "h", "pos"), "wanted")
     # a bit for every document and line that is needed keeps most others from being parted and joined
     keys = ["doc", "h", "pos"]
-    bit_set = _marked(wanted.select(F.xxhash64("doc").alias("hash")).union(wanted.select(F.xxhash64("doc", "pos"))))
+    bit_set = marked(wanted.select(F.xxhash64("doc").alias("hash")).union(wanted.select(F.xxhash64("doc", "pos"))))
     lines = _lines(docs.filter(bit_set("xxhash64(doc)"))).filter(bit_set("xxhash64(doc, pos)"))
     lines = lines.select(*keys, F.array_distinct(_words()).alias("words"))
     full = lines.join(wanted, keys).dropDuplicates(keys)
@@ -291,23 +325,6 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(same).select(F.col("b").alias("oid")).distinct()
 
 
-def _marked(hashes: DataFrame) -> Callable[[str], Column]:
-    """A test that holds for every value of ``hash`` and for few others; it takes the SQL of a hash."""
-    place = F.pmod("hash", F.lit(BITS * 64))
-    marks = hashes.select(F.floor(place / 64).cast("long").alias("at"), F.pmod(place, F.lit(64)).alias("bit"))
-    marks = marks.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("value"))
-    name = f"_stowage_marks_{uuid.uuid4().hex[:8]}"
-    save(_dense(hashes.sparkSession, marks, BITS, "long"), "marks").createOrReplaceTempView(name)
-
-    def bit_set(value: str) -> Column:
-        return F.expr(
-            f"shiftrightunsigned(element_at((select first(all) from {name}),"
-            f" cast(pmod({value}, {BITS * 64}) div 64 as int) + 1), cast(pmod({value}, 64) as int)) & 1 = 1"
-        )
-
-    return bit_set
-
-
 def _bit(word: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
 
@@ -355,10 +372,14 @@ def dedup_lines(
     empty texts.
     """
     identified = _identified(docs, key, text)
-    known, kept = kept_lines(identified, percent)
-    removed = known.filter("n > 0").join(kept, ["doc", "h", "pos"], "left_anti").drop("n").distinct()
-    gone = save(removed.groupBy("doc", "h").agg(F.collect_list("pos").alias("_gone")), "removed")
-    bit_set = _marked(gone.select(F.xxhash64("doc", "h").alias("hash")))
+
+    def removed() -> DataFrame:
+        known, kept = kept_lines(identified, percent)
+        lines = known.filter("n > 0").join(kept, ["doc", "h", "pos"], "left_anti").drop("n").distinct()
+        return lines.groupBy("doc", "h").agg(F.collect_list("pos").alias("_gone"))
+
+    gone = save_step(docs.sparkSession, removed, "removed")
+    bit_set = marked(gone.select(F.xxhash64("doc", "h").alias("hash")))
     rows = whole_rows(docs, key, text)
     rows = rows.select(
         F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("doc"),

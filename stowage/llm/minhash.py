@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import attach, by_batch, components, groups, pick, texts
+from stowage.llm.common import attach, by_batch, components, groups, marked, pick, texts
 from stowage.operators.scratch import save
 
 #: 32 bands of 4: a pair at 0.75 shares no band with a probability of 0.000005.
@@ -378,7 +378,10 @@ def near_duplicates(
         lone.join(involved, "rid").join(classes, "rid").select("rid", "set_id", "id", "sig"),
         "wanted",
     )
-    sets = docs.join(wanted.select("id", "rid", "set_id"), F.col("doc_id") == F.col("id"))
+    # a bit for every id that is needed keeps most other texts from being shuffled
+    needed = marked(wanted.select(F.xxhash64("id").alias("hash")))
+    sets = docs.filter(needed("xxhash64(doc_id)"))
+    sets = sets.join(wanted.select("id", "rid", "set_id"), F.col("doc_id") == F.col("id"))
     sets = sets.select("rid", "set_id", "text").mapInArrow(
         by_batch(_sets_of, size), "rid long, items binary"
     )

@@ -184,6 +184,27 @@ def test_lines_below_parts_set_no_postings_aside(spark, monkeypatch):
     assert "met" not in rows_of and rows_of["pairs"] > 0 and rows_of["near"] < rows_of["pairs"]
 
 
+def test_lines_of_a_group_and_long_lines_make_few_pairs(spark, monkeypatch):
+    """A line of a large group of near copies meets few of it, and long lines that are not alike meet none."""
+    pairs = []
+    save = linedup.save
+
+    def counting(df, label="rows", **facts):
+        table = save(df, label, **facts)
+        if label == "pairs":
+            pairs.append(table.count())
+        return table
+
+    monkeypatch.setattr(linedup, "save", counting)
+    draw = random.Random(7)
+    base = [f"c{k}" for k in range(20)]
+    rows = [(i, " ".join([*base[: i % 20], f"x{i}", *base[i % 20 + 1 :]])) for i in range(150)]
+    rows += [(1000 + i, " ".join(draw.sample([f"w{k}" for k in range(400)], 250))) for i in range(60)]
+    found = linedup.line_decisions(table(spark, rows), percent=75)
+    assert collected(found, "doc_id", "line_no", "n_words", "kept") == sorted(brute_lines(rows, 75), key=repr)
+    assert 0 < sum(pairs) < 10 * 150
+
+
 def test_tables_of_a_step_go(spark):
     kept = []
 
