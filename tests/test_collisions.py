@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from stowage.operators import collisions
 
@@ -127,3 +129,27 @@ def test_names_that_no_file_system_takes(spark):
     assert 80 < sum(n is not None for n in found.values()) < 100
     plain = resolved(spark, [("x", "a.jpg", i) for i in range(300)], [], "plain", longest=255)
     assert plain[299] == "a_299.jpg"
+
+
+def test_long_chains_are_dealt_out_by_their_bytes(spark, monkeypatch):
+    """600 chains of one base are 660 KB, which no task spells alone; names beyond the text are spelled on."""
+    monkeypatch.setattr(collisions, "TASK_BYTES", 50_000, raising=False)
+    monkeypatch.setattr(collisions, "TEXT_INDICES", 250, raising=False)
+    claims = [("x", "a.jpg", i) for i in range(600)] + [("x", "a_1.jpg", 5.5), ("y", "a_1_2.jpg", 601), ("z", "b", 602)]
+    claims = [(d, n, i) for i, (d, n, _) in enumerate(sorted(claims, key=lambda c: c[2]))]
+    df = spark.createDataFrame(claims, "d string, n string, o long")
+    found = collisions.resolve(df, "d", "n", ["o"], "chained").withColumn("task", F.spark_partition_id()).collect()
+    assert {r.o: r.final_name for r in found} == sequential(claims, [], "chained")
+    tasks = Counter()
+    for r in found:
+        tasks[r.task] += len(r.final_name)
+    assert sum(tasks.values()) > 660_000 and max(tasks.values()) < 150_000
+
+
+def test_long_chains_are_small_on_disk(spark, tmp_path):
+    """Chains of one base have quadratic length in all, but each is the one before and an index."""
+    df = spark.range(4000).selectExpr("'x' as d", "'a.jpg' as n", "id as o").coalesce(1)
+    collisions.resolve(df, "d", "n", ["o"], "chained").write.parquet(f"{tmp_path}/names")
+    names = spark.read.parquet(f"{tmp_path}/names").agg(F.sum(F.length("final_name"))).first()[0]
+    written = sum(f.stat().st_size for f in (tmp_path / "names").glob("*.parquet"))
+    assert names > 35_000_000 and written < names / 50
